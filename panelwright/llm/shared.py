@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,15 +35,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def sheltered(docs: DataFrame, used: list[str], added: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """(frame, names): the columns ``used``, and the others under names that nothing else has.
+
+    Columns of the names in ``added`` are left out. names gives each column's name in
+    the frame, in the order of docs.
+    """
+    names = {c: c if c in used else f"other_{i}" for i, c in enumerate(docs.columns) if c not in added}
+    return docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()]), names
+
+
+def unsheltered(df: DataFrame, names: dict[str, str], added: list[str]) -> DataFrame:
+    """The columns of docs under their own names, then those added."""
+    return df.select(*[F.col(x).alias(c) for c, x in names.items()], *added)
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df with more fields, for mapInArrow."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def narrow(df: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns, looked up without regard to columns of clashing names that differ in case."""
-    exact = {c: c for c in df.columns}
-    return df.select(*[df[f"`{exact[c]}`"] for c in columns])
+def release(df: DataFrame) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now, not at its next half-hourly collection."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()

@@ -24,7 +24,6 @@ and Spark splits its join partition. Keys that decide are pairs of 64-bit hashes
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.shared import written
+from panelwright.llm.shared import release, written
 from panelwright.llm.textwords import SPACE_WORDS, Words, ragged, window_hashes, words_of
 
 U64 = np.uint64
@@ -199,7 +198,7 @@ def repeated_passages(docs: DataFrame, window: int) -> DataFrame:
     found = named.mapInArrow(_anchor_rows(window), "anchor long, context long, doc_id long")
     several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
     anchors = written(found.join(several, "anchor"), "anchors")
-    _release(docs)
+    release(docs)
 
     known = anchors.where("context IS NOT NULL")
     first = known.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"))
@@ -213,21 +212,15 @@ def repeated_passages(docs: DataFrame, window: int) -> DataFrame:
     earliest = full.groupBy("anchor", "passage").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     passages = full.join(earliest, ["anchor", "passage"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("passage").alias("passages"))
     out = written(settled.join(passages, "doc_id", "full_outer"), "passages")
-    _release(docs)
+    release(docs)
     return out
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now, not at its next half-hourly collection."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def substring_dedup(docs: DataFrame, window: int = 50, layout: bool = False) -> DataFrame:
     """Remove passages of ``window`` words that an earlier document holds.
 
-    docs needs ``doc_id`` and ``text``; every other column is returned unchanged.
-    Adds n_words, n_removed and kept: the kept words joined by one space, or with
+    docs needs ``doc_id`` and ``text``; every other column is returned unchanged, but
+    for any of the names added. Adds n_words, n_removed and kept: the kept words joined by one space, or with
     ``layout`` the text as it was without the removed words.
 
     A null text has no words; kept is then empty. An empty table gives an empty
@@ -237,7 +230,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, layout: bool = False) ->
     """
     if window < 2:
         raise ValueError("window must be at least 2")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept")]
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none")).alias("rest"))
     lists = repeated_passages(packed, window)
     rest = packed.schema["rest"].dataType.simpleString()
