@@ -1,7 +1,71 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: documents through five stages of the language-model subpackage.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
+read again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelwright.llm.decontam import decontaminate
+from panelwright.llm.minhash import near_duplicates
+from panelwright.llm.packing import pack
+from panelwright.llm.qualitylr import classify_quality, train_quality
+from panelwright.llm.shared import written
+from panelwright.llm.substring import substring_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: SQL cannot express a learned classifier; the run is tested stage by stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    weights = train_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify_quality(docs, weights, threshold=0.7).where("predicted = 1").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of least doc_id."""
+    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words that an earlier document holds; documents of which nothing is left go."""
+    out = substring_dedup(docs.select(*COLUMNS), window=50, layout=True).where("n_removed < n_words OR n_words = 0")
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated, without the spans of 13 words or more that benchmark items hold."""
+    out = decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True).where("NOT contaminated")
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicate documents", near_dedup),
+    ("repeated passages", passages),
+    ("benchmark decontamination", benchmark),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}")
+    return docs
