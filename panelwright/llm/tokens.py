@@ -9,22 +9,40 @@ itself. The memory of pieces is bounded; it is emptied when it is full.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from itertools import chain, islice
 
 import numpy as np
-import regex
-
 from panelwright.llm.textwords import ragged
 
-#: Split patterns of the two kinds of tokenizer files, as they state them. Fixed values.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters and numbers among the usual characters below; the split patterns of the two
+#: kinds of tokenizer files, for texts of usual characters. Fixed values.
+_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_N = "0-9²³¹¼½¾"
+BYTE_LEVEL = rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
+WORD_LEVEL = rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^\s{_L}{_N}]+"
 
-#: Outside of these characters, libraries may differ on case and white space.
-_UNUSUAL = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧€]")
+#: Outside of these characters, libraries may differ on case, white space and classes.
+_UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u20ac]")
 MOST_PIECES = 1_000_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the rest are numbered from 256 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(spare)
+            spare += 1
+    return out
+
+
+_BYTES = byte_letters()
+
+
 class _Pieces(dict):
     """Piece to number; a new piece gets the next one."""
 
@@ -41,8 +59,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
-        self.pattern = regex.compile(WORD_LEVEL if self.lower else BYTE_LEVEL)
+        self.pattern = re.compile(WORD_LEVEL if self.lower else BYTE_LEVEL)
         self._forget()
 
     def _forget(self) -> None:
@@ -54,14 +73,13 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encode the pieces that were numbered since the last call."""
-        from itertools import islice
-
         fresh = list(islice(self.number, self.known, None))
         if not fresh:
             return
-        encoded = [x.ids for x in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in encoded], dtype=np.int64)
-        ids = np.fromiter((i for x in encoded for i in x), dtype=np.int32, count=int(lengths.sum()))
+        tokenize = self.model.tokenize
+        encoded = [[token.id for token in tokenize(piece.encode().decode("latin-1").translate(_BYTES))] for piece in fresh]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = np.fromiter(chain.from_iterable(encoded), np.int32, int(lengths.sum()))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.known + len(fresh) > len(self.at):
@@ -83,18 +101,18 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, dtype=np.int32)
-            elif not text.isascii() and _UNUSUAL.search(text) or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            elif _UNUSUAL.search(text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
             else:
                 if self.lower:
                     text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
                 pieces = find(text)
-                numbers.extend(map(number, pieces))
+                numbers.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
                 sizes.append(len(pieces))
                 places.append(i)
         if numbers:
             self._learn()
-            which = np.array(numbers, dtype=np.int64)
+            which = np.concatenate(numbers)
             count = self.count[which]
             ids = self.pool[ragged(self.at[which], count)]
             ends = np.r_[0, np.cumsum(count)][np.cumsum(sizes)]
