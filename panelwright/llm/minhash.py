@@ -12,13 +12,19 @@ chunks follows from the wanted similarity, so that a pair exactly at it shares n
 key with probability below ``MISS``; no filter on the distance is applied after.
 
 Which pairs are compared. Equal sets are joined by hash first and go on as one
-document. Within a key, the document of least id is the hub and the others are
-compared with it: as many comparisons as rows. What the hubs link falls into
-components. Only documents of one key that are then still in different components
-can have a link that matters and was not looked at; those pairs are compared next,
-key by key, unless their signatures show that they cannot be similar. So large
-groups of near copies cost one comparison a document, and no link between different
-components is lost. Links are confirmed on the full sets.
+document. Within a key, the hub is the document that shares the most keys with others,
+and the rest are compared with it on the full sets: as many comparisons as rows. What
+is similar enough is linked, and links make components.
+
+What the hubs leave open. Let x and y be similar enough, in different components, and
+both compared with hub H. If x and y share nothing outside of H, their overlap is at
+most min(|x & H|, |y & H|), and the sizes tell whether that can do. If they share
+something outside, so much of it must be shared that a prefix of x - H and one of
+y - H, by hash order, have a common item; prefixes hold at most the part of a document
+that similar ones may lack, and one item. So the second comparison takes the pairs of
+one hub that meet in such an item, and those whose sizes allow it. No link between
+different components is lost, and a large group of copies with many different edits
+costs rows, not pairs.
 """
 
 from __future__ import annotations
@@ -147,38 +153,36 @@ def _set_rows(n: int):
     return rows
 
 
-def _confirm(percent: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("items"), batch.column("hub_items"), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked[i] = 100 * same >= percent * (len(a) + len(b) - same)
-            keep = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hub")], names=["doc_id", "hub"]).filter(keep)
-
-    return rows
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size of the intersection, and of both sets."""
+    for batch in batches:
+        out = np.zeros((3, batch.num_rows), dtype=np.int64)
+        for i, (x, y) in enumerate(zip(batch.column("items"), batch.column("hub_items"), strict=True)):
+            a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            both = np.concatenate([a, b])
+            both.sort(kind="stable")
+            out[:, i] = np.count_nonzero(both[1:] == both[:-1]), len(a), len(b)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hub"), *map(pa.array, out)], names=["doc_id", "hub", "common", "size", "hub_size"])
 
 
-def _may_be_similar(size: int, percent: int):
-    """Whether two signatures' distance leaves the similarity possible: within six standard deviations."""
-    s = percent / 100
-    most = size * (1 - s) + 6 * math.sqrt(size * s * (1 - s)) + 1
+def _outside_items(percent: int):
+    """Of each document, the first items outside of its hub: as many as similar documents may lack, and one."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, size) for c in ("signature", "hub_signature"))
-            near = (a != b).sum(axis=1) <= most
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hub")], names=["doc_id", "hub"]).filter(pa.array(near))
+            items, count = [np.zeros(0, U64)], []
+            for x, y in zip(batch.column("items"), batch.column("hub_items"), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                outside = a[~np.isin(a, b, assume_unique=True)]
+                items.append(outside[: len(a) - -(-percent * len(a) // 100) + 1])
+                count.append(len(items[-1]))
+            found = np.concatenate(items).view(np.int64)
+            named = {c: np.repeat(np.asarray(batch.column(c)), count) for c in ("hub", "doc_id", "root")}
+            for a in range(0, len(found), 100_000):
+                b = a + 100_000
+                yield pa.RecordBatch.from_arrays([pa.array(found[a:b]), *[pa.array(v[a:b]) for v in named.values()]], names=["item", *named])
 
-    return keep
+    return rows
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -204,12 +208,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (doc_id, hub) whose full sets are similar enough. Only sets of documents in pairs are made."""
-    wanted = pairs.select("doc_id").unionByName(pairs.select(F.col("hub").alias("doc_id"))).distinct()
-    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(n), "doc_id long, items binary"), "sets")
-    joined = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("hub_items")), "hub")
-    return joined.mapInArrow(_confirm(percent), "doc_id long, hub long")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with the items of doc_id and of hub."""
+    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("hub_items"))
+    return pairs.join(sets, "doc_id").join(hubs, "hub")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    joined = _with_sets(pairs.select("doc_id", "hub"), sets)
+    return joined.mapInArrow(_overlap, "doc_id long, hub long, common long, size long, hub_size long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width: int = 7, errors: int = 1) -> DataFrame:
@@ -239,32 +246,44 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width:
     single = written(chosen.join(same, ["set_a", "set_b", "n_shingles"]).where("doc_id = one").select("doc_id", "signature"), "signatures")
 
     keys = single.mapInArrow(_index_keys(layout), "key long, doc_id long")
-    hubs = written(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last"), "hubs")
-    grouped = written(keys.join(hubs, "key"), "candidates")
-    first = written(_near(grouped.where("doc_id <> hub").select("doc_id", "hub").distinct(), single, size, percent), "pairs")
+    several = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    grouped = written(keys.join(several, "key"), "candidates")
+    shares = grouped.groupBy("doc_id").agg(F.sum("n").alias("shares"))
+    ranked = written(grouped.join(shares, "doc_id").select("key", "doc_id", "shares"), "ranked")
     release(docs)
-    edges = written(_confirmed(first, texts, shingle, percent).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), "linked")
+    hubs = written(ranked.groupBy("key").agg((-F.max(F.struct("shares", (-F.col("doc_id")).alias("minus")))["minus"]).alias("hub")), "hubs")
+    pairs = written(ranked.join(hubs, "key").where("doc_id <> hub").select("doc_id", "hub").distinct(), "pairs")
+    wanted = pairs.select("doc_id").unionByName(pairs.select(F.col("hub").alias("doc_id"))).distinct()
+    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(shingle), "doc_id long, items binary"), "sets")
+    release(docs)
+
+    similar = F.expr(f"100 * common >= {percent} * (size + hub_size - common)")
+    compared = written(_compared(pairs, sets), "compared")
+    edges = compared.where(similar).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     roots = components(edges)
     release(docs)
 
-    # What a key still leaves open: its documents that are not in the hub's component, against all others of the key.
-    placed = grouped.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "hub", F.coalesce("root", "doc_id").alias("root"))
+    # Hubs with documents outside of their component, and all that was compared with them.
     hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    placed = placed.join(hub_roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-    outside = written(placed.where("root <> hub_root").select("key", F.col("doc_id").alias("x"), F.col("root").alias("x_root")), "outside")
-    open_keys = outside.groupBy("key").agg(F.count("*").alias("n")).select("key")
-    members = placed.where("doc_id <> hub").join(open_keys, "key", "left_semi").select("key", "doc_id", "root")
-    more = members.join(outside, "key").where("doc_id <> x AND root <> x_root").select(F.greatest("doc_id", "x").alias("doc_id"), F.least("doc_id", "x").alias("hub")).distinct()
-    second = written(_near(more.join(first, ["doc_id", "hub"], "left_anti"), single, size, percent), "pairs")
+    placed = compared.join(roots, F.col("doc_id") == F.col("node"), "left").join(hub_roots, "hub", "left")
+    placed = written(placed.select("doc_id", "hub", "common", "size", F.coalesce("root", "doc_id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")), "placed")
+    left_open = written(placed.where("root <> hub_root").select("hub").distinct(), "open")
+    rest = placed.join(left_open, "hub", "left_semi")
+    items = _with_sets(rest.select("doc_id", "hub", "root"), sets).mapInArrow(_outside_items(percent), "item long, hub long, doc_id long, root long")
+    items = written(items, "items")
+    shared = written(items.groupBy("hub", "item").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").drop("a", "z"), "shared")
+    meeting = written(items.join(shared, ["hub", "item"]), "meeting")
+    other = meeting.select("hub", "item", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
+    by_item = meeting.join(other, ["hub", "item"]).where("x < doc_id AND root <> x_root").select("doc_id", F.col("x").alias("hub")).distinct()
+    able = rest.where(f"100 * common >= {percent} * size")
+    outside = able.where("root <> hub_root").select("hub", F.col("doc_id").alias("x"), F.col("root").alias("x_root"), F.col("common").alias("x_common"), F.col("size").alias("x_size"))
+    by_size = able.join(outside, "hub").where(f"doc_id <> x AND root <> x_root AND least(common, x_common) * {100 + percent} >= {percent} * (size + x_size)")
+    by_size = by_size.select(F.greatest("doc_id", "x").alias("doc_id"), F.least("doc_id", "x").alias("hub")).distinct()
+    second = written(by_item.unionByName(by_size).distinct(), "pairs")
+    late = written(_compared(second, sets).where(similar).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), "linked")
     release(docs)
-    late = written(_confirmed(second, texts, shingle, percent).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), "linked")
     found = roots if late.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     out = known.drop("signature").join(same, ["set_a", "set_b", "n_shingles"], "left")
     out = out.join(found, F.coalesce("one", "doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("root", "one", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _near(pairs: DataFrame, single: DataFrame, size: int, percent: int) -> DataFrame:
-    hub = single.select(F.col("doc_id").alias("hub"), F.col("signature").alias("hub_signature"))
-    return pairs.join(single, "doc_id").join(hub, "hub").mapInArrow(_may_be_similar(size, percent), "doc_id long, hub long")
