@@ -43,6 +43,8 @@ from panelwright.llm.textwords import SPACE_WORDS, mix, ngram_hashes, words_of
 
 U64 = np.uint64
 MISS = 1e-5
+#: Ids that are sent to all executors at most: 16 MB of them.
+MOST_BROADCAST = 1_000_000
 
 
 def index_layout(percent: int, width: int = 7, errors: int = 1) -> tuple[int, int, int]:
@@ -253,7 +255,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width:
     release(docs)
     hubs = written(ranked.groupBy("key").agg((-F.max(F.struct("shares", (-F.col("doc_id")).alias("minus")))["minus"]).alias("hub")), "hubs")
     pairs = written(ranked.join(hubs, "key").where("doc_id <> hub").select("doc_id", "hub").distinct(), "pairs")
-    wanted = pairs.select("doc_id").unionByName(pairs.select(F.col("hub").alias("doc_id"))).distinct()
+    wanted = written(pairs.select("doc_id").unionByName(pairs.select(F.col("hub").alias("doc_id"))).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # else the texts are shuffled
     sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(shingle), "doc_id long, items binary"), "sets")
     release(docs)
 
