@@ -130,17 +130,18 @@ def _tail(a: int, n: int, p: float) -> float:
 
 
 def _beginnings(longest: int):
-    """Beginnings of a document's words, with its label and its kin: near copies mostly share the word of least hash."""
+    """Beginnings of a document's words, with its label and its kin: near copies mostly share the word pair of least hash."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stems, labels, kin = [], [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                words = set(fold(text)[0].split())
-                own = {w[:k] for w in words for k in range(3, min(len(w), longest) + 1)}
+                words = fold(text)[0].split()
+                own = {w[:k] for w in set(words) for k in range(3, min(len(w), longest) + 1)}
                 stems += own
                 labels += [y] * len(own)
-                kin += [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), default=0)] * len(own)
+                pairs = {f"{a} {b}" for a, b in zip(words, [*words[1:], ""], strict=True)}
+                kin += [min((zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in pairs), default=0)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(labels, pa.int32()), pa.array(kin, pa.int64())], names=["stem", "y", "kin"])
 
     return rows
