@@ -75,7 +75,7 @@ def stl(y: np.ndarray, period: int = 12, seasonal: int = 7, robust: bool = True)
             break
         size = np.abs(y - season - trend)
         limit = 6 * np.median(size)
-        rho = np.ones(n) if limit == 0 else np.clip(1 - (size / limit) ** 2, 0, None) ** 2
+        rho = np.ones(n) if limit <= 1e-9 * np.ptp(y) else np.clip(1 - (size / limit) ** 2, 0, None) ** 2
     return season, trend
 
 
