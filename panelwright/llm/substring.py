@@ -196,16 +196,17 @@ def repeated_passages(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, contexts, passages): hashes of what each document repeats from earlier ones."""
     named = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = named.mapInArrow(_anchor_rows(window), "anchor long, context long, doc_id long")
-    several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
+    # What is joined with the rows it was counted from is written first: Spark then can split a hot key's join partition.
+    several = written(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor"), "several")
     anchors = written(found.join(several, "anchor"), "anchors")
     release(docs)
 
     known = anchors.where("context IS NOT NULL")
-    first = known.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"))
+    first = written(known.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "first")
     settled = known.join(first, ["anchor", "context"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("context").alias("contexts"))
     open_ends = anchors.where("context IS NULL").select("anchor", "doc_id")
     going_on = first.select("anchor", F.col("first").alias("doc_id")).unionByName(open_ends)
-    various = going_on.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    various = written(going_on.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "various")
     open_docs = going_on.join(various, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     full = named.join(open_docs, "doc_id").mapInArrow(_window_rows(window), "anchor long, passage long, doc_id long")
