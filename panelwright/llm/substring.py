@@ -210,7 +210,7 @@ def repeated_passages(docs: DataFrame, window: int) -> DataFrame:
     open_docs = going_on.join(various, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     full = named.join(open_docs, "doc_id").mapInArrow(_window_rows(window), "anchor long, passage long, doc_id long")
-    earliest = full.groupBy("anchor", "passage").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    earliest = written(full.groupBy("anchor", "passage").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "earliest")
     passages = full.join(earliest, ["anchor", "passage"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("passage").alias("passages"))
     out = written(settled.join(passages, "doc_id", "full_outer"), "passages")
     release(docs)
