@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.shared import sheltered, unsheltered, written
 from panelwright.llm.substring import cut_words
-from panelwright.llm.textwords import ALNUM_WORDS, _poly, mix, words_of
+from panelwright.llm.textwords import ALNUM_WORDS, _poly, mix, text_chunks, words_of
 
 U64 = np.uint64
 BLOCK_WORDS = 2_000_000
@@ -231,8 +232,9 @@ def _matches(shared, n: int, cut: bool, min_words: int, min_percent: int, schema
                 out |= {"n_words": pa.array(counts), "n_hit": pa.array(n_hit), "items": pa.array([sorted(x) for x in found], pa.list_(pa.int64())), "spans": pa.array(merged, pa.list_(pa.list_(pa.int64())))}
                 if cut and last:
                     gone = _over_limit(merged, words, n_hit, counts, min_words, min_percent)
-                    raw = list(words_of(batch.column("text").slice(row, end - row), ALNUM_WORDS, most=1 << 62))[0][2]
-                    out["text"] = cut_words(raw, ~gone).cast(pa.string()) if gone.any() else out["text"]
+                    if gone.any():  # the words' places in the text as it was, not lower-cased
+                        written_as = next(text_chunks(batch.column("text").slice(row, end - row), most=1 << 62))[2]
+                        out["text"] = cut_words(replace(words, data=written_as), ~gone).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in schema], schema=schema)
 
     return rows

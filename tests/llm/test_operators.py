@@ -177,6 +177,9 @@ def test_cut_removes_the_spans(spark):
     out = {r.doc_id: r for r in decontam.decontaminate(docs_of(spark, rows).withColumnRenamed("lang", "items"), spark.createDataFrame([(7, item)], "item_id long, text string"), cut=True).collect()}
     assert out[1].n_hit == 15 and not out[1].contaminated and out[1].text.startswith("Before, after.") and out[2].text == "nothing here"
     assert out[3].n_words == 0
+    mixed = f"A BCD eFg Hi. {item.upper()} Then MORE Of it, " + "Yes NO " * 300
+    mixed = decontam.decontaminate(docs_of(spark, [(0, "ABC Def"), (4, mixed)]), spark.createDataFrame([(7, item)], "item_id long, text string"), cut=True).where("doc_id = 4").first()
+    assert not mixed.contaminated and mixed.text == "A BCD eFg Hi Then MORE Of it, " + "Yes NO " * 300
     assert decontam.decontaminate(docs_of(spark, EDGE), spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
