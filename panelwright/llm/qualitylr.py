@@ -123,11 +123,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
-        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending")]).combine_chunks() if held else None
+        table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks() if held else None
         rows = [(table.column("text").chunk(0), table.column("y").to_numpy())] if table is not None else []
         yield pa.RecordBatch.from_arrays([pa.array([learn(rows, bits, epochs).astype("<f8").tobytes()], pa.binary())], names=["weights"])
 
-    sample = labelled_sample(docs, labels, label, most_rows).coalesce(1)
+    sample = labelled_sample(docs, labels, label, most_rows).repartition(1)  # not coalesce: that would read all documents in this task
     found = sample.mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(found[0].weights, "<f8") if found else np.zeros((1 << bits) + 1)
 
