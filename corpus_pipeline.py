@@ -30,9 +30,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least doc_id."""
-    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near copies: the one of least doc_id.
+
+    Rows without a doc_id are compared with nothing, and all of them stay. Of rows that
+    repeat a doc_id each is judged by its own text; of those with equal texts one stays,
+    with the least of the other columns.
+    """
+    found = near_duplicates(docs, percent=80, keyed=True).where("doc_id IS NOT NULL")
+    found = written(found.select("doc_id", "text_key", "kept"), "found")
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    kept = found.where("kept").join(repeated, "doc_id", "left_anti").select("doc_id")
+    out = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    if repeated.isEmpty():
+        return out
+    texts = found.where("kept").join(repeated, "doc_id", "left_semi").select("doc_id", "text_key").distinct()
+    rows = docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string"))).join(texts, ["doc_id", "text_key"], "left_semi")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    rows = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("least"))
+    return out.unionByName(rows.select("doc_id", "text", *[f"least.{c}" for c in others]))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

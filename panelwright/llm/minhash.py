@@ -95,6 +95,7 @@ def _signatures(n: int, layout: tuple[int, int, int]):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kept = [c for c in batch.schema.names if c != "text"]
             for row, end, words, h in _lower_word_hashes(batch):
                 value, owner = _shingle_sets(words, h, n)
                 count = np.bincount(owner, minlength=words.n_docs)
@@ -111,8 +112,8 @@ def _signatures(n: int, layout: tuple[int, int, int]):
                 packed = np.full(words.n_docs, None, dtype=object)
                 packed[full] = [x.tobytes() for x in signature]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, end - row), pa.array(count.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), pa.array(list(packed), pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                    [*[batch.column(c).slice(row, end - row) for c in kept], pa.array(count.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), pa.array(list(packed), pa.binary())],
+                    names=[*kept, "n_shingles", "set_a", "set_b", "signature"],
                 )
 
     return rows
@@ -221,8 +222,8 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(_overlap, "doc_id long, hub long, common long, size long, hub_size long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width: int = 7, errors: int = 1) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id and kept.
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width: int = 7, errors: int = 1, keyed: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id and kept; with ``keyed`` also text_key, the xxhash64 of the text.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets
     of ``shingle``-word shingles (A-Z lower-cased; a shorter text is one shingle).
@@ -239,7 +240,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width:
     layout = index_layout(percent, width, errors)
     size = layout[0] * layout[1]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = written(texts.mapInArrow(_signatures(shingle, layout), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "signatures")
+    key = ["text_key"] if keyed else []
+    rows = texts.withColumn("text_key", F.xxhash64("text")) if keyed else texts
+    known = written(rows.mapInArrow(_signatures(shingle, layout), f"doc_id long, {'text_key long, ' if keyed else ''}n_shingles long, set_a long, set_b long, signature binary"), "signatures")
     full = known.where("doc_id IS NOT NULL AND n_shingles > 0")
 
     # Tables that are joined with what they were counted from are written first: Spark then can split a hot key's join partition.
@@ -288,5 +291,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width:
     found = roots if late.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     out = known.drop("signature").join(same, ["set_a", "set_b", "n_shingles"], "left")
     out = out.join(found, F.coalesce("one", "doc_id") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("root", "one", "doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("root", "one", "doc_id")).alias("component_id"), *key)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -407,3 +407,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert 304 in ids[2] and 304 not in ids[3]
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == ids[3]
+
+
+def test_near_dedup_keeps_rows_without_id_and_one_of_equal_rows(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(0)), (None, text(0)), (None, None), (1, text(1)), (1, text(1)), (2, text(2)), (3, text(2)), (3, text(3)), (3, text(3)), (4, None), (4, None), (4, text(1)), (5, text(5))]
+    out = corpus_pipeline.near_dedup(spark, docs_of(spark, rows), "")
+    assert out.columns == docs_of(spark, []).columns
+    wanted = [(None, text(0)), (None, text(0)), (None, None), (1, text(1)), (2, text(2)), (3, text(3)), (4, None), (5, text(5))]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(wanted, key=str)
