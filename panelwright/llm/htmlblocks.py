@@ -17,6 +17,7 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements whose content is not text of the page. Fixed values.
 SKIPPED = frozenset("script style template noscript iframe object svg math".split())
+_END = {name: re.compile(f"</{name}", re.I | re.A) for name in SKIPPED}
 #: Elements without content. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block. Fixed values.
@@ -81,8 +82,8 @@ def blocks_of(page: str | None) -> list[Block]:
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in SKIPPED:
             if not closing and not attributes.endswith("/"):
-                stop = page.lower().find(f"</{name}", at) if name not in ("svg", "math") else page.find(f"</{name}", at)
-                at = n if stop < 0 else stop
+                end = _END[name].search(page, at)
+                at = end.start() if end else n
             end_block()
             continue
         if name in INLINE:

@@ -351,6 +351,12 @@ def test_main_text_of_pages(spark):
     assert htmlcrf.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["script", "SCRIPT", "svg", "SVG", "Math", "style"])
+def test_skipped_elements_lose_no_page_text(name):
+    page = f"<p>{'İ' * 30} a<{name}>x < y</{name}> rest of the paragraph, which is long enough</p><p>last</p>"
+    assert " ".join(b.text for b in htmlblocks.blocks_of(page)) == f"{'İ' * 30} a rest of the paragraph, which is long enough last"
+
+
 def test_field_on_pages_it_has_not_seen():
     model = htmlcrf.standard_model()
     wrong = total = 0
