@@ -173,7 +173,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     """Learn lexicon and curve from at most ``most_rows`` labelled documents that are not held out.
 
     Entries have up to ``longest`` letters; at most ``most_entries`` of the most
-    significant are kept, which bounds what is broadcast. Without labelled rows of both
+    significant are kept, which bounds what is broadcast. More than 70 % of the documents
+    that hold an entry are toxic, and more than of all learned rows. Without labelled rows of both
     kinds the lexicon is empty and every score is that of no hit.
     """
     sample = labelled_sample(docs, labels, label, most_rows)
@@ -184,7 +185,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     counted = sample.mapInArrow(_beginnings(longest), "stem string, y int, kin long").groupBy("stem", "kin").agg(F.max("y").alias("y"))
     tested = written(counted.groupBy("stem").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("a >= 3"), "beginnings")
     base = toxic / (toxic + clean)
-    plausible = tested.where(F.col("a") > F.col("n") * max(0.7, 2 * base)).orderBy(F.desc("a"), "stem").limit(50 * most_entries)
+    plausible = tested.where(F.col("a") > F.col("n") * max(0.7, base)).orderBy(F.desc("a"), "stem").limit(50 * most_entries)
     lexicon = choose_entries({r.stem: (r.a, r.n) for r in plausible.collect()}, tested.count(), toxic, clean, most_entries)
     model = Model(lexicon, exceptions)
     shared = docs.sparkSession.sparkContext.broadcast(model)

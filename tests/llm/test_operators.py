@@ -334,6 +334,22 @@ def test_toxicity_learns_stems_and_sees_through_disguise(spark):
     assert toxicity.train_toxicity(docs_of(spark, rows), labels.limit(0)).lexicon == {}
 
 
+@pytest.mark.parametrize("toxic", [11, 16])
+def test_toxicity_learns_whatever_the_share_of_toxic_rows(spark, toxic):
+    r = random.Random(toxic)
+    rows = []
+    for i in range(1600):
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+        if i % 20 < toxic:
+            words[3], words[20] = r.choice(("moronic", "morons", "moron")), "vileness"
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 20 < toxic)) for i in range(1600)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(docs_of(spark, rows), labels)
+    assert any("vileness".startswith(s) for s in model.lexicon), model.lexicon
+    out = toxicity.score_toxicity(docs_of(spark, rows), model).where("held_out").collect()
+    assert {(int(x.doc_id % 20 < toxic), x.predicted) for x in out} == {(0, 0), (1, 1)}
+
+
 # ------------------------------------------------------------ main text
 
 
