@@ -29,7 +29,7 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 
 @dataclass
 class Block:
-    """path: (tag, names) from the root; names are the words of class, id and role."""
+    """path: (tag, names) of the distinct ancestors, then of the two innermost, the block's own last; names are the words of class, id and role."""
 
     path: tuple[tuple[str, str], ...]
     text: str
@@ -51,6 +51,8 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return out
     stack: list[tuple[str, str]] = []
+    distinct: dict[tuple[str, str], int] = {}  # how often each element is in the stack
+    tags: dict[str, int] = {}
     parts: list[str] = []
     linked: list[str] = []
     links = 0
@@ -61,10 +63,18 @@ def blocks_of(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 inside = len(" ".join(html.unescape("".join(linked)).split())) if linked else 0
-                out.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, inside))
+                out.append(Block((*distinct, *stack[-2:]) if len(stack) > 1 else tuple(stack), text, inside))
             parts.clear()
             linked.clear()
 
+    def pop() -> str:
+        x = stack.pop()
+        tags[x[0]] -= 1
+        distinct[x] -= 1
+        if not distinct[x]:
+            del distinct[x]
+        return x[0]
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -95,19 +105,20 @@ def blocks_of(page: str | None) -> list[Block]:
         end_block()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            while tags.get(name) and pop() != name:
+                pass
             continue
         if name in _ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            pop()
         ended = _SIBLINGS.get(name)
         if ended:
             while stack and stack[-1][0] in (*ended, "p"):
-                stack.pop()
-        if name not in VOID and not attributes.endswith("/") and len(stack) < 200:
-            stack.append((name, _names(attributes)))
+                pop()
+        if name not in VOID and not attributes.endswith("/"):
+            x = (name, _names(attributes))
+            stack.append(x)
+            tags[name] = tags.get(name, 0) + 1
+            distinct[x] = distinct.get(x, 0) + 1
     end_block()
     return out
 

@@ -373,6 +373,15 @@ def test_skipped_elements_lose_no_page_text(name):
     assert " ".join(b.text for b in htmlblocks.blocks_of(page)) == f"{'İ' * 30} a rest of the paragraph, which is long enough last"
 
 
+@pytest.mark.parametrize("depth", [10, 1000, 100_000])
+def test_deep_nesting_closes_no_outer_element(depth):
+    page = "<div class=sidebar>" + "<div>" * depth + "<p>deep</p>" + "</div>" * depth + "<p>side</p></div></section><p>out</p>"
+    features = [(b.text, "name=sidebar" in htmlcrf.path_features(b.path)) for b in htmlblocks.blocks_of(page)]
+    assert features == [("deep", True), ("side", True), ("out", False)]
+    below = htmlblocks.blocks_of("<div>" * depth + "<aside class=rail><p>x" + "</aside>y")
+    assert [{"in=aside", "name=rail", "parent=aside"} <= set(htmlcrf.path_features(b.path)) for b in below] == [True, False]
+
+
 def test_field_on_pages_it_has_not_seen():
     model = htmlcrf.standard_model()
     wrong = total = 0
