@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -158,7 +159,7 @@ def text_chunks(column: pa.Array, most: int = _CHUNK_BYTES) -> Iterator[tuple[in
     else:
         column, kind = column.cast(pa.string()), np.int32
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     n = len(column)
     if n == 0:
         return
