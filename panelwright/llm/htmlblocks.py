@@ -17,6 +17,8 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements whose content is not text of the page. Fixed values.
 SKIPPED = frozenset("script style template noscript iframe object svg math".split())
+#: Those of them that can be closed by their own start tag; for all other elements a slash there means nothing. Fixed values.
+_SELF_CLOSED = frozenset("svg math".split())
 _END = {name: re.compile(f"</{name}", re.I | re.A) for name in SKIPPED}
 #: Elements without content. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,7 +93,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in SKIPPED:
-            if not closing and not attributes.endswith("/"):
+            if not closing and not (name in _SELF_CLOSED and attributes.endswith("/")):
                 end = _END[name].search(page, at)
                 at = end.start() if end else n
             end_block()
@@ -114,7 +116,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if ended:
             while stack and stack[-1][0] in (*ended, "p"):
                 pop()
-        if name not in VOID and not attributes.endswith("/"):
+        if name not in VOID:
             x = (name, _names(attributes))
             stack.append(x)
             tags[name] = tags.get(name, 0) + 1
