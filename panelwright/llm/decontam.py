@@ -11,14 +11,17 @@ stretches in which no item has that neighbourhood; a longest match of two words
 more needs each of its neighbourhoods in an item, so nothing is missed. Words are
 compared by their bytes in the walk.
 
-Items are broadcast, and their size is checked: blocks of items hold at most
-``BLOCK_WORDS`` words, one automaton a block, and the documents are passed by one
-block after another with what was found so far written in between.
+Items are broadcast, and their size is checked: a pass over the documents takes items of
+at most about ``PASS_WORDS`` words, and larger benchmarks take several passes with what
+was found so far written in between. A worker process builds the automata of a pass
+once, for all of its tasks: one for each block of ``BLOCK_WORDS`` words, which takes
+about 90 MB while it is built and then is frozen into arrays of 5 to 10 MB.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -32,7 +35,8 @@ from panelwright.llm.substring import cut_words
 from panelwright.llm.textwords import ALNUM_WORDS, _poly, mix, text_chunks, words_of
 
 U64 = np.uint64
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 100_000
+PASS_WORDS = 2_000_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE_BITS = 20
 
@@ -56,29 +60,50 @@ class Automaton:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        #: items that hold the state's n-word suffix; whole items of fewer words, with their lengths
-        self.items: list[set[int]] = [set() for _ in self.next]
-        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]
+        #: for a state of n words or more: the one on its link path whose class has n words
+        of_n = [0] * len(self.next)
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        for s in order:
+            up = self.link[s]
+            if self.length[s] >= n:
+                of_n[s] = s if self.length[up] < n else of_n[up]
+        #: items that hold the n words of such a class; whole items of fewer words, with their lengths
+        self.items: dict[int, set[int]] = {}
+        whole: dict[int, list[tuple[int, int]]] = {}
         for key, seq in coded:
             state = 0
             for c in seq:
                 state = self.next[state][c]
-                at = state
-                while at > 0 and key not in self.items[at]:
-                    self.items[at].add(key)
-                    at = self.link[at]
+                if of_n[state]:
+                    self.items.setdefault(of_n[state], set()).add(key)
             if len(seq) < n:
-                self.whole[state].append((key, len(seq)))
-        #: for a state of n words or more: the one on its link path whose class has n words
-        self.of_n = [0] * len(self.next)
-        self.short: list[list[tuple[int, int]]] = [[] for _ in self.next]
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            up = self.link[s]
-            if self.length[s] >= n:
-                self.of_n[s] = s if self.length[up] < n else self.of_n[up]
-            self.short[s] = self.short[up] + self.whole[s] if self.whole[s] else self.short[up]
-        lengths = [min(n, len(seq)) for _, seq in coded]
-        self.shortest = min(lengths, default=0)
+                whole.setdefault(state, []).append((key, len(seq)))
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for s in order:
+            if s in whole or self.link[s] in self.short:
+                self.short[s] = self.short.get(self.link[s], []) + whole.get(s, [])
+        self.shortest = min((min(n, len(seq)) for _, seq in coded), default=0)
+        names = list(self.words)
+        self.neighbours = [(names[a], names[b]) for a, s in self.next[0].items() for b in self.next[s]]
+        self._freeze(of_n)
+
+    def _freeze(self, of_n: list[int]) -> None:
+        """Transitions as ascending keys (state, word) with their targets; states as arrays."""
+        count = np.fromiter(map(len, self.next), np.int64, len(self.next))
+        total = int(count.sum())
+        word = np.fromiter((c for step in self.next for c in step), np.uint64, total)
+        target = np.fromiter((s for step in self.next for s in step.values()), np.int32, total)
+        keys = np.repeat(np.arange(len(count), dtype=U64), count) << U64(32) | word
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], target[order]
+        self.link, self.length, self.of_n = (np.array(x, dtype=np.int32) for x in (self.link, self.length, of_n))
+        self.next = []
+
+    def step(self, state: int, c: int) -> int:
+        """The state after a word, or -1."""
+        key = state << 32 | c
+        at = int(np.searchsorted(self.keys, U64(key)))
+        return int(self.targets[at]) if at < len(self.keys) and int(self.keys[at]) == key else -1
 
     def _extend(self, last: int, c: int) -> int:
         """The state of the sequence of ``last`` followed by c, new or there already."""
@@ -123,42 +148,38 @@ class Automaton:
             if c is None:
                 state = matched = 0
                 continue
-            while state and c not in self.next[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            if c in self.next[state]:
-                state = self.next[state][c]
+            after = self.step(state, c)
+            while after < 0 and state:
+                state = int(self.link[state])
+                matched = int(self.length[state])
+                after = self.step(state, c)
+            if after >= 0:
+                state = after
                 matched += 1
             if matched >= n:
                 spans.append((i - n + 1, i))
-                found |= self.items[self.of_n[state]]
-            for key, length in self.short[state]:
+                found |= self.items[int(self.of_n[state])]
+            for key, length in self.short.get(state, ()):
                 if length <= matched:
                     spans.append((i - length + 1, i))
                     found.add(key)
         return spans, found
 
-    def pairs(self) -> list[tuple[bytes, bytes]]:
-        """All neighbouring words of the items."""
-        names = list(self.words)
-        return [(names[a], names[b]) for a, s in self.next[0].items() for b in self.next[s]]
-
 
 class _Matcher:
-    """An automaton with its table of neighbourhoods, made once in each worker."""
+    """An automaton with its table of neighbourhoods."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], n: int):
         self.automaton = Automaton(items, n)
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.single = self.automaton.shortest == 1
+        pairs = self.automaton.neighbours
         if self.single:
-            names = list(self.automaton.words)
-            self.table[self._slots(self._hash(names))] = True
-        else:
-            pairs = self.automaton.pairs()
-            if pairs:
-                left, right = self._hash([a for a, _ in pairs]), self._hash([b for _, b in pairs])
-                self.table[self._slots(self._pair(left, right))] = True
+            self.table[self._slots(self._hash(list(self.automaton.words)))] = True
+        elif pairs:
+            left, right = self._hash([a for a, _ in pairs]), self._hash([b for _, b in pairs])
+            self.table[self._slots(self._pair(left, right))] = True
+        self.automaton.neighbours = []
 
     @staticmethod
     def _hash(names: list[bytes]) -> np.ndarray:
@@ -174,9 +195,8 @@ class _Matcher:
     def _slots(h: np.ndarray) -> np.ndarray:
         return (h >> U64(64 - _TABLE_BITS)).astype(np.int64)
 
-    def stretches(self, words) -> list[tuple[int, int]]:
-        """Word ranges, each in one document, outside of which nothing can be hit."""
-        h = words.hashes(0)
+    def stretches(self, words, h: np.ndarray) -> list[tuple[int, int]]:
+        """Word ranges, each in one document, outside of which nothing can be hit. h: the words' hashes."""
         least = self.automaton.shortest
         if not len(h) or not least:
             return []
@@ -201,9 +221,28 @@ class _Matcher:
         return out
 
 
+_MATCHERS: dict[str, list[_Matcher]] = {}
+
+
+def matchers(name: str, items: list[tuple[int, list[bytes]]], n: int) -> list[_Matcher]:
+    """The worker's matchers of a pass, one for each block of its items. Those of other passes are dropped."""
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        blocks: list[list] = [[]]
+        held = 0
+        for key, words in items:
+            if held + len(words) > BLOCK_WORDS and blocks[-1]:
+                blocks.append([])
+                held = 0
+            blocks[-1].append((key, words))
+            held += len(words)
+        _MATCHERS[name] = [_Matcher(block, n) for block in blocks]
+    return _MATCHERS[name]
+
+
 def _matches(shared, n: int, cut: bool, min_words: int, min_percent: int, schema: pa.Schema, last: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _Matcher(shared.value, n)
+        blocks = matchers(*shared.value, n)
         for batch in batches:
             for row, end, words in words_of(batch.column("text"), ALNUM_WORDS, lower=True):
                 total = len(words.start)
@@ -213,7 +252,8 @@ def _matches(shared, n: int, cut: bool, min_words: int, min_percent: int, schema
                     for a, b in spans:
                         hit[words.first[i] + a] += 1
                         hit[words.first[i] + b + 1] -= 1
-                for a, b in matcher.stretches(words):
+                h = words.hashes(0)
+                for matcher, (a, b) in ((m, x) for m in blocks for x in m.stretches(words, h)):
                     data = words.data[words.start[a] : words.end[b - 1]].tobytes()
                     shift = words.start[a]
                     tokens = [data[s - shift : e - shift] for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)]
@@ -264,11 +304,11 @@ def _over_limit(spans, words, n_hit, counts, min_words: int, min_percent: int) -
     return gone
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, list[bytes]]]]:
-    """Items in blocks of at most about BLOCK_WORDS words. One block is on the driver at a time, unless there is only one."""
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Items of each pass, of at most about PASS_WORDS words. The items of one pass are on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    count = max(1, -(-int(chars) // (2 * BLOCK_WORDS)))
+    count = max(1, -(-int(chars) // (4 * PASS_WORDS)))
     for k in range(count):
         part = items if count == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)
         yield [(r.item_id, item_words(r.text)) for r in part.collect()]
@@ -285,21 +325,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, min_percen
     more words, and all spans of contaminated documents.
 
     Null texts and texts without words have no hits. Null items are ignored; items of
-    one id count as one item. Empty tables of documents or items are no error.
+    one id count as one item. Rows of documents are judged one by one, whatever they
+    repeat. Empty tables of documents or items are no error.
     """
     added = ["n_words", "n_hit", "items", "spans", "contaminated"]
     frame, names = sheltered(docs, ["text"], added)
     frame = frame.withColumns({"text": F.col("text").cast("string"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<bigint>"), "spans": F.array().cast("array<array<bigint>>")})
-    blocks = _blocks(benchmark)
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    passes = _passes(benchmark)
+    items = next(passes)
+    while items is not None:
+        following = next(passes, None)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
         kind = _arrow_schema(frame)
         frame = frame.mapInArrow(_matches(shared, n, cut, min_words, min_percent, kind, following is None), frame.schema)
         if following is not None:
             frame = written(frame, "decontaminated")
-        block = following
+        items = following
     return unsheltered(frame.withColumn("contaminated", F.expr(f"n_hit > 0 AND 100 * n_hit >= {int(min_percent)} * n_words")), names, added)
 
 
