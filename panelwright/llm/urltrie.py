@@ -4,14 +4,18 @@ Allow and block entries share one trie. An entry fits the urls of its host and o
 subdomains whose path starts with the entry's path. Walking a url down the trie visits
 every entry that fits it, so the deepest one met is the longest match and decides.
 
-The entries are broadcast after their size was checked against ``MOST_ENTRIES``. A
-larger list is joined instead: each url is expanded into its host suffixes and path
-prefixes, at most labels times segments of them, and matched by equality.
+The entries are broadcast after their number and their characters were checked against
+``MOST_ENTRIES`` and ``MOST_CHARS``; the trie of so many takes about 130 MB, and a worker
+process builds it once for all of its tasks. A larger list is joined instead: each url is
+expanded into its host suffixes and the beginnings of its path that end with a segment,
+labels times segments of them, then into the lengths of entries known there, and matched
+by equality.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.shared import extended, sheltered, unsheltered
 
-MOST_ENTRIES = 2_000_000
+MOST_ENTRIES = 100_000
+MOST_CHARS = 16_000_000
 _SEGMENT = re.compile(r"[^/]*/")
 
 
@@ -64,9 +69,20 @@ class Trie:
         return (best[3], best[4]) if best else (None, None)
 
 
+_TRIES: dict[str, Trie] = {}
+
+
+def trie_of(name: str, entries: list[tuple[str, str, str]]) -> Trie:
+    """The worker's trie of these entries. Others are dropped."""
+    if name not in _TRIES:
+        _TRIES.clear()
+        _TRIES[name] = Trie(entries)
+    return _TRIES[name]
+
+
 def _walk(shared, default: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = trie_of(*shared.value)
         for batch in batches:
             found = [trie.match(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             rule, verdict = pa.array([x for x, _ in found], pa.string()), pa.array([y or default for _, y in found], pa.string())
@@ -88,15 +104,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rules: (host, path, verdict), verdict allow or block; rows with a null are ignored.
     Adds host, path, rule (host and path of the deciding entry, or null) and verdict
     (``default`` where no entry fits). A null url, or one without ://, has empty host
-    and path. Equal entries that disagree block. Empty tables are no error.
+    and path. Equal entries that disagree block. Repeated urls are judged alike. Empty
+    tables are no error. The work for a url grows with its labels times its segments.
     """
     added = ["host", "path", "rule", "verdict"]
     frame, names = sheltered(pages, ["url"], added)
     host, path = split_url(F.col("url").cast("string"))
     frame = frame.withColumns({"host": host, "path": path})
     rules = rules.select("host", "path", "verdict").dropna().distinct()
-    if rules.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES:
-        shared = pages.sparkSession.sparkContext.broadcast([tuple(r) for r in rules.collect()])
+    size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0)).alias("chars")).first()
+    if size.n <= MOST_ENTRIES and size.chars <= MOST_CHARS:
+        shared = pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in rules.collect()]))
         judged = frame.mapInArrow(_walk(shared, default), extended(frame, "rule string, verdict string"))
     else:
         judged = _by_join(frame, rules, default)
@@ -104,14 +122,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
 
 
 def _by_join(frame: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by equi-joins of expanded (host suffix, path prefix) pairs of each distinct url."""
+    """The same by equi-joins of the parts of each distinct url."""
     urls = frame.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     entries = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring("path", F.lit(1), k))
+    known = entries.groupBy("rule_host", F.regexp_extract("rule_path", "(?s)^(?:.*/)?", 0).alias("folder")).agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    # Places of the slashes in the path, and 0: each begins with the folder up to there.
+    cuts = F.array_union(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.length("path")), lambda k: (k > 0) & (F.substring("path", k, F.lit(1)) == "/")))
+    cuts = F.when(F.col("path") == "", F.array(F.lit(0))).otherwise(cuts)
     wide = urls.withColumn("rule_host", F.explode(suffixes)).join(entries.select("rule_host").distinct(), "rule_host", "left_semi")
-    hits = wide.withColumn("rule_path", F.explode(prefixes)).join(entries, ["rule_host", "rule_path"])
+    wide = wide.withColumn("cut", F.explode(cuts)).withColumn("folder", F.substring("path", F.lit(1), F.col("cut"))).join(known, ["rule_host", "folder"])
+    wide = wide.withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length("path")).withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
+    hits = wide.select("host", "path", "rule_host", "rule_path").join(entries, ["rule_host", "rule_path"])
     rank = F.struct(F.size(F.split("rule_host", r"\.")), F.length("rule_path"), F.col("rule_verdict") == "block", F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
     best = hits.groupBy("host", "path").agg(F.max(rank).alias("best"))
     out = frame.join(best, ["host", "path"], "left")
