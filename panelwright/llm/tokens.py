@@ -3,8 +3,9 @@
 A byte-pair tokenizer first splits a text into pieces and then encodes each piece on
 its own, and the same pieces come again and again. Encoder splits texts by the same
 pattern, encodes every new piece once with the tokenizer, and looks up the rest. A
-text whose characters the split might treat otherwise is encoded by the tokenizer
-itself. The memory of pieces is bounded; it is emptied when it is full.
+text whose characters the split might treat otherwise, or that holds one of the
+tokenizer's added tokens, is encoded by the tokenizer itself. The memory of pieces is
+bounded; it is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ _N = "0-9²³¹¼½¾"
 BYTE_LEVEL = rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^\s{_L}{_N}]+"
 
-#: Outside of these characters, libraries may differ on case, white space and classes.
-_UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u20ac]")
-MOST_PIECES = 1_000_000
+#: Outside of these characters, libraries may differ on case, white space and classes;
+#: and letters whose small form is outside of the letters above.
+_FAR_CASE = "".join(c for c in map(chr, range(0x80, 0x250)) if any(ord(x) > 0x24F for x in c.lower()))
+_UNUSUAL = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u20ac]|[{_FAR_CASE}]")
+#: About 100 MB of them.
+MOST_PIECES = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,13 +56,13 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer file of the ``tokenizers`` library, without special tokens."""
+    """Token ids of texts by a tokenizer file of the ``tokenizers`` library, as its encode() gives them with add_special_tokens=False."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.pattern = re.compile(WORD_LEVEL if self.lower else BYTE_LEVEL)
@@ -101,7 +105,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, dtype=np.int32)
-            elif _UNUSUAL.search(text):
+            elif _UNUSUAL.search(text) or any(token in text for token in self.added):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
             else:
                 if self.lower:
