@@ -92,7 +92,7 @@ def learn(rows: list[tuple[pa.Array, np.ndarray]], bits: int, epochs: int, alpha
             at = np.searchsorted(key >> bits, np.arange(words.n_docs + 1))
             for i in range(words.n_docs):
                 a, b = at[i], at[i + 1]
-                examples.append((np.append(key[a:b] & (size - 1), size), np.append(value[a:b], 1.0), int(y[row + i])))
+                examples.append((np.append(key[a:b] & (size - 1), size).astype(np.int32), np.append(value[a:b], 1.0).astype(np.float32), int(y[row + i])))
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     rng = np.random.default_rng(5)
     for _ in range(epochs):

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_CHUNK_BYTES = 2 << 20
+_CHUNK_BYTES = 1 << 20
 
 
 def _mask_of(separators: bytes) -> np.ndarray:
