@@ -17,20 +17,27 @@ and the rest are compared with it on the full sets: as many comparisons as rows.
 is similar enough is linked, and links make components.
 
 What the hubs leave open. Let x and y be similar enough, in different components, and
-both compared with hub H. If x and y share nothing outside of H, their overlap is at
-most min(|x & H|, |y & H|), and the sizes tell whether that can do. If they share
-something outside, so much of it must be shared that a prefix of x - H and one of
-y - H, by hash order, have a common item; prefixes hold at most the part of a document
-that similar ones may lack, and one item. So the second comparison takes the pairs of
-one hub that meet in such an item, and those whose sizes allow it. No link between
-different components is lost, and a large group of copies with many different edits
-costs rows, not pairs.
+both compared with hub H. The group of H has a centre: the items that more than half of
+a few of its members hold. (Any set would give right results; this one leaves the least
+outside.) Order all items so that those outside of the centre come first, rare ones
+before, then by hash. Of two similar sets, the first items in this order, as many as
+one may lack and one more, have an item in common. Either that item is outside of the
+centre, and the pair meets in it; the smaller set can lack less than the larger, and the
+places of the item and the sizes bound what can follow. Or nothing outside is common;
+then the overlap is at most the smaller part inside of the centre, and the sizes tell
+whether that can do. The second comparison takes just those pairs.
+
+A meeting of more than ``_SPLIT`` members is not paired at all. It elects a hub of its
+own, the member nearest to the centre, and is compared with that; what is then open
+goes through the same again, with the centre of the new group. So a large group costs
+rows, not pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +52,12 @@ U64 = np.uint64
 MISS = 1e-5
 #: Ids that are sent to all executors at most: 16 MB of them.
 MOST_BROADCAST = 1_000_000
+#: Members that a centre is taken from, apart from the hub.
+_SAMPLE = 15
+#: Members up to which a meeting is paired.
+_SPLIT = 64
+#: Elections one after another; then what is open is paired, whatever its size.
+_LEVELS = 8
 
 
 def index_layout(percent: int, width: int = 7, errors: int = 1) -> tuple[int, int, int]:
@@ -98,14 +111,11 @@ def _signatures(n: int, layout: tuple[int, int, int]):
             kept = [c for c in batch.schema.names if c != "text"]
             for row, end, words, h in _lower_word_hashes(batch):
                 value, owner = _shingle_sets(words, h, n)
-                count = np.bincount(owner, minlength=words.n_docs)
+                count, *sets = _set_keys(value, owner, words.n_docs)
                 full = np.flatnonzero(count)
-                at = np.r_[0, np.cumsum(count[full])[:-1]].astype(np.int64)
-                sets = [np.zeros(words.n_docs, U64) for _ in range(2)]
                 signature = np.zeros((len(full), size), dtype=np.uint16)
                 if len(full):
-                    sets[0][full] = np.add.reduceat(mix(value), at)
-                    sets[1][full] = np.add.reduceat(mix(value ^ U64(0x5851F42D4C957F2D)), at)
+                    at = np.r_[0, np.cumsum(count[full])[:-1]].astype(np.int64)
                     for k in range(size):
                         least = np.minimum.reduceat(value * factor[k] + shift[k], at)
                         signature[:, k] = (mix(least) & U64(0xFFFF)).astype(np.uint16)
@@ -137,21 +147,37 @@ def _index_keys(layout: tuple[int, int, int]):
                     for i in kept:
                         total = mix(total * U64(0x9E3779B97F4A7C15) + s[:, c, i] * weight[c, m, i])
                     out[:, c * len(masks) + m] = total.view(np.int64)
-            ids = np.repeat(np.asarray(batch.column("doc_id")), keys)
+            ids = np.repeat(np.asarray(batch.column("node")), keys)
             for a in range(0, len(ids), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1)[a : a + 100_000]), pa.array(ids[a : a + 100_000])], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1)[a : a + 100_000]), pa.array(ids[a : a + 100_000])], names=["key", "node"])
 
     return rows
 
 
+def _set_keys(value: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of items, two sums of their hashes) of each document: equal sets have equal ones."""
+    count = np.bincount(owner, minlength=n_docs)
+    full = np.flatnonzero(count)
+    sums = [np.zeros(n_docs, U64) for _ in range(2)]
+    if len(full):
+        at = np.r_[0, np.cumsum(count[full])[:-1]].astype(np.int64)
+        sums[0][full] = np.add.reduceat(mix(value), at)
+        sums[1][full] = np.add.reduceat(mix(value ^ U64(0x5851F42D4C957F2D)), at)
+    return count, *sums
+
+
 def _set_rows(n: int):
+    """(node, items) of the rows whose text has the node's set."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = batch.column("set_a").to_numpy(zero_copy_only=False)
             for row, end, words, h in _lower_word_hashes(batch):
                 value, owner = _shingle_sets(words, h, n)
                 at = np.searchsorted(owner, np.arange(words.n_docs + 1)) * 8
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), words.n_docs, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(value.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), raw.cast(pa.binary())], names=["doc_id", "items"])
+                own = pa.array(_set_keys(value, owner, words.n_docs)[1].view(np.int64) == wanted[row:end])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, end - row), raw.cast(pa.binary())], names=["node", "items"]).filter(own)
 
     return rows
 
@@ -165,25 +191,77 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.concatenate([a, b])
             both.sort(kind="stable")
             out[:, i] = np.count_nonzero(both[1:] == both[:-1]), len(a), len(b)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hub"), *map(pa.array, out)], names=["doc_id", "hub", "common", "size", "hub_size"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub"), *map(pa.array, out)], names=["node", "hub", "common", "size", "hub_size"])
+
+
+def _centre_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (hub, items) in the order of hub: the items of two members or more, how many hold each, and the number of members."""
+    held: list[np.ndarray] = []
+    hub = None
+    schema = pa.schema([("hub", pa.int64()), ("members", pa.int64()), ("known", pa.binary()), ("counts", pa.binary())])
+
+    def centre() -> tuple:
+        items, count = np.unique(np.concatenate(held), return_counts=True)
+        several = count >= min(2, len(held))
+        return hub, len(held), items[several].tobytes(), count[several].astype(np.uint8).tobytes()
+
+    for batch in batches:
+        found = []
+        for x, items in zip(batch.column("hub").to_pylist(), batch.column("items"), strict=True):
+            if x != hub and held:
+                found.append(centre())
+                held = []
+            hub = x
+            held.append(np.frombuffer(items.as_buffer(), U64))
+        held = [x.copy() for x in held]  # not a view of the batch
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(schema.types)], schema=schema)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(centre(), schema.types, strict=True)], schema=schema)
 
 
 def _outside_items(percent: int):
-    """Of each document, the first items outside of its hub: as many as similar documents may lack, and one."""
+    """Of each member a row without item, and its first items outside of the centre: as many as similar sets may lack, and one.
+
+    inside: items in the centre. ahead: items outside from this one on, in the group's
+    order. short: whether the item is among as many as the smaller of two similar sets
+    may lack, and one.
+    """
+    same = ("hub", "node", "root", "hub_root")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, count = [np.zeros(0, U64)], []
-            for x, y in zip(batch.column("items"), batch.column("hub_items"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                outside = a[~np.isin(a, b, assume_unique=True)]
-                items.append(outside[: len(a) - -(-percent * len(a) // 100) + 1])
-                count.append(len(items[-1]))
-            found = np.concatenate(items).view(np.int64)
-            named = {c: np.repeat(np.asarray(batch.column(c)), count) for c in ("hub", "doc_id", "root")}
-            for a in range(0, len(found), 100_000):
-                b = a + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(found[a:b]), *[pa.array(v[a:b]) for v in named.values()]], names=["item", *named])
+            items, sizes, inside, ahead, short = [], [], [], [], []
+            for x, known, counts, members in zip(batch.column("items"), batch.column("known"), batch.column("counts"), batch.column("members").to_pylist(), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(known.as_buffer(), U64)
+                held = np.zeros(len(a), dtype=np.int64)
+                if len(b):
+                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                    held = np.where(b[at] == a, np.frombuffer(counts.as_buffer(), np.uint8)[at], 0).astype(np.int64)
+                out = 2 * held <= members
+                outside = a[out][np.argsort(held[out], kind="stable")]  # a is in the order of the hashes
+                n = len(a)
+                first = outside[: n - -(-percent * n // 100) + 1]
+                items.append(first)
+                sizes.append(n)
+                inside.append(n - len(outside))
+                ahead.append(len(outside) - np.arange(len(first)))
+                short.append(np.arange(len(first)) < n - -(-2 * percent * n // (100 + percent)) + 1)
+            count = np.array([len(x) for x in items], dtype=np.int64)
+            n = len(count)
+            found = np.concatenate([np.zeros(0, U64), *items]).view(np.int64)
+            repeat = np.r_[np.arange(n), np.repeat(np.arange(n), count)]
+            none = np.r_[np.ones(n, bool), np.zeros(len(found), bool)]
+            columns = {
+                "item": pa.array(np.r_[np.zeros(n, np.int64), found], mask=none),
+                **{c: pa.array(np.asarray(batch.column(c))[repeat]) for c in same},
+                "size": pa.array(np.array(sizes, np.int64)[repeat]),
+                "inside": pa.array(np.array(inside, np.int64)[repeat]),
+                "ahead": pa.array(np.concatenate([np.zeros(n, np.int64), *ahead]).astype(np.int64)),
+                "short": pa.array(np.concatenate([np.zeros(n, bool), *short])),
+            }
+            table = pa.RecordBatch.from_pydict(columns)
+            for a in range(0, len(repeat), 100_000):
+                yield table.slice(a, 100_000)
 
     return rows
 
@@ -211,15 +289,77 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs with the items of doc_id and of hub."""
-    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("hub_items"))
-    return pairs.join(sets, "doc_id").join(hubs, "hub")
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (node, hub) with the sizes of both sets and of their intersection."""
+    hubs = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
+    joined = pairs.select("node", "hub").join(sets, "node").join(hubs, "hub")
+    return joined.mapInArrow(_overlap, "node long, hub long, common long, size long, hub_size long")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    joined = _with_sets(pairs.select("doc_id", "hub"), sets)
-    return joined.mapInArrow(_overlap, "doc_id long, hub long, common long, size long, hub_size long")
+def _first_pairs(single: DataFrame, layout: tuple[int, int, int]) -> DataFrame:
+    """(node, hub): every member of a key's bucket with the bucket's hub."""
+    keys = single.mapInArrow(_index_keys(layout), "key long, node long")
+    # Tables that are joined with what they were counted from are written first: Spark then can split a hot key's join partition.
+    several = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    grouped = written(keys.join(several, "key"), "candidates")
+    shares = grouped.groupBy("node").agg(F.sum("n").alias("shares"))
+    ranked = written(grouped.join(shares, "node").select("key", "node", "shares"), "ranked")
+    hubs = written(ranked.groupBy("key").agg((-F.max(F.struct("shares", (-F.col("node")).alias("minus")))["minus"]).alias("hub")), "hubs")
+    return written(ranked.join(hubs, "key").where("node <> hub").select("node", "hub").distinct(), "pairs")
+
+
+def _open_members(compared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the groups with members outside of their hub's component: what _outside_items gives of each member."""
+    hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    placed = compared.select("node", "hub").join(roots, "node", "left").join(hub_roots, "hub", "left")
+    placed = written(placed.select("node", "hub", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")), "placed")
+    left_open = written(placed.where("root <> hub_root").select("hub").distinct(), "open")
+    rest = placed.join(left_open, "hub", "left_semi")
+    # A few members of each group, dealt by hash: one of each remainder.
+    some = rest.groupBy("hub", F.pmod(F.xxhash64("node"), F.lit(_SAMPLE)).alias("part")).agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("x"))
+    some = some.select("hub", F.col("x.node").alias("node")).unionByName(left_open.select("hub", F.col("hub").alias("node")))
+    centres = some.join(sets, "node").select("hub", "items").repartition("hub").sortWithinPartitions("hub").mapInArrow(_centre_rows, "hub long, members long, known binary, counts binary")
+    with_sets = rest.join(sets, "node").join(written(centres, "centres"), "hub")
+    schema = "item long, hub long, node long, root long, hub_root long, size long, inside long, ahead long, short boolean"
+    return written(with_sets.mapInArrow(_outside_items(percent), schema), "items")
+
+
+def _meeting_pairs(members: DataFrame, percent: int, split: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """((node, hub) of the pairs that meet in an item outside, (node, hub) of what larger meetings elected)."""
+    items = members.where("item IS NOT NULL")
+    met = items.groupBy("hub", "item").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("z"), F.max(F.struct("inside", (-F.col("node")).alias("minus"))).alias("best")).where("a < z")
+    met = written(met.select("hub", "item", "n", (-F.col("best.minus")).alias("next")), "met")
+    elected = None
+    if split is not None:
+        large = met.where(F.col("n") > split)
+        if not large.isEmpty():
+            elected = items.join(large.select("hub", "item", "next"), ["hub", "item"]).where("node <> next").select("node", F.col("next").alias("hub")).distinct()
+            met = met.where(F.col("n") <= split)
+    meeting = written(items.join(met.select("hub", "item"), ["hub", "item"]), "meeting")
+    small = meeting.where("short").select("hub", "item", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "inside", "ahead")])
+    pairs = meeting.join(small, ["hub", "item"]).where(
+        f"(x_size < size OR x_size = size AND x_node < node) AND root <> x_root AND 100 * x_size >= {percent} * size "
+        f"AND (least(inside, x_inside) + least(ahead, x_ahead)) * {100 + percent} >= {percent} * (size + x_size)"
+    )
+    return pairs.select("node", F.col("x_node").alias("hub")), elected
+
+
+def _inside_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(node, hub) of the pairs that have nothing outside in common, but perhaps enough inside.
+
+    Inside of w items, a set of size n can be similar to sets of up to ``reach`` = w *
+    (100 + percent) / percent - n items. Sizes are put in classes of about half of one per
+    cent, and a set looks only into those that its reach and theirs allow.
+    """
+    grade = F.when(F.col("size") < 200, F.col("size")).otherwise(F.floor(F.log(F.col("size") / 200) * 200) + 200)
+    able = members.where(f"item IS NULL AND 100 * inside >= {percent} * size")
+    able = able.select("hub", "node", "root", "hub_root", "size", grade.cast("long").alias("grade"), F.expr(f"inside * {100 + percent} div {percent} - size").alias("reach"))
+    able = written(able, "able")
+    grades = able.groupBy("hub", "grade").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("reach").alias("most"), F.min("root").alias("a"), F.max("root").alias("z"))
+    x = able.where("root <> hub_root").select("hub", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "reach")])
+    fit = x.join(grades, "hub").where(f"low <= x_reach AND most >= x_size AND 100 * high >= {percent} * x_size AND 100 * x_size >= {percent} * low AND (a <> x_root OR z <> x_root)")
+    pairs = fit.select("hub", "grade", "x_node", "x_root", "x_size", "x_reach").join(able, ["hub", "grade"]).where("node <> x_node AND root <> x_root AND size <= x_reach AND x_size <= reach")
+    return pairs.select(F.greatest("node", "x_node").alias("node"), F.least("node", "x_node").alias("hub"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width: int = 7, errors: int = 1, keyed: bool = False) -> DataFrame:
@@ -232,64 +372,62 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, width:
 
     A null or wordless text has an empty set, is linked with nothing and kept. An
     empty table gives an empty one. A null doc_id is left out of all comparisons: its
-    component_id is null and it is kept. Rows of equal doc_id are one document only in
-    name: each gives a row, all with the component of the id.
+    component_id is null and it is kept. Rows of equal doc_id with different texts are
+    documents of their own that share a name: each is compared, and each row has the
+    component of its own text. Other columns of docs play no part.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     layout = index_layout(percent, width, errors)
-    size = layout[0] * layout[1]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = ["text_key"] if keyed else []
     rows = texts.withColumn("text_key", F.xxhash64("text")) if keyed else texts
     known = written(rows.mapInArrow(_signatures(shingle, layout), f"doc_id long, {'text_key long, ' if keyed else ''}n_shingles long, set_a long, set_b long, signature binary"), "signatures")
     full = known.where("doc_id IS NOT NULL AND n_shingles > 0")
 
-    # Tables that are joined with what they were counted from are written first: Spark then can split a hot key's join partition.
-    same = written(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("one")), "sets")
-    chosen = full.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n_shingles", "signature")).alias("x")).select("doc_id", "x.*")
-    single = written(chosen.join(same, ["set_a", "set_b", "n_shingles"]).where("doc_id = one").select("doc_id", "signature"), "signatures")
-
-    keys = single.mapInArrow(_index_keys(layout), "key long, doc_id long")
-    several = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    grouped = written(keys.join(several, "key"), "candidates")
-    shares = grouped.groupBy("doc_id").agg(F.sum("n").alias("shares"))
-    ranked = written(grouped.join(shares, "doc_id").select("key", "doc_id", "shares"), "ranked")
-    release(docs)
-    hubs = written(ranked.groupBy("key").agg((-F.max(F.struct("shares", (-F.col("doc_id")).alias("minus")))["minus"]).alias("hub")), "hubs")
-    pairs = written(ranked.join(hubs, "key").where("doc_id <> hub").select("doc_id", "hub").distinct(), "pairs")
-    wanted = written(pairs.select("doc_id").unionByName(pairs.select(F.col("hub").alias("doc_id"))).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # else the texts are shuffled
-    sets = written(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(shingle), "doc_id long, items binary"), "sets")
+    # A node is a distinct set, and goes by the least doc_id that has it, or by a hash where that id has several sets.
+    one = ["set_a", "set_b", "n_shingles"]
+    nodes = written(full.groupBy(*one).agg(F.min("doc_id").alias("one"), F.first("signature").alias("signature")), "nodes")
+    namesakes = written(nodes.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one", F.lit(True).alias("several")), "namesakes")
+    distinct_names = namesakes.isEmpty()
+    if distinct_names:
+        nodes = nodes.withColumn("node", F.col("one"))
+    else:
+        nodes = nodes.join(namesakes, "one", "left").withColumn("node", F.when(F.col("several"), F.xxhash64(*one)).otherwise(F.col("one")))
     release(docs)
 
-    similar = F.expr(f"100 * common >= {percent} * (size + hub_size - common)")
-    compared = written(_compared(pairs, sets), "compared")
-    edges = compared.where(similar).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    roots = components(edges)
+    pairs = _first_pairs(nodes.select("node", "signature"), layout)
+    wanted = written(pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct(), "wanted")
+    few = wanted.count() <= MOST_BROADCAST
+    named = nodes.select("node", F.col("one").alias("doc_id"), "set_a").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    named = F.broadcast(written(named, "named")) if few else named  # else the texts are shuffled
+    sets = written(texts.join(named, "doc_id").mapInArrow(_set_rows(shingle), "node long, items binary").dropDuplicates(["node"]), "sets")
     release(docs)
 
-    # Hubs with documents outside of their component, and all that was compared with them.
-    hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    placed = compared.join(roots, F.col("doc_id") == F.col("node"), "left").join(hub_roots, "hub", "left")
-    placed = written(placed.select("doc_id", "hub", "common", "size", F.coalesce("root", "doc_id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")), "placed")
-    left_open = written(placed.where("root <> hub_root").select("hub").distinct(), "open")
-    rest = placed.join(left_open, "hub", "left_semi")
-    items = _with_sets(rest.select("doc_id", "hub", "root"), sets).mapInArrow(_outside_items(percent), "item long, hub long, doc_id long, root long")
-    items = written(items, "items")
-    shared = written(items.groupBy("hub", "item").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").drop("a", "z"), "shared")
-    meeting = written(items.join(shared, ["hub", "item"]), "meeting")
-    other = meeting.select("hub", "item", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
-    by_item = meeting.join(other, ["hub", "item"]).where("x < doc_id AND root <> x_root").select("doc_id", F.col("x").alias("hub")).distinct()
-    able = rest.where(f"100 * common >= {percent} * size")
-    outside = able.where("root <> hub_root").select("hub", F.col("doc_id").alias("x"), F.col("root").alias("x_root"), F.col("common").alias("x_common"), F.col("size").alias("x_size"))
-    by_size = able.join(outside, "hub").where(f"doc_id <> x AND root <> x_root AND least(common, x_common) * {100 + percent} >= {percent} * (size + x_size)")
-    by_size = by_size.select(F.greatest("doc_id", "x").alias("doc_id"), F.least("doc_id", "x").alias("hub")).distinct()
-    second = written(by_item.unionByName(by_size).distinct(), "pairs")
-    late = written(_compared(second, sets).where(similar).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), "linked")
+    similar = F.expr(f"100 * common >= {percent} * (size + hub_size - common)")
+    edges, second = [], []
+    roots = None
+    for level in range(_LEVELS):
+        compared = written(_compared(pairs, sets), "compared")
+        edges.append(compared.where(similar).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        roots = components(reduce(DataFrame.unionByName, edges))
+        release(docs)
+        members = _open_members(compared, roots, sets, percent)
+        met, elected = _meeting_pairs(members, percent, _SPLIT if level < _LEVELS - 1 else None)
+        second += [met, _inside_pairs(members, percent)]
+        if elected is None:
+            break
+        pairs = written(elected, "elected")
+    second = written(reduce(DataFrame.unionByName, second).distinct(), "pairs")
+    late = written(_compared(second, sets).where(similar).select(F.col("node").alias("a"), F.col("hub").alias("b")), "linked")
     release(docs)
     found = roots if late.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
-    out = known.drop("signature").join(same, ["set_a", "set_b", "n_shingles"], "left")
-    out = out.join(found, F.coalesce("one", "doc_id") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("root", "one", "doc_id")).alias("component_id"), *key)
+    classes = nodes.select(*one, "one", "node").join(found, "node", "left").select(*one, "one", F.coalesce("root", "node").alias("root"))
+    if distinct_names:
+        classes = classes.drop("one")
+    else:
+        classes = written(classes, "classes")
+        classes = classes.drop("one").join(classes.groupBy("root").agg(F.min("one").alias("least")), "root").drop("root").withColumnRenamed("least", "root")
+    out = known.drop("signature").join(classes, one, "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), *key)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
