@@ -30,14 +30,19 @@ def with_clean_names(panel: DataFrame) -> DataFrame:
     return panel.join(names, "series").select(F.col("clean").alias("series"), "sasdate", "value")
 
 
-def ten_digits(values: Column) -> Column:
-    """Ten significant digits without trailing zeros, and an empty text for NULL."""
+def significant(values: Column, digits: int) -> Column:
+    """Numbers with so many significant digits, without trailing zeros, and an empty text for NULL."""
 
     @F.pandas_udf("string")
-    def digits(numbers: pd.Series) -> pd.Series:
-        return numbers.map(lambda x: "" if pd.isna(x) else f"{x:.10g}")
+    def written(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda x: "" if pd.isna(x) else f"{x:.{digits}g}")
+
+    return written(values)
 
-    return digits(values)
+
+def ten_digits(values: Column) -> Column:
+    """Ten significant digits, as panels are written."""
+    return significant(values, 10)
 
 
 def us_date(date: Column | str) -> Column:

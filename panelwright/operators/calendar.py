@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from calendar import monthrange
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +23,18 @@ def calendar(panel: DataFrame) -> DataFrame:
 
 
 def densify(panel: DataFrame, start, end) -> DataFrame:
-    """Every month from start to end for every series, by one exchange on the series.
+    """Every month from start to end for every series; dates outside or off the grid go.
 
-    A series' own rows are as many as it has months; two rows of one month are an error.
+    The empty months are added as rows and merged with the panel's in one exchange on the
+    series, which all windows of a series use again. Two rows of one month are an error.
     """
-    rows = panel.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("sasdate", "value"))).alias("cells"))
-    months = F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 month"))
-    return rows.select("series", "cells", F.explode(months).alias("sasdate")).select("series", "sasdate", F.try_element_at("cells", F.col("sasdate")).alias("value"))
+    months = F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 month"))).alias("sasdate")
+    empty = panel.select("series").distinct().select("series", months, F.lit(None).cast("double").alias("value"), F.lit(0).alias("own"))
+    on_grid = panel.where((F.trunc("sasdate", "MM") == F.col("sasdate")) & F.col("sasdate").between(F.lit(start), F.lit(end)))
+    rows = empty.unionByName(on_grid.select("series", "sasdate", "value", F.lit(1).alias("own"))).repartition("series")
+    cells = rows.groupBy("series", "sasdate").agg(F.max("value").alias("value"), F.sum("own").alias("own"))
+    twice = F.concat(F.lit("more than one row of "), F.col("series"), F.lit(" on "), F.col("sasdate").cast("string"))
+    return cells.select("series", "sasdate", F.when(F.col("own") > 1, F.raise_error(twice).cast("double")).otherwise(F.col("value")).alias("value"))
 
 
 def monthly_grid(panel: DataFrame) -> DataFrame:
@@ -41,11 +50,7 @@ def monthly_grid(panel: DataFrame) -> DataFrame:
         raise ValueError(f"more than one row of {repeated[0].series} on {repeated[0].sasdate}")
     if start > end:
         return panel.limit(0)
-    on_grid = panel.where(F.trunc("sasdate", "MM") == F.col("sasdate"))
-    names = panel.select("series").distinct().select("series", F.lit(None).cast("date").alias("sasdate"), F.lit(None).cast("double").alias("value"))
-    rows = on_grid.unionByName(names).groupBy("series").agg(F.map_from_entries(F.expr("collect_list(struct(sasdate, value)) FILTER (WHERE sasdate IS NOT NULL)")).alias("cells"))
-    months = F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 month"))
-    return rows.select("series", "cells", F.explode(months).alias("sasdate")).select("series", "sasdate", F.try_element_at("cells", F.col("sasdate")).alias("value"))
+    return densify(panel, start, end)
 
 
 def duplicate_dates(panel: DataFrame) -> DataFrame:
@@ -63,8 +68,17 @@ def since(panel: DataFrame, anchor) -> DataFrame:
     return panel.where(F.col("sasdate") >= F.lit(anchor).cast("date"))
 
 
+def _whole(label, last: bool):
+    """A label of a year (1965) or of a month (1965-03) as its first day, or its last."""
+    if not isinstance(label, str) or not re.fullmatch(r"\d{4}(-\d{2})?", label):
+        return label
+    year, month = int(label[:4]), int(label[5:] or (12 if last else 1))
+    return date(year, month, monthrange(year, month)[1] if last else 1)
+
+
 def between(panel: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows from start to end, both included; either may be open."""
+    """Rows from start to end, both included; either may be open. A year or a month as text is all of it."""
+    start, end = _whole(start, False), _whole(end, True)
     if start is not None:
         panel = panel.where(F.col("sasdate") >= F.lit(start).cast("date"))
     return panel if end is None else panel.where(F.col("sasdate") <= F.lit(end).cast("date"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.missing import valid_places
-from panelwright.operators.transforms import standardise, transform_by_codes
+from panelwright.operators.transforms import standard_deviation, standardise, transform_by_codes
 
 BALANCES = ("none", "initial", "all")
+#: Rows that each code loses at the start. Fixed values.
+LEADS_LOST = {1: 0, 2: 1, 3: 2, 4: 0, 5: 1, 6: 2, 7: 2}
 
 
 def balance_panel(panel: DataFrame, balance: str = "initial") -> DataFrame:
@@ -20,7 +22,7 @@ def balance_panel(panel: DataFrame, balance: str = "initial") -> DataFrame:
     if balance == "none":
         return full
     begun = full.where("value IS NOT NULL").groupBy("series").agg(F.min("sasdate").alias("d")).agg(F.max("d").alias("begin"))
-    full = full.join(F.broadcast(begun), F.col("sasdate") >= F.col("begin"), "left_semi")  # one row
+    full = full.join(F.broadcast(begun)).where("sasdate >= begin").drop("begin")  # one row
     if balance == "initial":
         return full
     whole = full.groupBy("sasdate").agg(F.bool_and(F.col("value").isNotNull()).alias("whole")).where("whole").select("sasdate")
@@ -33,6 +35,36 @@ def prepare_for_factors(panel: DataFrame, codes: DataFrame, balance: str = "init
     return standardise(out, ddof) if standardised else out
 
 
+def moments(panel: DataFrame, ddof: int = 0) -> DataFrame:
+    """(series, mean, std) of a balanced panel before it is standardised; std is NULL for a series without spread."""
+    return panel.groupBy("series").agg(F.avg("value").alias("mean"), F.nullif(standard_deviation(F.col("value"), ddof), F.lit(0.0)).alias("std"))
+
+
+def prepare_with_info(panel: DataFrame, codes: DataFrame, balance: str = "initial", standardised: bool = True, ddof: int = 0) -> tuple[DataFrame, dict]:
+    """As prepare_for_factors, with what was done.
+
+    The second part has tables, which grow with the panel and are computed when they are
+    read: all_missing (series dropped as they have no value), first_valid (place of the
+    first value of each other series, from 0), global_first (one row: the latest of
+    them), rows_dropped (dates), moments (mean and std of each series; None if not
+    standardised); and the values standardised and leads_lost (rows that each code loses).
+    """
+    transformed = transform_by_codes(panel, codes)
+    balanced = balance_panel(transformed, balance)
+    places = valid_places(transformed)
+    first = places.where("first_valid IS NOT NULL").select("series", (F.col("first_valid") - 1).alias("place"))
+    info = {
+        "all_missing": places.where("first_valid IS NULL").select("series"),
+        "first_valid": first,
+        "global_first": first.agg(F.coalesce(F.max("place"), F.lit(0).cast("long")).alias("place")),
+        "rows_dropped": rows_dropped(transformed, balanced),
+        "moments": moments(balanced, ddof) if standardised else None,
+        "standardised": standardised,
+        "leads_lost": dict(LEADS_LOST),
+    }
+    return (standardise(balanced, ddof) if standardised else balanced), info
+
+
 def rows_dropped(before: DataFrame, after: DataFrame) -> DataFrame:
     """Dates of ``before`` that ``after`` lacks."""
     return before.select("sasdate").distinct().join(after.select("sasdate").distinct(), "sasdate", "left_anti")

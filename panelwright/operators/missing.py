@@ -33,7 +33,7 @@ def boundaries(panel: DataFrame, first=None, second=None, last=None) -> DataFram
 def missing_by_series(panel: DataFrame, first=None, second=None, last=None) -> DataFrame:
     """Per series: rows, missing rows, and flags at the panel's first, second and last date and between them."""
     bounds = boundaries(panel, first, second, last)
-    at = panel.join(F.broadcast(bounds), F.lit(True))  # one row
+    at = panel.join(F.broadcast(bounds))  # one row
     flag: dict[str, Column] = {name: F.coalesce(F.bool_or((F.col("sasdate") == F.col(name)) & _gone()), F.lit(False)) for name in ("first", "second", "last")}
     inner = F.count_if((F.col("sasdate") > F.col("second")) & (F.col("sasdate") < F.col("last")) & _gone())
     out = at.groupBy("series").agg(
@@ -71,15 +71,45 @@ def missing_runs(panel: DataFrame, start=None, end=None) -> DataFrame:
     return cells.groupBy("series", "run").agg(F.min("sasdate").alias("start"), F.max("sasdate").alias("end"), F.count("*").alias("length")).drop("run")
 
 
+def _stretches(panel: DataFrame, *more: Column) -> DataFrame:
+    """Of each series, the rows between one value and the next: how many are missing, their ends and dates, and where they stand.
+
+    One exchange on the series serves the window, this aggregation and any by series.
+    """
+    w = Window.partitionBy("series")
+    placed = panel.withColumns({"before": F.count("value").over(in_order().rowsBetween(Window.unboundedPreceding, 0)), "values": F.count("value").over(w)})
+    gone = F.when(_gone(), F.col("sasdate"))
+    return placed.groupBy("series", "values", "before").agg(F.count("*").alias("rows"), F.count_if(_gone()).alias("length"), F.min(gone).alias("start"), F.max(gone).alias("end"), F.collect_list(gone).alias("dates"), *more)
+
+
+def gap_measures(panel: DataFrame, *more: Column) -> DataFrame:
+    """Per series: n_rows, n_missing, lead_gap and gap as leading_gap and interior_gap have them, and sums of ``more`` aggregates, in one exchange."""
+    inside = (F.col("before") > 0) & (F.col("before") < F.col("values"))
+    zero = F.lit(0).cast("long")
+    out = _stretches(panel, *[c.alias(f"more_{i}") for i, c in enumerate(more)]).groupBy("series", "values").agg(
+        F.sum("rows").alias("n_rows"),
+        F.sum("length").alias("n_missing"),
+        F.coalesce(F.max(F.when(F.col("before") == 0, F.col("length"))), zero).alias("lead_gap"),
+        F.coalesce(F.max(F.when(inside, F.col("length"))), zero).alias("inside"),
+        *[F.sum(f"more_{i}").alias(f"more_{i}") for i in range(len(more))],
+    )
+    gap = F.when(F.col("values") == 0, F.col("n_rows")).otherwise(F.col("inside"))
+    return out.select("series", "n_rows", "n_missing", "lead_gap", gap.alias("gap"), *[f"more_{i}" for i in range(len(more))])
+
+
 def missing_positions(panel: DataFrame, start=None, end=None, limit: int | None = None) -> DataFrame:
     """Per series: missing rows, first and last missing date, runs, the longest run, and the dates (at most ``limit``, if given)."""
-    part = between(panel, start, end)
-    totals = part.groupBy("series").agg(F.count("*").alias("n_rows"), F.count_if(_gone()).alias("n_missing"), F.array_sort(F.collect_list(F.when(_gone(), F.col("sasdate")))).alias("missing_dates"))
-    runs = missing_runs(part).groupBy("series").agg(F.min("start").alias("first_missing"), F.max("end").alias("last_missing"), F.count("*").alias("n_runs"), F.max("length").alias("longest_run"))
-    out = totals.join(runs, "series", "left")
+    out = _stretches(between(panel, start, end)).groupBy("series").agg(
+        F.sum("rows").alias("n_rows"),
+        F.sum("length").alias("n_missing"),
+        F.min("start").alias("first_missing"),
+        F.max("end").alias("last_missing"),
+        F.count_if(F.col("length") > 0).alias("n_runs"),
+        F.max("length").alias("longest_run"),
+        F.array_sort(F.flatten(F.collect_list("dates"))).alias("missing_dates"),
+    )
     dates = F.col("missing_dates") if limit is None else F.slice("missing_dates", 1, limit)
-    zero = F.lit(0).cast("long")
-    return out.select("series", "n_rows", "n_missing", (F.col("n_missing") / F.col("n_rows") * 100).alias("pct_missing"), "first_missing", "last_missing", F.coalesce("n_runs", zero).alias("n_runs"), F.coalesce("longest_run", zero).alias("longest_run"), dates.alias("missing_dates"))
+    return out.select("series", "n_rows", "n_missing", (F.col("n_missing") / F.col("n_rows") * 100).alias("pct_missing"), "first_missing", "last_missing", "n_runs", "longest_run", dates.alias("missing_dates"))
 
 
 def valid_places(panel: DataFrame) -> DataFrame:
@@ -91,16 +121,12 @@ def valid_places(panel: DataFrame) -> DataFrame:
 
 def leading_gap(panel: DataFrame) -> DataFrame:
     """(series, lead_gap): missing rows before the first value; all rows of a series without values."""
-    return valid_places(panel).select("series", F.coalesce(F.col("first_valid") - 1, "n_rows").alias("lead_gap"))
+    return gap_measures(panel).select("series", "lead_gap")
 
 
 def interior_gap(panel: DataFrame) -> DataFrame:
     """(series, gap): the longest run of missing rows between the first and the last value; all rows of a series without values."""
-    ends = valid_places(panel)
-    runs = missing_cells(panel).groupBy("series", "run").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.count("*").alias("length"))
-    inside = runs.join(ends, "series").where("a > first_valid AND z < last_valid").groupBy("series").agg(F.max("length").alias("longest"))
-    gap = F.when(F.col("first_valid").isNull(), F.col("n_rows")).otherwise(F.coalesce("longest", F.lit(0).cast("long")))
-    return ends.join(inside, "series", "left").select("series", gap.alias("gap"))
+    return gap_measures(panel).select("series", "gap")
 
 
 def coverage(panel: DataFrame) -> DataFrame:

@@ -8,10 +8,14 @@ are dealt to tasks by an exchange on the series.
 from __future__ import annotations
 
 import shutil
+import subprocess
+import tempfile
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RESULT = "series string, sasdate date, value double, seasonal double, adjusted double"
 
@@ -92,8 +96,33 @@ def deseasonalise(panel: DataFrame, period: int = 12, robust: bool = True) -> Da
     return panel.groupBy("series").applyInPandas(adjust, RESULT)
 
 
-def external_adjustment(panel: DataFrame, program: str = "x13as") -> DataFrame:
-    """Adjustment by an external program. Only its presence is checked here: without it this is an EnvironmentError."""
+def external_adjustment(panel: DataFrame, program: str = "x13as", timeout: float = 120) -> DataFrame:
+    """(series, sasdate, value, seasonal, adjusted) by a program of the X-13ARIMA-SEATS kind, run once for each monthly series on the executors.
+
+    Without the program this is an EnvironmentError. It is called with the name of a
+    specification (x11 of the series, table d11 saved) in a folder of its own, and its
+    table of adjusted values is read: two heading lines, then YYYYMM and the value. A
+    series that it gives no table for, such as one with a gap, has NULLs.
+    """
     if shutil.which(program) is None:
         raise EnvironmentError(f"{program} is not on the path")
-    raise NotImplementedError(f"running {program} is not supported; use deseasonalise")
+
+    def adjust(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.dropna(subset=["value"]).sort_values("sasdate")[["series", "sasdate", "value"]].copy()
+        out["adjusted"] = np.nan
+        if len(out):
+            with tempfile.TemporaryDirectory() as folder:
+                first = out["sasdate"].iloc[0]
+                data = " ".join(f"{v:.10g}" for v in out["value"])
+                spec = f"series{{ start={first.year}.{first.month} period=12 data=({data}) }}\nx11{{ save=(d11) }}\n"
+                Path(folder, "s.spc").write_text(spec)
+                subprocess.run([shutil.which(program) or program, "s"], cwd=folder, timeout=timeout, capture_output=True, check=False)
+                table = Path(folder, "s.d11")
+                rows = [line.split() for line in table.read_text().splitlines()[2:]] if table.exists() else []
+                found = {int(r[0]): float(r[1]) for r in rows if len(r) >= 2}
+                out["adjusted"] = [found.get(d.year * 100 + d.month, np.nan) for d in out["sasdate"]]
+        out["seasonal"] = out["value"] - out["adjusted"]
+        return out[["series", "sasdate", "value", "seasonal", "adjusted"]]
+
+    out = panel.groupBy("series").applyInPandas(adjust, "series string, sasdate date, value double, seasonal double, adjusted double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("seasonal", "adjusted")})

@@ -5,13 +5,14 @@ test works on one series' values. The decision rule is plain SQL. Statistics fol
 published methods: augmented Dickey-Fuller with lags by AIC, KPSS with the automatic lag
 of Hobijn, Franses and Ooms, Phillips-Perron, DF-GLS of Elliott, Rothenberg and Stock,
 and Zivot-Andrews. The p-values of the first come from MacKinnon's response surface; the
-others are interpolated between published critical values, and so are bounded by the
-outermost of these.
+others go through published critical values: that of KPSS is bounded by the outermost of
+these, those of DF-GLS and Zivot-Andrews are carried on beyond them.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -117,6 +118,14 @@ def kpss(x: np.ndarray, regression: str = "c", nlags: str | int = "auto") -> tup
     return stat, float(np.interp(stat, _KPSS[regression], _KPSS_P))
 
 
+def tail_p(stat: float, critical: tuple[float, ...], p: tuple[float, ...]) -> float:
+    """A p-value through critical values: straight lines between normal quantiles, the outer ones carried on, from 0.0001 to 0.9999."""
+    z = [NormalDist().inv_cdf(x) for x in p]
+    k = min(max(int(np.searchsorted(critical, stat)) - 1, 0), len(critical) - 2)
+    slope = (z[k + 1] - z[k]) / (critical[k + 1] - critical[k])
+    return min(max(NormalDist().cdf(z[k] + slope * (stat - critical[k])), 1e-4), 1 - 1e-4)
+
+
 def phillips_perron(x: np.ndarray) -> tuple[float, float]:
     """(Z-tau, p-value) with a constant."""
     y, z = x[1:], np.column_stack([np.ones(len(x) - 1), x[:-1]])
@@ -131,7 +140,7 @@ def phillips_perron(x: np.ndarray) -> tuple[float, float]:
 
 
 def df_gls(x: np.ndarray, trend: str = "c") -> tuple[float, float]:
-    """(statistic, p-value from 0.01 to 0.10) after quasi-differencing; lags by AIC."""
+    """(statistic, p-value) after quasi-differencing; lags by AIC."""
     n = len(x)
     a = 1 - (7.0 if trend == "c" else 13.5) / n
     z = np.ones((n, 1)) if trend == "c" else np.column_stack([np.ones(n), np.arange(1, n + 1)])
@@ -146,13 +155,19 @@ def df_gls(x: np.ndarray, trend: str = "c") -> tuple[float, float]:
     w, y = _lagged(u, int(np.argmin(scores)), int(np.argmin(scores)))
     b, error, _ = _ols(w, y)
     stat = float(b[0] / error[0])
-    return stat, float(np.interp(stat, _DFGLS[trend], _DFGLS_P))
+    return stat, tail_p(stat, _DFGLS[trend], _DFGLS_P)
 
 
 def zivot_andrews(x: np.ndarray, trend: str = "c", trim: float = 0.15) -> tuple[float, float, int]:
-    """(least statistic over all break places, p-value from 0.01 to 0.10, break place)."""
+    """(least statistic over all break places, p-value, break place). The lags are those of least AIC with a trend and no break."""
     n = len(x)
-    lags = min(int(12 * (n / 100) ** 0.25), n // 4)
+    most = min(int(12 * (n / 100) ** 0.25), n // 4)
+    scores = []
+    for lags in range(most + 1):
+        w, y = _lagged(x, lags, most)
+        z = np.column_stack([np.ones(len(y)), np.arange(len(y)), w])
+        scores.append(len(y) * math.log(max(_ols(z, y)[2], 1e-300) / len(y)) + 2 * z.shape[1])
+    lags = int(np.argmin(scores))
     w, y = _lagged(x, lags, lags)
     time = np.arange(lags + 1, n)
     best, place = math.inf, -1
@@ -168,7 +183,7 @@ def zivot_andrews(x: np.ndarray, trend: str = "c", trim: float = 0.15) -> tuple[
             best, place = float(beta[k] / error[k]), b
     if place < 0:
         raise ValueError("too few values")
-    return best, float(np.interp(best, _ZA[trend], _ZA_P)), place
+    return best, tail_p(best, _ZA[trend], _ZA_P), place
 
 
 def _quiet(test, *arguments):

@@ -5,6 +5,8 @@ All lags are by row, not by calendar distance: rows of NULL stay in place before
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +80,8 @@ def apply_code(panel: DataFrame, code: int, mode: str = "robust") -> DataFrame:
 def extra_transform(panel: DataFrame, kinds: dict[str, str] | str, drop_first: bool = False) -> DataFrame:
     """Difference (``diff``) or difference to 12 rows before (``yoy``) of the named series, or of all.
 
-    Names that the panel does not have are ignored. With drop_first the panel's first date goes.
+    A name that the panel does not have is a warning. With drop_first the panel's first date
+    goes if a named series is missing there afterwards.
     """
     lags = {"diff": 1, "yoy": 12}
     chosen = {"": kinds} if isinstance(kinds, str) else kinds
@@ -92,8 +95,14 @@ def extra_transform(panel: DataFrame, kinds: dict[str, str] | str, drop_first: b
         change = v - F.lag(v, lags[kind]).over(in_order())
         y = change if isinstance(kinds, str) else F.when(F.col("series") == name, change).otherwise(y)
     out = panel.select("series", "sasdate", y.alias("value"))
+    if isinstance(kinds, dict):
+        known = {r.series for r in panel.where(F.col("series").isin(list(kinds))).select("series").distinct().collect()}
+        for name in sorted(set(kinds) - known):
+            warnings.warn(f"no series {name} in the panel", stacklevel=2)
     if drop_first:
-        out = out.where(F.col("sasdate") > panel.agg(F.min("sasdate")).first()[0])
+        first = out.groupBy("sasdate").agg(F.count_if(F.col("value").isNull() & (F.lit(isinstance(kinds, str)) | F.col("series").isin(list(chosen)))).alias("n")).orderBy("sasdate").first()
+        if first is not None and first.n:
+            out = out.where(F.col("sasdate") > first.sasdate)
     return out
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.calendar import since
-from panelwright.operators.missing import coverage, interior_gap, leading_gap
+from panelwright.operators.missing import coverage, gap_measures
 
 
 @dataclass(frozen=True)
@@ -61,21 +62,17 @@ def training_window(panel: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def decisions(panel: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Per series: the four measures, kept, and the reason of a series that goes."""
-    window = training_window(panel, rules)
-    inside = panel.join(F.broadcast(window), F.lit(True))  # one row
-    counts = inside.groupBy("series").agg(
-        F.avg(F.col("value").isNull().cast("int")).alias("missing_share"),
-        F.count(F.when(F.col("sasdate").between(F.col("train_start"), F.col("train_end")), F.col("value"))).alias("nobs_train"),
-    )
-    out = counts.join(leading_gap(panel), "series").join(interior_gap(panel), "series")
+    """Per series: the four measures, kept, and the reason of a series that goes. One exchange on the series, apart from the window's months."""
+    inside = panel.join(F.broadcast(training_window(panel, rules)))  # one row
+    in_training = F.count(F.when(F.col("sasdate").between(F.col("train_start"), F.col("train_end")), F.col("value")))
+    out = gap_measures(inside, in_training).withColumn("missing_share", F.col("n_missing") / F.col("n_rows")).withColumnRenamed("more_0", "nobs_train")
     reason = (
         F.when(F.col("missing_share") > rules.missing_share, "missing_share")
         .when(F.col("lead_gap") > rules.leading, "leading")
         .when(F.col("gap") > rules.interior, "interior_gap")
         .when(F.col("nobs_train") < rules.min_train, "nobs_train")
     )
-    return out.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
+    return out.select("series", "missing_share", "nobs_train", "lead_gap", "gap", reason.alias("reason")).withColumn("kept", F.col("reason").isNull())
 
 
 def build_variant(panel: DataFrame, anchor, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
@@ -85,16 +82,39 @@ def build_variant(panel: DataFrame, anchor, rules: Rules = Rules()) -> tuple[Dat
     return part.join(chosen.where("kept").select("series"), "series", "left_semi"), chosen
 
 
-def catalog(name: str, anchor, panel: DataFrame, chosen: DataFrame, rules: Rules) -> dict:
-    """What a variant is, for its JSON file. One row a series is gathered."""
-    window = training_window(panel, rules).first()
+def parse_variants(items: list[str]) -> dict[str, str]:
+    """Variants written as NAME=MM/DD/YYYY: first dates by name."""
+    out = {}
+    for item in items:
+        name, found, anchor = item.partition("=")
+        if not found or not name:
+            raise ValueError(f"{item!r} is not NAME=MM/DD/YYYY")
+        out[name] = datetime.strptime(anchor, "%m/%d/%Y").date().isoformat()
+    return out
+
+
+def catalog(name: str, anchor, panel: DataFrame, chosen: DataFrame, rules: Rules, anchored: DataFrame | None = None, source: str | None = None, artifacts: dict | None = None) -> dict:
+    """What a variant is, for its JSON file. One row a series is gathered.
+
+    panel is what is kept; anchored, all series from the anchor on, gives the training
+    window (panel itself where it is not passed). Reasons are written with their limits.
+    """
+    whole = panel if anchored is None else anchored
+    window = training_window(whole, rules).first()
+    span = whole.agg(F.min("sasdate"), F.max("sasdate")).first()
     rows = chosen.orderBy("series").collect()
+    day = lambda d: d.strftime("%m/%d/%Y") if d else None
+    reasons = {"missing_share": f"missing_share>{rules.missing_share:.2f}", "leading": f"leading_na>{rules.leading}", "interior_gap": f"interior_gap>{rules.interior}", "nobs_train": f"nobs_train<{rules.min_train}"}
     return {
+        "input_csv": source,
         "variant": name,
-        "anchor_start": str(anchor),
-        "train_window": [str(window.train_start), str(window.train_end)] if window else None,
-        "rules": asdict(rules),
+        "anchor_start": day(date.fromisoformat(str(anchor))),
+        "train_window": [day(window.train_start), day(window.train_end)] if window else None,
+        "rules": {"missing_share_max": rules.missing_share, "leading_na_limit_months": rules.leading, "interior_gap_max_months": rules.interior, "min_obs_train_months": rules.min_train, "leading_ref": "anchor_start"},
+        "training_window_selection": {"cov_thresh": rules.coverage, "train_years": rules.train_years, "holdout_months": rules.holdout_months, "min_run_consecutive": rules.min_run, "anchored_span": [day(d) for d in span]},
+        "n_rows": whole.select("sasdate").distinct().count(),
         "n_series": sum(r.kept for r in rows),
         "kept_series": [r.series for r in rows if r.kept],
-        "dropped_series": {r.series: {"missing_share": r.missing_share, "leading": r.lead_gap, "interior_gap": r.gap, "nobs_train": r.nobs_train, "reason": r.reason} for r in rows if not r.kept},
+        "dropped_series": {r.series: {"missing_share": r.missing_share, "leading_na_since_anchor": r.lead_gap, "interior_gap_months": r.gap, "nobs_train": r.nobs_train, "drop_reason": reasons[r.reason]} for r in rows if not r.kept},
+        "artifacts": artifacts or {},
     }

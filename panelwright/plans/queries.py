@@ -138,9 +138,9 @@ def extra_yoy(spark, sf_dir):
     return _rounded(transforms.extra_transform(panel(spark, sf_dir), "yoy"))
 
 
-@_query("extra_named", _X + "SELECT series, sasdate, round(CASE series WHEN 'FRANCE|BUILDING' THEN value - v1 WHEN 'CHINA|MACHINERY' THEN value - v12 ELSE value END, 6) AS value FROM y")
+@_query("extra_named", _X + "SELECT series, sasdate, round(CASE series WHEN 'NATION_6|BUILDING' THEN value - v1 WHEN 'NATION_18|MACHINERY' THEN value - v12 ELSE value END, 6) AS value FROM y")
 def extra_named(spark, sf_dir):
-    return _rounded(transforms.extra_transform(panel(spark, sf_dir), {"FRANCE|BUILDING": " Diff", "CHINA|MACHINERY": "yoy"}))
+    return _rounded(transforms.extra_transform(panel(spark, sf_dir), {"NATION_6|BUILDING": " Diff", "NATION_18|MACHINERY": "yoy"}))
 
 
 def _zscore(ddof: int):
@@ -173,6 +173,53 @@ SELECT series, sasdate, round((value - avg(value) OVER q) / nullif(stddev_pop(va
 for _b in _FACTORS:
     _factor_query(_b)
 
+# The panel of regions and segments has months in which every series has a value.
+_REGIONS = """
+WITH raw AS (SELECT r.r_name || '|' || c.c_mktsegment AS series, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS sasdate, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY 1, 2),
+cal AS (SELECT CAST(unnest(generate_series(min(sasdate), max(sasdate), INTERVAL 1 MONTH)) AS DATE) AS sasdate FROM raw),
+p AS (SELECT s.series, cal.sasdate, raw.value FROM (SELECT DISTINCT series FROM raw) s CROSS JOIN cal LEFT JOIN raw ON raw.series = s.series AND raw.sasdate = cal.sasdate),
+t AS (SELECT series, sasdate, value - lag(value) OVER (PARTITION BY series ORDER BY sasdate) AS value FROM p),
+have AS (SELECT * FROM t WHERE series IN (SELECT series FROM t WHERE value IS NOT NULL))"""
+
+
+def region_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense panel of regions and market segments."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    months = rows.groupBy(F.concat_ws("|", "r_name", "c_mktsegment").alias("series"), F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("sasdate")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"))
+    start, end = orders.agg(F.trunc(F.min("o_orderdate").cast("date"), "MM"), F.trunc(F.max("o_orderdate").cast("date"), "MM")).first()
+    return calendar.densify(months, start, end)
+
+
+def _region_factors(spark, sf_dir, balance: str):
+    months = region_panel(spark, sf_dir)
+    return factors.prepare_with_info(months, months.select("series").distinct().withColumn("tcode", F.lit(2)), balance)
+
+
+@_query("factors_regions_all", _REGIONS + f", b AS ({_FACTORS['all']}) SELECT series, sasdate, round((value - avg(value) OVER q) / nullif(stddev_pop(value) OVER q, 0), 5) AS value FROM b WINDOW q AS (PARTITION BY series)")
+def factors_regions_all(spark, sf_dir):
+    return _region_factors(spark, sf_dir, "all")[0].withColumn("value", F.round("value", 5))
+
+
+@_query("factors_rows_dropped", _REGIONS + f", b AS ({_FACTORS['all']}) SELECT DISTINCT sasdate FROM t WHERE sasdate NOT IN (SELECT sasdate FROM b)")
+def factors_rows_dropped(spark, sf_dir):
+    return _region_factors(spark, sf_dir, "all")[1]["rows_dropped"]
+
+
+@_query("factors_moments", _REGIONS + f", b AS ({_FACTORS['initial']}) SELECT series, round(avg(value), 4) AS mean, round(nullif(stddev_pop(value), 0), 4) AS std FROM b GROUP BY series")
+def factors_moments(spark, sf_dir):
+    return _region_factors(spark, sf_dir, "initial")[1]["moments"].withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+
+
+@_query("factors_first_valid", _T + ", e AS (SELECT series, sasdate, value, row_number() OVER (PARTITION BY series ORDER BY sasdate) - 1 AS k FROM t) SELECT series, min(k) AS place FROM e WHERE value IS NOT NULL GROUP BY series")
+def factors_first_valid(spark, sf_dir):
+    return factors.prepare_with_info(panel(spark, sf_dir), codes(spark, sf_dir))[1]["first_valid"]
+
+
 _MISSING = (
     _P
     + """, d AS (SELECT min(sasdate) AS a, (SELECT min(sasdate) FROM cal WHERE sasdate > (SELECT min(sasdate) FROM cal)) AS b, max(sasdate) AS z FROM cal),
@@ -337,9 +384,16 @@ def corr_matrix(spark, sf_dir):
     return _rounded(describe.correlations(panel(spark, sf_dir)), "corr")
 
 
-@_query("grid_gaps", _P + "SELECT sasdate FROM cal WHERE sasdate NOT IN (SELECT sasdate FROM raw WHERE extract(month FROM sasdate) % 5 <> 0)")
+@_query("grid_gaps", _P + "SELECT sasdate FROM cal WHERE sasdate NOT IN (SELECT sasdate FROM raw)")
 def grid_gaps(spark, sf_dir):
-    return calendar.grid_gaps(order_months(spark, sf_dir).where("month(sasdate) % 5 <> 0"))
+    return calendar.grid_gaps(order_months(spark, sf_dir))
+
+
+@_query("series_gaps", _P + "SELECT series, sasdate FROM p WHERE value IS NULL")
+def series_gaps(spark, sf_dir):
+    """Months of the panel's calendar that a series lacks."""
+    months = order_months(spark, sf_dir).select("series", "sasdate")
+    return panel(spark, sf_dir).select("series", "sasdate").join(months, ["series", "sasdate"], "left_anti")
 
 
 @_query("duplicate_dates", _P + ", dup AS (SELECT series, sasdate FROM raw UNION ALL SELECT series, sasdate FROM raw WHERE nation = 3) SELECT series, sasdate, count(*) AS n FROM dup GROUP BY 1, 2 HAVING count(*) > 1")
@@ -360,6 +414,25 @@ def tcode_extra(spark, sf_dir):
     return quality.extra_names(known.where("tcode <> 5"), known)
 
 
+@_query("code_diagnostics", _P + "SELECT (SELECT list(series ORDER BY series) FROM s WHERE tcode = 4) AS missing_in_tcodes, (SELECT list(series ORDER BY series) FROM s WHERE tcode = 5) AS extra_in_tcodes")
+def code_diagnostics(spark, sf_dir):
+    known = codes(spark, sf_dir)
+    return quality.code_diagnostics(known.where("tcode <> 5"), known.where("tcode <> 4"))
+
+
+@_query("year_range", _P + "SELECT series, sasdate, value FROM p WHERE sasdate BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
+def year_range(spark, sf_dir):
+    return calendar.between(panel(spark, sf_dir), "1997", "1998")
+
+
+@_query(
+    "gap_measures",
+    _RUNS + "SELECT e.series, any_value(n) AS n_rows, coalesce(sum(length), 0)::BIGINT AS n_missing, any_value(coalesce(first_valid - 1, n)) AS lead_gap, CASE WHEN any_value(first_valid) IS NULL THEN any_value(n) ELSE coalesce(max(length) FILTER (WHERE a > first_valid AND z < last_valid), 0) END::BIGINT AS gap FROM e LEFT JOIN r ON e.series = r.series GROUP BY e.series",
+)
+def gap_measures(spark, sf_dir):
+    return missing.gap_measures(panel(spark, sf_dir))
+
+
 @_query("bad_numeric_tokens", "SELECT count(*) FILTER (WHERE x IS NOT NULL AND try_cast(x AS DOUBLE) IS NULL) AS bad FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN '.' ELSE CAST(c_acctbal AS VARCHAR) END AS x FROM customer)")
 def bad_numeric_tokens(spark, sf_dir):
     x = F.when(F.col("c_custkey") % 10 == 0, ".").otherwise(F.col("c_acctbal").cast("string")).alias("x")
@@ -436,9 +509,20 @@ def observations_json(spark, sf_dir):
     return parsed.join(payloads.select("series", F.col("d").alias("sasdate"), "n_values"), ["series", "sasdate"])
 
 
-@_query("page_metadata", "SELECT CAST(page_id AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS frequency, CAST(NULL AS VARCHAR) AS seasonality, false AS ok FROM pages")
+@_query(
+    "page_metadata",
+    """SELECT CAST(page_id AS VARCHAR) AS label, CASE page_id % 4 WHEN 0 THEN 'Monthly' WHEN 1 THEN 'Quarterly' WHEN 2 THEN 'Weekly, Ending Friday' END AS frequency,
+CASE page_id % 3 WHEN 0 THEN 'Seasonally Adjusted' WHEN 1 THEN 'Not Seasonally Adjusted' END AS seasonality, page_id % 4 < 3 AND page_id % 3 < 2 AS ok FROM pages""",
+)
 def page_metadata(spark, sf_dir):
-    return observations.parse_metadata(table(spark, sf_dir, "pages"), "page_id")
+    """The pages with the two elements of a series' page put before them, where they have them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    element = lambda text: F.concat(F.lit('<p class="x mb-2"><b>k</b> <span class="series-meta-value"> '), text, F.lit("\n</span></p>"))
+    k = F.col("page_id")
+    frequency = F.when(k % 4 == 0, "Monthly").when(k % 4 == 1, "Quarterly").when(k % 4 == 2, "Weekly,  Ending Friday")
+    season = F.when(k % 3 == 0, "Seasonally  Adjusted").when(k % 3 == 1, "Not Seasonally Adjusted")
+    made = F.concat(*[F.coalesce(element(x), F.lit("")) for x in (frequency, season)], F.coalesce("html", F.lit("")))
+    return observations.parse_metadata(pages.withColumn("html", made), "page_id")
 
 
 @_query(
@@ -462,6 +546,19 @@ def stationarity_decision(spark, sf_dir):
     return rows.select("k", stationarity.decision("adf", "kpss").alias("decision"))
 
 
+@_query(
+    "target_order",
+    """WITH t AS (SELECT o_orderkey AS place, CAST(o_orderdate AS DATE) AS d FROM orders), n AS (SELECT a.d < b.d AS up FROM t a JOIN t b ON b.place = a.place + 1)
+SELECT 'dates parse' AS "check", true AS passed, '0' AS detail UNION ALL SELECT 'dates are unique', count(*) = count(DISTINCT d), (count(*) - count(DISTINCT d))::VARCHAR FROM t
+UNION ALL SELECT 'values are numbers', count(*) FILTER (WHERE o_totalprice < 100000) = 0, count(*) FILTER (WHERE o_totalprice < 100000)::VARCHAR FROM orders UNION ALL SELECT 'dates rise', coalesce(bool_and(up), true), '' FROM n""",
+)
+def target_order(spark, sf_dir):
+    """Orders as a target in the order of their keys, with a text for small prices: dates repeat, fall, and some values are no numbers."""
+    value = F.when(F.col("o_totalprice") < 100000, ".").otherwise(F.col("o_totalprice").cast("string"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("sasdate"), value.alias("gdp"), F.col("o_orderkey").alias("place"))
+    return quality.target_checks(rows, "sasdate", place="place")
+
+
 @_query("stationarity_panel")
 def stationarity_panel(spark, sf_dir):
     return stationarity.test_panel(panel(spark, sf_dir), pp=True, dfgls=True, za=True)
@@ -477,7 +574,15 @@ def stl_deseasonalised(spark, sf_dir):
     return seasonal.deseasonalise(panel(spark, sf_dir))
 
 
-@_query("known_codes")
+def _values(rows) -> str:
+    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + ")"
+
+
+_GROUP8, _GROUP11 = (dict(taxonomies.flat(t)) for t in (taxonomies.EIGHT_GROUPS, taxonomies.ELEVEN_GROUPS))
+
+
+@_query("known_codes", _values([(k, c, _GROUP8.get(k), _GROUP11.get(k)) for k, c in taxonomies.code_map().items()]) + ' AS t(series, tcode, "group", group11)')
 def known_codes(spark, sf_dir):
     return taxonomies.codes(spark).join(taxonomies.groups(spark, "eight"), "series", "left").join(taxonomies.groups(spark, "eleven").withColumnRenamed("group", "group11"), "series", "left")
 

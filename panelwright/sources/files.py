@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +56,42 @@ def embedded_codes(spark: SparkSession, path: str, date_col: str = "sasdate", co
 
 
 def read_raw_panel(spark: SparkSession, path: str, date_col: str = "sasdate") -> DataFrame:
-    """The long panel of a file with an embedded row of codes: that row has no date and goes."""
+    """The long panel of a file with an embedded row of codes, which goes: it has no date, and a code from 1 to 7 in every other cell.
+
+    Any other row whose date does not parse stays, with a NULL date, for the checks to report.
+    """
     rows = raw_csv(spark, path)
-    dated = rows.withColumn(date_col, parse_us_date(F.col(f"`{date_col}`"))).where(F.col(f"`{date_col}`").isNotNull())
-    return to_long(dated, date_col)
+    cells = F.array(*[F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in rows.columns if c != date_col])
+    day = parse_us_date(F.col(f"`{date_col}`"))
+    codes = day.isNull() & F.forall(cells, lambda x: F.coalesce((x >= 1) & (x < 8), F.lit(False)))
+    return to_long(rows.where(~codes).withColumn(date_col, day), date_col)
+
+
+def load_stage(spark: SparkSession, config: dict, stage: str = "raw", root: str = "data") -> tuple[DataFrame, DataFrame | None]:
+    """(panel, codes) of the ``raw`` or the ``processed`` file that the configuration's ``paths`` name; a processed file has no codes."""
+    if stage not in ("raw", "processed"):
+        raise ValueError("stage must be raw or processed")
+    name = config.get("paths", {}).get(f"{stage}_filename")
+    if name is None:
+        raise KeyError(f"no paths.{stage}_filename in the configuration")
+    if stage == "raw":
+        path = f"{root}/raw_data/{name}"
+        return read_raw_panel(spark, path), embedded_codes(spark, path)
+    return read_panel_csv(spark, f"{root}/processed_data/{name}"), None
+
+
+def first_series(spark: SparkSession, path: str, k: int, date_col: str = "sasdate") -> DataFrame:
+    """(series, place) of the first k columns in the header's order."""
+    names = [c for c in csv_columns(spark, path) if c != date_col][:k]
+    return spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "series string, place int")
+
+
+def read_target(spark: SparkSession, path: str, date_col: str = "sasdate") -> DataFrame:
+    """A target CSV as text, with ``place``, the order of its rows from 0, for target_checks. A target is a short file, read in one part."""
+    rows = raw_csv(spark, path).coalesce(1)
+    if date_col not in rows.columns:
+        raise KeyError(f"no column {date_col}")
+    return rows.withColumn("place", F.monotonically_increasing_id())
 
 
 def read_panel_csv(spark: SparkSession, path: str, date_col: str = "sasdate", date_format: str = "M/d/yyyy") -> DataFrame:
@@ -128,14 +161,39 @@ def write_json(value: dict, path: str, overwrite: bool = False) -> None:
     Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str))
 
 
-def extract_codes(spark: SparkSession, path: str, out: str, date_col: str = "sasdate", require_all: bool = True, overwrite: bool = False, sidecar: bool = True) -> dict:
-    """Write a file's codes as JSON, and beside it where they come from. Returns the latter."""
-    place = find_code_row(spark, path, date_col)
+def write_labels(panel: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The series' names as text, one a line."""
+    names = panel.select("series").distinct().orderBy("series")
+    names.select(F.col("series").alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def write_groups(groups: DataFrame, path: str, overwrite: bool = False) -> None:
+    """(variable, group) of series as CSV."""
+    table = groups.select(F.col("series").alias("variable"), "group").orderBy("variable")
+    table.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+
+
+def write_target(target: DataFrame, value: str, path: str, series_id: str, vintage: str | None = None, source: str | None = None, overwrite: bool = False) -> dict:
+    """The target as CSV (yyyy-MM-dd, ten significant digits), and beside it a JSON file of what it is, which is returned."""
+    table = target.select(F.date_format("sasdate", "yyyy-MM-dd").alias("sasdate"), ten_digits(F.col(value)).alias(value)).orderBy("sasdate")
+    table.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    ends = target.agg(F.count("*").alias("n"), F.min("sasdate").alias("a"), F.max("sasdate").alias("z")).first()
+    info = {"series_id": series_id, "vintage": vintage or "latest", "downloaded_at_utc": datetime.now(UTC).isoformat(timespec="seconds"), "rows": ends.n, "first_date": str(ends.a), "last_date": str(ends.z), "column_name": value, "source": source}
+    write_json(info, f"{path}_meta.json", overwrite)
+    return info
+
+
+def extract_codes(spark: SparkSession, path: str, out: str, date_col: str = "sasdate", require_all: bool = True, overwrite: bool = False, sidecar: bool = True, code_row: int | None = None, detect: bool = True) -> dict:
+    """Write a file's codes as JSON, and beside it where they come from. Returns the latter.
+
+    The row of codes is ``code_row``, or with ``detect`` the one that find_code_row finds, or else the first.
+    """
+    place = code_row or (find_code_row(spark, path, date_col) if detect else None) or (1 if not detect else None)
     codes = {r.series: r.tcode for r in embedded_codes(spark, path, date_col, place).collect()}
     names = [c for c in csv_columns(spark, path) if c != date_col]
     missing = sorted(set(names) - set(codes))
     if missing and require_all:
-        raise ValueError(f"no valid code for {', '.join(missing)}")
+        raise KeyError(f"no valid code for {', '.join(missing)}")
     write_json(codes, out, overwrite)
     info = {"csv_path": path, "csv_sha256": file_hashes(spark, path).first().sha256, "tcode_row": place, "n_series": len(codes), "missing_in_tcodes": missing, "extra_in_tcodes": sorted(set(codes) - set(names)), "mapping_json_path": out}
     if sidecar:

@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.schema import clean
@@ -58,6 +58,28 @@ def require_observations(observations: DataFrame) -> DataFrame:
     return observations
 
 
+def get_series(spark: SparkSession, series_id: str, key: str, api_url: str, vintage: str | None = None, timeout: float = 30, extra: dict | None = None, fetcher=fetch) -> DataFrame:
+    """(sasdate, <series_id>) of a service: fetched by the driver, parsed by Spark. RuntimeError if there is no observation.
+
+    A vintage asks for the values as they were known on that day.
+    """
+    payload = fetcher(request_url(api_url, series_id, key, vintage, extra), timeout)
+    found = parse_observations(spark.createDataFrame([(series_id, payload)], "series string, payload string"))
+    return require_observations(found).select("sasdate", F.col("value").alias(series_id)).orderBy("sasdate")
+
+
+def check_metadata(pages: DataFrame, folder: str, label: str = "label", html: str = "html", overwrite: bool = False) -> DataFrame:
+    """Write a line for every page with frequency and seasonality to folder/report, and the labels of the others to folder/failed, which are returned."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    parse_metadata(pages, label, html).write.mode(mode).parquet(f"{folder}/parsed")
+    found = pages.sparkSession.read.parquet(f"{folder}/parsed")
+    line = F.concat("label", F.lit(": Frequency = "), "frequency", F.lit(", Seasonality = "), "seasonality")
+    found.where("ok").select(line.alias("value")).write.mode(mode).text(f"{folder}/report")
+    failed = found.where("NOT ok").select("label")
+    failed.write.mode(mode).text(f"{folder}/failed")
+    return failed
+
+
 class _Metadata(HTMLParser):
     """Texts of the elements that a simple selector (tag.classes element.classes) names."""
 

@@ -129,7 +129,49 @@ def test_variant_keeps_and_drops_by_the_first_rule(spark, anchor, kept, branch):
     assert part.select("series").distinct().count() == kept
     window = variants.training_window(panel, rules).first()
     assert window.branch == branch and window.train_end == months(n)[n - 13]
-    assert variants.catalog("x", anchor, part, chosen, rules)["n_series"] == kept
+    found = variants.catalog("x", anchor, part, chosen, rules, panel)
+    assert found["n_series"] == kept and found["n_rows"] == n and found["anchor_start"] == "01/01/1960"
+    assert found["dropped_series"]["lead"]["drop_reason"] == "leading_na>24" and found["dropped_series"]["share"]["drop_reason"] == "missing_share>0.40"
+
+
+#: Months without a value at the start of each series, and at other places from the end (1 is the last) of the transformed panel of 796 months; other series have the first two. Fixed values.
+LEADING = {"ACOGNO": 398, "ANDENOx": 110, "TWEXAFEGSMTHx": 169, "UMCSENTx": 229, "VIXCLSx": 42, "COMPAPFFx": 0, "CP3Mx": 1, "PERMIT": 12, "PERMITNE": 12, "PERMITMW": 12, "PERMITS": 12, "PERMITW": 12}
+LATER = {"ACOGNO": [1], "COMPAPFFx": [61], "CP3Mx": [61, 60], "BUSINVx": [1], "CMRMTSPLx": [1], "CONSPI": [1], "HWI": [1], "HWIURATIO": [1], "DTCOLNVHFNM": [1], "DTCTHFNM": [1]}
+
+
+@pytest.mark.parametrize(("anchor", "rows", "dropped"), [("1960-01-01", 784, {"ACOGNO", "ANDENOx", "TWEXAFEGSMTHx", "UMCSENTx", "VIXCLSx"}), ("1965-01-01", 724, {"ACOGNO", "ANDENOx", "TWEXAFEGSMTHx", "UMCSENTx"})])
+def test_variants_of_the_known_panel(spark, anchor, rows, dropped):
+    n = 796
+    cells = {}
+    for name in taxonomies.code_map():
+        gone = set(range(LEADING.get(name, 2))) | {n - k for k in LATER.get(name, ())}
+        cells[name] = [None if i in gone else 1.0 for i in range(n)]
+    table = pd.DataFrame([(name, d, v) for name, xs in cells.items() for d, v in zip(months(n, 1959), xs, strict=True)], columns=["series", "sasdate", "value"])
+    panel = as_panel(spark.createDataFrame(table, PANEL))
+    part, chosen = variants.build_variant(panel, anchor)
+    found = variants.catalog("x", anchor, part, chosen, variants.Rules(), calendar.since(panel, anchor))
+    assert (found["n_rows"], found["n_series"], set(found["dropped_series"])) == (rows, 126 - len(dropped), dropped)
+    assert found["train_window"] == ["05/01/1990", "04/01/2020"]
+    reasons = {k: v["drop_reason"] for k, v in found["dropped_series"].items()}
+    assert reasons == {k: "missing_share>0.40" if k == "ACOGNO" else "leading_na>24" for k in dropped}
+
+
+def test_variant_files(spark, tmp_path):
+    panel = panel_of(spark, a=[float(i) for i in range(60)], b=[1.5] * 60, gap=[None] * 40 + [1.0] * 20)
+    found = pipelines.build_variants(panel, str(tmp_path), ["late=01/01/2001"], variants.Rules(coverage=0.6, train_years=2, holdout_months=6, min_train=12), source="in.csv")
+    assert json.loads((tmp_path / "late_catalog.json").read_text()) == found["late"] and found["late"]["kept_series"] == ["a", "b"]
+    assert found["late"]["input_csv"] == "in.csv" and found["late"]["n_rows"] == 48
+    assert values(files.read_panel_csv(spark, found["late"]["artifacts"]["panel_csv_with_sasdate_col"], date_format="MM/dd/yyyy"), "a")[0] == 12.0
+    with pytest.raises(ValueError):
+        variants.parse_variants(["late"])
+
+
+def test_the_choice_of_series_takes_one_exchange_of_the_panel(spark, tmp_path):
+    panel_of(spark, a=[1.0, None, 2.0], b=[1.0, 2.0, 3.0]).write.parquet(str(tmp_path / "p"))
+    panel = spark.read.parquet(str(tmp_path / "p"))
+    for df in (missing.gap_measures(panel), missing.missing_positions(panel), missing.interior_gap(panel)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(series") == 1 and plan.count("FileScan") == 1
 
 
 def test_factor_panel(spark):
@@ -140,6 +182,11 @@ def test_factor_panel(spark):
     assert factors.prepare_for_factors(panel, codes, "all", standardised=False).count() == 4
     with pytest.raises(ValueError):
         factors.balance_panel(panel, "some")
+    z, info = factors.prepare_with_info(panel, codes, "all")
+    assert z.count() == 4 and [r.series for r in info["all_missing"].collect()] == ["c"] and info["global_first"].first().place == 1
+    assert {r.series: r.place for r in info["first_valid"].collect()} == {"a": 0, "b": 1}
+    assert sorted(r.sasdate for r in info["rows_dropped"].collect()) == [months(4)[0], months(4)[2]]
+    assert {r.series: (r.mean, r.std) for r in info["moments"].collect()} == {"a": (4.5, 2.5), "b": (3.5, 1.5)} and info["leads_lost"][6] == 2
     z = values(transforms.standardise(panel_of(spark, a=[1.0, 2.0, 3.0], k=[5.0, 5.0, 5.0])), "a")
     assert z == pytest.approx([-1.224744871, 0, 1.224744871])
     assert values(transforms.standardise(panel_of(spark, k=[5.0, 5.0])), "k") == [None, None]
@@ -149,6 +196,9 @@ def test_extra_transforms(spark):
     panel = panel_of(spark, a=[float(i * i) for i in range(14)], b=[1.0] * 14)
     assert values(transforms.extra_transform(panel, {"a": "yoy"}), "a")[12:] == [144.0, 168.0]
     assert values(transforms.extra_transform(panel, {"a": "DIFF "}, drop_first=True), "a")[0] == 1.0
+    with pytest.warns(UserWarning, match="no series z"):
+        kept = transforms.extra_transform(panel, {"z": "diff"}, drop_first=True)
+    assert kept.count() == 28
     with pytest.raises(ValueError):
         transforms.extra_transform(panel, {"a": "log"})
 
@@ -177,10 +227,98 @@ def test_checks(spark):
     target = spark.createDataFrame([("2000-03-01", "1"), ("2000-03-01", "x"), ("bad", "2")], "sasdate string, gdp string")
     found = {r.check: r.passed for r in quality.target_checks(target, "sasdate", "gdp", strict_quarter_end=True).collect()}
     assert found == {"dates parse": False, "dates are unique": False, "values are numbers": False, "months end quarters": True}
+    several = target.withColumn("more", target.gdp)
+    assert [(r.check, r.passed) for r in quality.target_checks(several, "sasdate").collect()] == [("one value column", False)]
+    rising = spark.createDataFrame([(0, "2000-03-01", "1"), (1, "2000-06-01", "2"), (2, "2000-06-01", "2")], "place long, sasdate string, gdp string")
+    assert {r.check: r.passed for r in quality.target_checks(rising, "sasdate", place="place").collect()} == {"dates parse": True, "dates are unique": False, "values are numbers": True, "dates rise": False}
+    assert quality.target_checks(rising.where("place < 2"), "sasdate", place="place").where("NOT passed").count() == 0
     order = spark.createDataFrame([(1, date(2000, 1, 1)), (2, date(2000, 3, 1)), (3, date(2000, 2, 1))], "p int, d date")
     assert not quality.file_order_is_sorted(order, "p", "d").first().sorted
 
 
+def test_checks_of_a_panel_file(spark, tmp_path):
+    def found(text):
+        path = tmp_path / f"f{abs(hash(text))}.csv"
+        path.write_text(text)
+        return {r.check for r in quality.file_checks(files.raw_csv(spark, str(path))).where("NOT passed").collect()}
+
+    assert found("sasdate,A,B\n01/01/2000,1,\n02/01/2000,2,3\n") == set()
+    assert found("sasdate,A B,A_B\n02/01/2000,1,x\n01/01/2000,2,3\n01/01/2000,2,3\n05/01/2000,,\n") == {"dates are unique", "dates are in order", "no gap in the grid", "clean names are unique", "columns are numbers"}
+    assert found("sasdate,A\n") == {"not empty"} and found("day,A\n1,2\n") == {"columns"} and found("sasdate,A\nsoon,2\n01/01/2000,2\n") == {"dates parse"}
+
+
+def test_a_year_is_all_of_it(spark):
+    panel = panel_of(spark, a=[float(i) for i in range(40)])
+    assert values(calendar.between(panel, "2001", "2001"), "a") == [float(i) for i in range(12, 24)]
+    assert values(calendar.between(panel, "2001-03", "2001-04"), "a") == [14.0, 15.0] and calendar.between(panel, "2003-02-01").count() == 3
+
+
+def test_gaps_of_the_grid(spark):
+    rows = [("a", date(2000, m, 1), 1.0) for m in (1, 2, 5)] + [("b", date(2000, 4, 1), 1.0)]
+    assert [r.sasdate for r in calendar.grid_gaps(spark.createDataFrame(rows, PANEL)).collect()] == [date(2000, 3, 1)]
+
+
+def test_stages_labels_groups_and_the_legacy_form(spark, tmp_path):
+    (tmp_path / "raw_data").mkdir()
+    raw = tmp_path / "raw_data" / "r.csv"
+    raw.write_text("sasdate,INDPRO,A B\nTransform:,7,1\n1/1/1959,1,2\nlater,9,9\n2/1/1959,.,4\n3/1/1959,3,6\n")
+    config = {"paths": {"raw_filename": "r.csv"}}
+    panel, codes = files.load_stage(spark, config, "raw", str(tmp_path))
+    assert {r.series: r.tcode for r in codes.collect()} == {"INDPRO": 7, "A B": 1} and panel.where("sasdate IS NULL").count() == 2
+    with pytest.raises(KeyError):
+        files.load_stage(spark, config, "processed", str(tmp_path))
+    with pytest.raises(ValueError):
+        files.load_stage(spark, config, "cooked", str(tmp_path))
+    assert [r.series for r in files.first_series(spark, str(raw), 1).collect()] == ["INDPRO"]
+    files.write_labels(panel, str(tmp_path / "labels"))
+    assert [r.label for r in files.read_labels(spark, str(tmp_path / "labels")).orderBy("label").collect()] == ["A B", "INDPRO"]
+    dated = panel.where("sasdate IS NOT NULL")
+    sizes, part = pipelines.group_report(dated, taxonomies.groups(spark, "eight"), str(tmp_path / "groups"), "Output and Income")
+    assert sizes == {"Output and Income": 1} and part.count() == 3
+    assert {(r.variable, r["group"]) for r in spark.read.option("header", True).csv(str(tmp_path / "groups")).collect()} == {("INDPRO", "Output and Income"), ("A B", None)}
+    look = pipelines.explore(dated, ["A B"])
+    assert look["shape"].first().asDict() == {"rows": 3, "cols": 2} and look["sample"].count() == 3
+    info = files.extract_codes(spark, str(raw), str(tmp_path / "codes.json"), code_row=1)
+    assert info["n_series"] == 2
+    out = pipelines.legacy_transform(spark, str(raw), str(tmp_path / "codes.json"), str(tmp_path / "legacy"))
+    assert [v for v in values(out.where("sasdate IS NOT NULL"), "A B")][0] < 0 and (tmp_path / "legacy").exists()
+    bad = tmp_path / "bad.csv"
+    bad.write_text("sasdate,A,B\nTransform:,2,9\n1/1/1959,1,2\n")
+    with pytest.raises(KeyError):
+        files.extract_codes(spark, str(bad), str(tmp_path / "bad.json"), detect=False)
+    diagnosis = quality.code_diagnostics(panel, taxonomies.codes(spark, {"INDPRO": 9, "C": 1})).first()
+    assert (diagnosis.missing_in_tcodes, diagnosis.extra_in_tcodes) == (["A B", "INDPRO"], ["C"])
+
+
+def test_target_job(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    payload = json.dumps({"observations": [{"date": f"{1980 + i // 4}-{i % 4 * 3 + 1:02d}-01", "value": "." if i == 3 else f"{v:.4f}"} for i, v in enumerate(rng.normal(size=80))]})
+    asked = []
+
+    def fetcher(url, timeout):
+        asked.append(url)
+        return payload
+
+    info = pipelines.fetch_target(spark, "GDP1", "gdp", "key", "http://x", str(tmp_path / "gdp"), vintage="2020-01-01", fetcher=fetcher)
+    assert (info["rows"], info["first_date"], info["vintage"]) == (80, "1980-01-01", "2020-01-01") and "realtime_end=2020-01-01" in asked[0]
+    assert json.loads((tmp_path / "gdp_meta.json").read_text()) == info
+    checks = {r.check: r.passed for r in quality.target_checks(files.read_target(spark, str(tmp_path / "gdp")), "sasdate", place="place").collect()}
+    assert all(checks.values())
+    assert pipelines.test_target(spark, str(tmp_path / "gdp"), str(tmp_path / "tests"), "gdp", pp=True) == "stationary"
+    with pytest.raises(KeyError):
+        pipelines.test_target(spark, str(tmp_path / "gdp"), str(tmp_path / "none"), "other")
+    with pytest.raises(RuntimeError):
+        observations.get_series(spark, "GDP1", "key", "http://x", fetcher=lambda url, timeout: "{}")
+
+
+def test_pages_with_and_without_metadata_are_split(spark, tmp_path):
+    cell = '<p class="mb-2"><span class="series-meta-value">{}</span></p>'
+    pages = spark.createDataFrame([("a", cell.format("Monthly") + cell.format("Seasonally Adjusted")), ("b", cell.format("Monthly")), ("c", None)], "label string, html string")
+    assert sorted(r.label for r in observations.check_metadata(pages, str(tmp_path)).collect()) == ["b", "c"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["a: Frequency = Monthly, Seasonality = Seasonally Adjusted"]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "failed")).collect()) == ["b", "c"]
+
+
 def test_raw_file_with_embedded_codes(spark, tmp_path):
     path = tmp_path / "raw.csv"
     path.write_text("sasdate,A B,C&D\nTransform:,2,5.0\n1/1/1959,1.5,2\n2/1/1959,.,4\n")
@@ -205,8 +343,13 @@ def test_raw_file_with_embedded_codes(spark, tmp_path):
 
 def test_report_files(spark, tmp_path):
     panel = panel_of(spark, a=[None, 1.0], b=[1.0, 2.0])
-    info = pipelines.report_missing(panel, str(tmp_path / "report"))
-    assert info["n_series"] == 2
+    info = pipelines.report_missing(panel, str(tmp_path / "report"), source="x.csv")
+    assert info["counts"]["n_series"] == 2 and info["shape"] == {"rows": 2, "cols": 2} and info["boundaries"]["last"] == "02/01/2000"
+    assert json.loads((tmp_path / "report" / "panel_missing_catalog.json").read_text()) == info
+    summary = json.loads((tmp_path / "report" / "missing_summary.json").read_text())
+    assert summary["lists"]["series_first"] == ["a"] and summary["lists"]["series_last"] == []
+    with pytest.raises(TypeError):
+        pipelines.report_missing(panel.withColumn("sasdate", panel.sasdate.cast("string")), str(tmp_path / "other"))
     lines = [json.loads(x) for f in (tmp_path / "report" / "positions").glob("*.json") for x in f.read_text().splitlines()]
     assert {x["series"]: len(x["missing_dates"]) for x in lines} == {"a": 1, "b": 0}
 
@@ -234,7 +377,10 @@ def test_unit_root_tests_tell_noise_from_a_walk(spark):
     assert rows["walk"].decision == "non-stationary" and rows["walk"].adf_pvalue > 0.1
     assert rows["none"].decision == "inconclusive" and rows["none"].n_non_na == 0 and rows["none"].adf_pvalue is None
     assert rows["flat"].adf_pvalue is None and rows["flat"].decision == "inconclusive"
-    assert rows["noise"].za_break_index is not None
+    assert rows["noise"].za_break_index is not None and rows["noise"].za_pvalue < 0.01 and rows["noise"].dfgls_pvalue < 0.05
+    assert rows["walk"].za_pvalue > 0.1 and rows["walk"].dfgls_pvalue > rows["noise"].dfgls_pvalue
+    tests = [stationarity.zivot_andrews(walk, t) for t in ("c", "t", "ct")]
+    assert len({p for _, p, _ in tests}) == 3 and rows["walk"].za_pvalue == max(p for _, p, _ in tests)
 
 
 def test_published_critical_values():
@@ -243,6 +389,12 @@ def test_published_critical_values():
     assert stationarity.mackinnon_p(-20) == 0 and stationarity.mackinnon_p(3) == 1
 
 
+def test_p_values_pass_through_the_critical_values():
+    for critical, p in ((stationarity._ZA["c"], stationarity._ZA_P), (stationarity._DFGLS["ct"], stationarity._DFGLS_P)):
+        assert [stationarity.tail_p(c, critical, p) for c in critical] == pytest.approx(p)
+        assert stationarity.tail_p(critical[0] - 2, critical, p) < 0.01 and 0.1 < stationarity.tail_p(critical[-1] + 0.5, critical, p) < stationarity.tail_p(critical[-1] + 2, critical, p) < 1
+
+
 def test_decision_rule(spark):
     rows = spark.createDataFrame([(0.01, 0.10), (0.5, 0.01), (0.01, 0.01), (0.5, 0.1), (None, 0.1)], "a double, k double")
     assert [r.d for r in rows.select(stationarity.decision("a", "k").alias("d")).collect()] == ["stationary", "non-stationary", "inconclusive", "inconclusive", "inconclusive"]
@@ -260,6 +412,26 @@ def test_stl_separates_a_season(spark):
         seasonal.external_adjustment(panel_of(spark, a=[1.0]), "no-such-program")
 
 
+def test_an_external_program_is_run_for_every_series(spark, tmp_path):
+    program = tmp_path / "adjust"
+    program.write_text("""#!/usr/bin/env python3
+import re, sys
+spec = open(sys.argv[1] + ".spc").read()
+year, month = map(int, re.search(r"start=(\\d+)\\.(\\d+)", spec).groups())
+values = [float(x) for x in re.search(r"data=\\((.*?)\\)", spec)[1].split()]
+if len(values) > 1:
+    with open(sys.argv[1] + ".d11", "w") as out:
+        out.write("date\\tx\\n------\\t-----\\n")
+        for i, v in enumerate(values):
+            k = year * 12 + month - 1 + i
+            out.write(f"{k // 12}{k % 12 + 1:02d}\\t{v - 1}\\n")
+""".replace("\\\\", "\\"))
+    program.chmod(0o755)
+    out = seasonal.external_adjustment(panel_of(spark, a=[float(v) for v in range(14)], short=[1.0]), str(program))
+    assert values(out, "a", "adjusted") == [v - 1.0 for v in range(14)] and values(out, "a", "seasonal") == [1.0] * 14
+    assert values(out, "short", "adjusted") == [None]
+
+
 def test_daily_sums_of_a_stream(spark, tmp_path):
     from panelwright.streaming.arrivals import daily_sums
 
