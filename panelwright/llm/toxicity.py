@@ -129,6 +129,19 @@ def _tail(a: int, n: int, p: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
+def not_by_chance(tests: int, p: float):
+    """Column (of a and n): whether _tail(a, n, p) can be below log(0.01 / tests). It keeps every such entry, and few others.
+
+    The tail of a out of n is at least exp(-n d) / sqrt(8 a (1 - a / n)), with d the
+    divergence of a / n from p.
+    """
+    a, n = F.col("a").cast("double"), F.col("n").cast("double")
+    b = n - a
+    bits = a * F.log(a / (n * p)) + F.when(b > 0, b * F.log(b / (n * (1 - p)))).otherwise(0.0)
+    least = -bits - F.when(b > 0, 0.5 * F.log(8 * a * b / n)).otherwise(0.0)
+    return (a > n * p) & (least <= math.log(0.01 / max(tests, 1)))
+
+
 def _beginnings(longest: int):
     """Beginnings of a document's words, with its label and its kin: near copies mostly share the word pair of least hash."""
 
@@ -147,7 +160,7 @@ def _beginnings(longest: int):
     return rows
 
 
-def choose_entries(counts: dict[str, tuple[int, int]], tests: int, toxic: int, clean: int, most_entries: int) -> dict[str, float]:
+def choose_entries(counts: dict[str, tuple[int, int]], tests: int, toxic: int, clean: int) -> dict[str, float]:
     """Weights of the significant beginnings. Of nested ones the most significant is taken, in its longest form that is about as frequent."""
     base = toxic / (toxic + clean)
     longer: dict[str, list[str]] = {}
@@ -158,7 +171,7 @@ def choose_entries(counts: dict[str, tuple[int, int]], tests: int, toxic: int, c
     lexicon: dict[str, float] = {}
     taken: set[str] = set()
     for tail, _, stem in sorted((_tail(a, n, base), -len(stem), stem) for stem, (a, n) in counts.items()):
-        if tail > math.log(0.01 / max(tests, 1)) or len(lexicon) >= most_entries:
+        if tail > math.log(0.01 / max(tests, 1)):
             break
         if stem in taken or any(stem[:k] in lexicon for k in range(3, len(stem))):
             continue  # a longer or a shorter form of it is there
@@ -169,15 +182,21 @@ def choose_entries(counts: dict[str, tuple[int, int]], tests: int, toxic: int, c
     return lexicon
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 12000, longest: int = 12, most_entries: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 12000, longest: int = 12, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Learn lexicon and curve from at most ``most_rows`` labelled documents that are not held out.
 
-    Entries have up to ``longest`` letters; at most ``most_entries`` of the most
-    significant are kept, which bounds what is broadcast. More than 70 % of the documents
-    that hold an entry are toxic, and more than of all learned rows. Without labelled rows of both
-    kinds the lexicon is empty and every score is that of no hit.
+    Entries have from 3 to ``longest`` letters: shorter words are never entries, and words
+    that agree in their first ``longest`` letters are one. More than 70 % of the documents
+    that hold an entry are toxic, more than of all learned rows, and so many that it is not
+    by chance. An entry so needs several toxic rows, which bounds the lexicon by the
+    learned texts; nothing else does. ``exceptions`` is the caller's list of phrases.
+
+    Labels that are null and rows without a label are not learned from; rows that repeat
+    an id are learned from once. Of equally significant entries the
+    longer comes first, then the one earlier in the alphabet. Without labelled rows of
+    both kinds the lexicon is empty and every score is that of no hit.
     """
-    sample = labelled_sample(docs, labels, label, most_rows)
+    sample = written(labelled_sample(docs, labels, label, most_rows).select("text", "y"), "sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -185,8 +204,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     counted = sample.mapInArrow(_beginnings(longest), "stem string, y int, kin long").groupBy("stem", "kin").agg(F.max("y").alias("y"))
     tested = written(counted.groupBy("stem").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("a >= 3"), "beginnings")
     base = toxic / (toxic + clean)
-    plausible = tested.where(F.col("a") > F.col("n") * max(0.7, base)).orderBy(F.desc("a"), "stem").limit(50 * most_entries)
-    lexicon = choose_entries({r.stem: (r.a, r.n) for r in plausible.collect()}, tested.count(), toxic, clean, most_entries)
+    tests = tested.count()
+    plausible = tested.where((F.col("a") > 0.7 * F.col("n")) & not_by_chance(tests, base))
+    lexicon = choose_entries({r.stem: (r.a, r.n) for r in plausible.collect()}, tests, toxic, clean)
     model = Model(lexicon, exceptions)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     seen = sample.mapInArrow(_evidence_rows(shared, "y"), "y int, weight double, words long").orderBy("y", "weight", "words").collect()
@@ -227,8 +247,8 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
     """Add held_out, weight, words, score and predicted (1 if score >= threshold) to every row.
 
     docs needs ``doc_id`` and ``text``; all other columns stay, but for any of the names
-    added. A null or empty text has no hit and no word, and the score of that. An empty
-    table gives an empty one.
+    added. A null or empty text has no hit and no word, and the score of that. Rows are
+    scored one by one, whatever they repeat. An empty table gives an empty one.
     """
     added = ["held_out", "weight", "words", "score", "predicted"]
     frame, names = sheltered(docs, ["doc_id", "text"], added)
