@@ -93,11 +93,12 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*keep, *[pa.array(x.astype(np.int64)) for x in named.values()], lines], names=[*batch.schema.names, *named, "lines"])
 
 
-def line_quality(docs: DataFrame, host: str = "source", min_docs: int = 10, host_percent: float = 1.0, depleted_percent: int = 80, texts: bool = False) -> DataFrame:
+def line_quality(docs: DataFrame, host: str = "source", min_docs: int = 10, host_percent: float = 1.0, most_docs: int = 1000, depleted_percent: int = 80, texts: bool = False) -> DataFrame:
     """Base counts, boilerplate words and a verdict for every document.
 
-    A line (of a host) is boilerplate if more than ``min_docs`` documents and more than
-    ``host_percent`` per cent of the host's documents hold it. Returns doc_id, n_words,
+    A line (of a host) is boilerplate if more than ``min_docs`` documents hold it, and
+    more than ``host_percent`` per cent of the host's documents or more than ``most_docs``
+    of them. Returns doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, n_line_words (words in
     boilerplate lines), base_failed (fewer than 10 words, or over 20 % of them in
     repeated 5-word windows) and kept: false if base_failed or if more than
@@ -118,7 +119,7 @@ def line_quality(docs: DataFrame, host: str = "source", min_docs: int = 10, host
     lines = known.select("row", "doc_id", "host", F.explode("lines").alias("x")).select("row", F.coalesce("doc_id", F.lit(-1)).alias("doc"), "host", "x.line", "x.words").where("line IS NOT NULL")
     often = lines.groupBy("host", "line").agg(F.countDistinct("doc").alias("docs")).where(F.col("docs") > min_docs)
     sizes = known.groupBy("host").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("all_docs"))
-    limit = often.join(sizes, "host").where(F.col("docs") * 100 > F.col("all_docs") * host_percent).select("host", "line")
+    limit = often.join(sizes, "host").where((F.col("docs") * 100 > F.col("all_docs") * host_percent) | (F.col("docs") > most_docs)).select("host", "line")
     boilerplate = written(limit, "boilerplate")
     gone = lines.join(boilerplate, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_line_words"), F.collect_set("line").alias("gone"))
     out = known.join(gone, "row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))

@@ -105,7 +105,7 @@ f AS (SELECT doc_id, host, line, len(lw) AS n, translate(array_to_string(lw, ' '
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM f GROUP BY doc_id),
 o AS (SELECT host, k, count(DISTINCT doc_id) AS c FROM f GROUP BY host, k),
 z AS (SELECT host, count(DISTINCT doc_id) AS c FROM d GROUP BY host),
-b AS (SELECT o.host, o.k FROM o JOIN z USING (host) WHERE o.c > 10 AND o.c * 100 > z.c * 1.0),
+b AS (SELECT o.host, o.k FROM o JOIN z USING (host) WHERE o.c > 10 AND (o.c * 100 > z.c * 1.0 OR o.c > 1000)),
 m AS (SELECT doc_id, sum(n) AS n FROM f JOIN b USING (host, k) GROUP BY doc_id),
 a AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_words, length(array_to_string(d.w, ''))::BIGINT AS word_chars,
   length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(u.n, 0)::BIGINT AS n_dup_lines,
@@ -120,7 +120,7 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelwright.llm.linequality import line_quality
 
-    return line_quality(_table(spark, sf_dir, "documents"), host="source", min_docs=10, host_percent=1.0, depleted_percent=80)
+    return line_quality(_table(spark, sf_dir, "documents"), host="source", min_docs=10, host_percent=1.0, most_docs=1000, depleted_percent=80)
 
 
 #: The entries of the url query: host, path, verdict.
