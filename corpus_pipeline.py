@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts have the score of no word; all rows are judged one by one."""
     weights = train_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classify_quality(docs, weights, threshold=0.7).where("predicted = 1").select(*COLUMNS)
 
@@ -51,19 +51,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words that an earlier document holds; documents of which nothing is left go."""
+    """Texts without passages of 50 words that an earlier document holds; documents of which nothing is left go.
+
+    Null and empty texts and rows without a doc_id stay as they are, a null as an empty text.
+    """
     out = substring_dedup(docs.select(*COLUMNS), window=50, layout=True).where("n_removed < n_words OR n_words = 0")
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, without the spans of 13 words or more that benchmark items hold."""
+    """Documents that are not contaminated, without the spans of 13 words or more that benchmark items hold. Null and empty texts stay, empty."""
     out = decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True).where("NOT contaminated")
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. A null or empty text is the end id alone; rows without a doc_id are packed too."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -178,7 +178,8 @@ def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame
     """Add text, the main text of ``html``, and n_chars, its code points. Other columns stay, but for any of these names and html.
 
     Blocks are joined in page order by one line feed; a page without main text, an empty
-    or a null html has an empty text. An empty table gives an empty one.
+    or a null html has an empty text. Of equally likely labels a block gets "not main".
+    Repeated rows are extracted alike. An empty table gives an empty one.
     """
     model = model or standard_model()
     frame, names = sheltered(pages, ["html"], ["text", "n_chars"])

@@ -137,7 +137,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, line
     from 0). A sequence is padded to ``capacity`` unless its length is a power of two.
 
     A null or empty text is the end id alone. Rows of null or equal doc_id are packed as
-    documents of their own. An empty table gives an empty one.
+    documents of their own. Of sequences of equal cost the earlier one takes a piece, of
+    equal pieces the one read first. Other columns play no part. An empty table gives an
+    empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"{n} long" for n in _PIECE.names)

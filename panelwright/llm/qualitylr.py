@@ -118,7 +118,8 @@ def score_words(words, weights: np.ndarray, bits: int) -> np.ndarray:
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 8000, bits: int = BITS, epochs: int = 4) -> np.ndarray:
     """Learn weights from at most ``most_rows`` labelled documents that are not held out.
 
-    Without any labelled row all weights are 0, and every score is one half.
+    Null labels are left out, and rows that repeat an id are learned from once. Without
+    any labelled row all weights are 0, and every score is one half.
     """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +137,8 @@ def classify_quality(docs: DataFrame, weights: np.ndarray, threshold: float = 0.
     """Add held_out, score and predicted (1 if score >= threshold) to every row.
 
     docs needs ``doc_id`` and ``text``; all other columns stay, but for any of the names
-    added. A null, empty or wordless text has the score of the intercept alone. An
-    empty table gives an empty one.
+    added. A null, empty or wordless text has the score of the intercept alone. Rows are
+    scored one by one, whatever they repeat. An empty table gives an empty one.
     """
     added = ["held_out", "score", "predicted"]
     frame, names = sheltered(docs, ["doc_id", "text"], added)

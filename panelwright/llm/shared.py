@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,15 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where none is named (tests)."""
+    """The folder that the cluster names for checkpoints. Where none is named, a temporary one in a local session, and a RuntimeError on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="panelwright-")
     spark.sparkContext.setCheckpointDir(f"file://{folder}")
     return f"file://{folder}"
