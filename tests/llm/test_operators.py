@@ -17,6 +17,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (6, "x " * 30000), (7, "é ü\u00a0ß 日本 a\n\na"), (8, "A b C d e f g")]
 
 
+def lit_of(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 2}", 0) for i, t in rows], DOCS)
 
@@ -66,13 +72,27 @@ def brute_passages(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("seed", "window"), [(1, 50), (2, 7)])
+@pytest.mark.parametrize(("seed", "window"), [(1, 50), (2, 7), (3, 100), (4, 2), (5, 13)])
 def test_passages_against_brute_force(spark, seed, window):
     rows = made_up(seed)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.substring_dedup(docs_of(spark, rows), window).collect()}
     assert got == brute_passages(rows, window)
 
 
+def test_every_window_holds_an_extension_of_each_level():
+    assert substring.doubling(50) == [13, 25, 50] and substring.doubling(7) == [2, 4, 7] and substring.doubling(100) == [13, 25, 50, 100]
+    for window in range(2, 260):
+        size, *between, last = substring.doubling(window)
+        assert last == window and all(offset + n <= window or offset + size >= n for n in between for offset in range(window - size + 1))
+
+
+def test_passages_where_all_texts_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(substring, "MOST_BROADCAST", 0)
+    rows = made_up(6)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.substring_dedup(docs_of(spark, rows), 50).collect()}
+    assert got == brute_passages(rows, 50)
+
+
 def test_passages_edges_and_layout(spark):
     out = substring.substring_dedup(docs_of(spark, EDGE).withColumnRenamed("lang", "kept"), 5, layout=True)
     assert out.columns == ["doc_id", "source", "n_chars", "n_words", "n_removed", "kept"]
@@ -117,6 +137,32 @@ def test_components_against_brute_force(spark, percent):
     assert got == brute_components(rows, percent)
 
 
+@pytest.mark.parametrize(("split", "levels"), [(64, 8), (3, 8), (3, 2)])
+def test_large_groups_of_edited_copies_against_brute_force(spark, monkeypatch, split, levels):
+    """Copies of two related texts, each with many edits of its own, some of which recur: most are near the limit."""
+    monkeypatch.setattr(minhash, "_SPLIT", split)
+    monkeypatch.setattr(minhash, "_LEVELS", levels)
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(90)]
+    other = base[:50] + [f"c{k}" for k in range(40)]
+    places = r.sample(range(90), 12)
+    rows = []
+    for i in range(260):
+        words = list(r.choice((base, base, other)))
+        for at in r.sample(places, r.randint(0, 5)) if r.random() < 0.5 else r.sample(range(90), r.randint(0, 5)):
+            words[at] = r.choice(("x", "y", "z", f"u{i}"))
+        rows.append((i, " ".join(words[: r.choice((90, 90, 90, 80, 70))])))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs_of(spark, rows), 80).collect()}
+    assert got == brute_components(rows, 80)
+
+
+def test_texts_that_share_an_id_are_compared_each(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (7, b), (9, b + " more"), (11, a + " more"), (12, "else")]
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(docs_of(spark, rows), 80).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 5, False), (12, 12, True)]
+
+
 def test_near_duplicate_edges(spark):
     rows = minhash.near_duplicates(docs_of(spark, EDGE), 85).collect()
     assert len(rows) == len(EDGE)
@@ -165,12 +211,26 @@ def test_hits_against_brute_force(spark, shortest, monkeypatch):
     items = [(k, " ".join(r.choice(v) for _ in range(r.choice((shortest, 8, 13, 20, 30))))) for k in range(12)] + [(90, ""), (91, None)]
     rows = [(i, " ".join(x for _ in range(4) for x in ([r.choice(v) for _ in range(20)] if r.random() < 0.5 else (r.choice(items)[1] or "").upper().split())) + " End.") for i in range(40)]
     want = brute_hits(rows, items)
-    for block in (decontam.BLOCK_WORDS, 20):
-        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    for block, at_once in ((decontam.BLOCK_WORDS, decontam.PASS_WORDS), (decontam.BLOCK_WORDS, 20)):
+        monkeypatch.setattr(decontam, "PASS_WORDS", at_once)
         got = decontam.decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in got} == want
 
 
+def test_blocks_of_a_pass_find_what_one_finds(monkeypatch):
+    r = random.Random(6)
+    v = [b"t%d" % k for k in range(9)]
+    items = [(k, [r.choice(v) for _ in range(r.choice((2, 13, 30)))]) for k in range(20)]
+    words = [r.choice(v) for _ in range(3000)] + items[3][1] + items[5][1]
+    hits = {}
+    for block in (decontam.BLOCK_WORDS, 50):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+        found = [m.automaton.walk(words) for m in decontam.matchers(f"pass {block}", items, 4)]
+        hits[block] = ({x for spans, _ in found for x in spans}, set().union(*[keys for _, keys in found]))
+        assert len(found) == (1 if block > 50 else len(found)) and len(decontam._MATCHERS) == 1
+    assert len(set(map(str, ({k: sorted(x) for k, x in enumerate(h)} for h in hits.values())))) == 1
+
+
 def test_cut_removes_the_spans(spark):
     item = " ".join(f"q{k}" for k in range(15))
     rows = [(1, f"Before {item}, after. " + "x " * 900), (2, "nothing here"), (3, None)]
@@ -237,11 +297,31 @@ def test_encoder_agrees_with_the_tokenizer(name):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     got = tokens.Encoder(public_tokenizers.path(name)).encode(TEXTS)
     assert [list(x) for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_agrees_on_all_usual_characters(name, monkeypatch):
+    """Each character alone and in words, then random strings with marks, added tokens and the pieces' memory emptied."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    r = random.Random(8)
+    letters = [chr(c) for c in range(1, 0x250)] + [chr(c) for c in range(0x2010, 0x2028)] + ["\u20ac"]
+    texts = [x for c in letters for x in (c, f"a{c}b", f"{c.upper()}HMED 1{c}", f" {c} {c}{c}\n")]
+    far = "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"
+    parts = [*letters, *far, *[chr(c) for c in range(0x300, 0x310)], "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'ll", "'S", " ", " ", "\n\n", "the", "Word"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(40_000)]
+    texts += ["".join(r.choice(letters + list(far)) for _ in range(r.randint(1, 25))) for _ in range(20_000)]
+    monkeypatch.setattr(tokens, "MOST_PIECES", 20_000)
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    for a in range(0, len(texts), 1000):
+        part = texts[a : a + 1000]
+        wanted = [x.ids for x in whole.encode_batch(part, add_special_tokens=False)]
+        assert [list(x) for x in encoder.encode(part)] == wanted
+
+
 def test_packing_covers_every_id_once(spark):
     r = random.Random(4)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, " ".join(r.choice(("alpha", "beta", "gamma")) for _ in range(r.randint(0, 900)))) for i in range(60)]
@@ -267,6 +347,35 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_balances_costs_better_than_filling_in_order():
+    r = random.Random(7)
+    lengths = [min(255, int(r.expovariate(1 / 60)) + 1) for _ in range(3000)]
+    cost = lambda n: n + n * n / 2048
+    placed, used = packing.pack_lengths(lengths, 256, 1.0, 1 / 2048)
+    full = sum(lengths) // 256
+    ours, covered = {}, [0] * len(lengths)
+    for piece, start, take, sequence, _ in placed:
+        assert start == covered[piece]
+        covered[piece] += take
+        ours[sequence] = ours.get(sequence, 0) + cost(take)
+    assert covered == lengths and used == full + (sum(lengths) % 256).bit_count()
+    # First fit: descending pieces to the first sequence with room, what fits nowhere is cut likewise.
+    room, first = [256] * full + [1 << k for k in range(8, -1, -1) if sum(lengths) % 256 >> k & 1], {}
+    queue, pieces = sorted(lengths, reverse=True), 0
+    while queue:
+        n = queue.pop(0)
+        k = next((k for k, x in enumerate(room) if x >= n), None)
+        if k is None:
+            k = max(range(len(room)), key=room.__getitem__)
+            queue = sorted([*queue, n - room[k]], reverse=True)
+            n = room[k]
+        room[k] -= n
+        first[k] = first.get(k, 0) + cost(n)
+        pieces += 1
+    spread = [np.std([c for s, c in x.items() if s < full]) for x in (ours, first)]
+    assert spread[0] < 0.95 * spread[1] and len(placed) <= 1.1 * pieces, (spread, len(placed), pieces)
+
+
 @pytest.mark.parametrize("n", [1, 1023, 1024, 5000])
 def test_coder_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.4, n) % 3000
@@ -334,6 +443,69 @@ def test_toxicity_learns_stems_and_sees_through_disguise(spark):
     assert toxicity.train_toxicity(docs_of(spark, rows), labels.limit(0)).lexicon == {}
 
 
+def test_evidence_against_a_naive_matcher():
+    r = random.Random(3)
+    model = toxicity.Model({"mor": 1.0, "moron": 2.5, "vile": 0.5, "clown": 4.0}, ("clown fish", "vile weed"))
+    automaton = model.automaton()
+    words = ["mor", "moron", "morons", "m0r0n", "MoRal", "vile", "vileness", "clown", "clown", "fish", "weed", "a", "x1", "-", "évil", "\u200bmo\u200bron"]
+    for _ in range(400):
+        text = "".join(r.choice(words) + r.choice((" ", " ", "  ", ".", "\n")) for _ in range(r.randint(0, 12)))
+        folded, n = toxicity.fold(text)
+        spared = [(m.start(), m.end()) for p in model.exceptions for m in re.finditer(f"(?= {p} )", folded) for m in [re.compile(f" {p} ").match(folded, m.start())]]
+        weight = 0.0
+        for i in range(len(folded) - 1):
+            if folded[i] == " ":
+                fits = [s for s in model.lexicon if folded.startswith(s, i + 1) and not any(a <= i and i + 1 + len(s) <= b for a, b in spared)]
+                weight += model.lexicon[max(fits, key=len)] if fits else 0.0
+        assert model.evidence(text, automaton) == (pytest.approx(weight), len(folded.split())) and n == len(folded.split())
+
+
+def test_the_first_test_of_entries_keeps_all_significant_ones(spark):
+    r = random.Random(5)
+    rows = [(a, a + r.choice((0, r.randint(0, 40)))) for a in [r.randint(3, 60) for _ in range(600)]]
+    for p in (0.05, 0.11, 0.5, 0.8):
+        kept = {(x.a, x.n) for x in spark.createDataFrame(rows, "a long, n long").where(toxicity.not_by_chance(5000, p)).collect()}
+        wanted = {(a, n) for a, n in rows if a > n * p and toxicity._tail(a, n, p) <= np.log(0.01 / 5000)}
+        assert wanted <= kept and len(kept) <= 1.3 * len(wanted) + 5
+
+
+def test_learning_against_plain_updates():
+    """Follow-the-regularised-leader updates of single numbers, over features counted word by word."""
+    import pyarrow as pa
+
+    from panelwright.llm.textwords import SPACE_WORDS, words_of
+
+    texts = ["one two three One two", "two two two !!", "", "&& x &&", "Three words here. one"]
+    y, bits, alpha, beta, l1, l2 = [1, 0, 1, 0, 1], 10, 0.5, 1.0, 0.05, 1.0
+    examples = []
+    for text in texts:
+        (_, _, words), *_ = words_of(pa.array([text]), SPACE_WORDS)
+        x = {1 << bits: 1.0}
+        for slots, _ in qualitylr._features(words, bits):
+            for s in slots.tolist():
+                x[s] = x.get(s, 0.0) + 8.0 / len(slots)
+        examples.append(x)
+    z, n = [0.0] * ((1 << bits) + 1), [0.0] * ((1 << bits) + 1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        for k in rng.permutation(len(texts)):
+            w = {i: weight(i) for i in examples[k]}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in examples[k].items())))
+            for i, v in examples[k].items():
+                g = (p - y[k]) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    got = qualitylr.learn([(pa.array(texts), np.array(y))], bits, 3)
+    assert got == pytest.approx([weight(i) for i in range(len(z))], abs=1e-5)
+    (_, _, words), *_ = words_of(pa.array([" ".join(texts)]), SPACE_WORDS)
+    line = got[-1] + sum(8.0 * got[slots].sum() / len(slots) for slots, _ in qualitylr._features(words, bits))
+    assert qualitylr.score_words(words, got, bits)[0] == pytest.approx(1 / (1 + np.exp(-line)))
+
+
 @pytest.mark.parametrize("toxic", [11, 16])
 def test_toxicity_learns_whatever_the_share_of_toxic_rows(spark, toxic):
     r = random.Random(toxic)
@@ -373,6 +545,20 @@ def test_skipped_elements_lose_no_page_text(name):
     assert " ".join(b.text for b in htmlblocks.blocks_of(page)) == f"{'İ' * 30} a rest of the paragraph, which is long enough last"
 
 
+@pytest.mark.parametrize("page", ['<p>a</p><script src="x"/>var b;</script><p>c</p>', "<p>a</p><svg/><p>c</p>", "<p>a</p><div/><p>c</p>", "<p>a</p><SCRIPT />b <p>d</SCRIPT><p>c"])
+def test_a_slash_closes_no_element_but_drawings(page):
+    assert [b.text for b in htmlblocks.blocks_of(page)] == ["a", "c"]
+
+
+def test_many_scripts_take_linear_time():
+    import time
+
+    page = "<p>x</p><script>var a = '<p>';</script>" * 16_000
+    began = time.thread_time()
+    assert len(htmlblocks.blocks_of(page)) == 16_000
+    assert time.thread_time() - began < 3
+
+
 @pytest.mark.parametrize("depth", [10, 1000, 100_000])
 def test_deep_nesting_closes_no_outer_element(depth):
     page = "<div class=sidebar>" + "<div>" * depth + "<p>deep</p>" + "</div>" * depth + "<p>side</p></div></section><p>out</p>"
@@ -440,6 +626,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces} == ids[3]
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    odd = docs_of(spark, EDGE).withColumns({"kept": lit_of("x"), "score": lit_of("y")})
+    spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, "a b c"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    quality, *rest = [stage for _, stage in corpus_pipeline.STAGES]
+    for docs in (odd, odd.limit(0)):
+        assert quality(spark, docs, str(tmp_path)).columns == list(corpus_pipeline.COLUMNS)
+        kept = docs
+        for stage in rest[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == list(corpus_pipeline.COLUMNS)
+        pieces = rest[-1](spark, kept, str(tmp_path)).collect()
+        ids = [p.doc_id for p in pieces if p.start == 0]
+        assert sorted(ids, key=str) == ([] if docs is not odd else sorted([1, 2, 3, 4, 5, None, 6, 7], key=str))
+
+
 def test_near_dedup_keeps_rows_without_id_and_one_of_equal_rows(spark):
     import corpus_pipeline
 
