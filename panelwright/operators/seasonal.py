@@ -21,29 +21,29 @@ RESULT = "series string, sasdate date, value double, seasonal double, adjusted d
 
 
 def loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None = None, degree: int = 1) -> np.ndarray:
-    """Local regression of y at 0..n-1, evaluated at the places ``at``."""
+    """Local regression of y at 0..n-1, evaluated at the whole places ``at``. Each costs its span, not the length of y. Where all weights are zero, the span counts alike."""
     n = len(y)
-    x = np.arange(n, dtype=float)
     rho = np.ones(n) if weights is None else weights
-    distance = np.abs(at[:, None] - x[None, :])
     q = min(span, n)
-    reach = np.partition(distance, q - 1, axis=1)[:, q - 1]
-    if span > n:
-        reach = reach + (span - n) // 2
+    # The nearest q places, of which the farthest has no weight.
+    near = np.clip(at.astype(int) - (q - 1) // 2, 0, n - q)[:, None] + np.arange(q)
+    x = near - at[:, None]
+    distance = np.abs(x)
+    reach = distance.max(axis=1) + (max(span - n, 0) // 2)
     u = distance / np.maximum(reach, 1e-12)[:, None]
-    w = np.where(u < 1, (1 - np.minimum(u, 1) ** 3) ** 3, 0.0) * rho[None, :]
-    total = w.sum(axis=1)
-    flat = total <= 1e-12
-    w[flat] = 1.0
+    w = np.where(u < 1, (1 - np.minimum(u, 1) ** 3) ** 3, 0.0) * rho[near]
+    w[w.sum(axis=1) <= 1e-12] = 1.0
     w /= w.sum(axis=1, keepdims=True)
-    mean_y = w @ y
+    values = y[near]
+    mean_y = (w * values).sum(axis=1)
     if degree == 0:
         return mean_y
-    mean_x = w @ x
-    spread = (w * (x[None, :] - mean_x[:, None]) ** 2).sum(axis=1)
-    slope = (w * (x[None, :] - mean_x[:, None]) * y[None, :]).sum(axis=1)
-    steep = spread > 1e-6 * max(n - 1, 1) ** 2 * 1e-3
-    return mean_y + np.where(steep, slope / np.where(steep, spread, 1.0), 0.0) * (at - mean_x)
+    mean_x = (w * x).sum(axis=1)
+    x = x - mean_x[:, None]
+    spread = (w * x**2).sum(axis=1)
+    slope = (w * x * values).sum(axis=1)
+    steep = spread > 1e-9 * max(n - 1, 1) ** 2
+    return mean_y - np.where(steep, slope / np.where(steep, spread, 1.0), 0.0) * mean_x
 
 
 def _moving_average(y: np.ndarray, n: int) -> np.ndarray:

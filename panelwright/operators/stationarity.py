@@ -158,6 +158,34 @@ def df_gls(x: np.ndarray, trend: str = "c") -> tuple[float, float]:
     return stat, tail_p(stat, _DFGLS[trend], _DFGLS_P)
 
 
+def _least_t(y: np.ndarray, x: np.ndarray, base: np.ndarray, extra: list[np.ndarray]) -> tuple[float, int]:
+    """(least, its place) of the t statistics of x in the regressions of y on x, base and the columns at one place of ``extra``; -1 where none has one.
+
+    What base explains is taken out of all columns once, so each place costs a few products.
+    """
+    q = np.linalg.qr(base)[0]
+    places, whole_x = extra[0].shape[1], float(x @ x)
+    y, x = (np.repeat((v - q @ (q.T @ v))[:, None], places, axis=1) for v in (y, x))
+    done: list[np.ndarray] = []
+    for whole in extra:
+        column = whole - q @ (q.T @ whole)
+        for other in done:
+            column = column - other * (other * column).sum(axis=0)
+        size = np.sqrt((column**2).sum(axis=0))
+        done.append(column / np.where(size > 1e-9 * np.sqrt((whole**2).sum(axis=0)), size, np.nan))
+    for column in done:
+        y, x = (v - column * (column * v).sum(axis=0) for v in (y, x))
+    xx = (x**2).sum(axis=0)
+    xx = np.where(xx > 1e-18 * whole_x, xx, np.nan)
+    beta = (x * y).sum(axis=0) / xx
+    rss = ((y - x * beta) ** 2).sum(axis=0)
+    t = beta / np.sqrt(rss / (len(y) - base.shape[1] - len(extra) - 1) / xx)
+    t = np.where(np.isfinite(t), t, np.inf)
+    if not places or np.isinf(t.min()):
+        return math.inf, -1
+    return float(t.min()), int(np.argmin(t))
+
+
 def zivot_andrews(x: np.ndarray, trend: str = "c", trim: float = 0.15) -> tuple[float, float, int]:
     """(least statistic over all break places, p-value, break place). The lags are those of least AIC with a trend and no break."""
     n = len(x)
@@ -170,17 +198,11 @@ def zivot_andrews(x: np.ndarray, trend: str = "c", trim: float = 0.15) -> tuple[
     lags = int(np.argmin(scores))
     w, y = _lagged(x, lags, lags)
     time = np.arange(lags + 1, n)
-    best, place = math.inf, -1
-    for b in range(max(int(n * trim), lags + 2), int(n * (1 - trim))):
-        columns = [np.ones(len(y)), time]
-        if trend in ("c", "ct"):
-            columns.append((time > b).astype(float))
-        if trend in ("t", "ct"):
-            columns.append(np.maximum(time - b, 0).astype(float))
-        beta, error, _ = _ols(np.column_stack([*columns, w]), y)
-        k = len(columns)
-        if error[k] > 0 and beta[k] / error[k] < best:
-            best, place = float(beta[k] / error[k]), b
+    breaks = np.arange(max(int(n * trim), lags + 2), int(n * (1 - trim)))
+    steps = [(time[:, None] > breaks).astype(float)] if trend in ("c", "ct") else []
+    slopes = [np.maximum(time[:, None] - breaks, 0).astype(float)] if trend in ("t", "ct") else []
+    best, place = _least_t(y, w[:, 0], np.column_stack([np.ones(len(y)), time, w[:, 1:]]), steps + slopes)
+    place = -1 if place < 0 else int(breaks[place])
     if place < 0:
         raise ValueError("too few values")
     return best, tail_p(best, _ZA[trend], _ZA_P), place

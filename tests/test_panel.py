@@ -383,6 +383,27 @@ def test_unit_root_tests_tell_noise_from_a_walk(spark):
     assert len({p for _, p, _ in tests}) == 3 and rows["walk"].za_pvalue == max(p for _, p, _ in tests)
 
 
+@pytest.mark.parametrize("trend", ["c", "t", "ct"])
+def test_break_search_agrees_with_a_regression_a_place(trend):
+    x = np.cumsum(np.random.default_rng(4).normal(size=150)) + np.where(np.arange(150) > 90, 6.0, 0.0)
+    stat, _, place = stationarity.zivot_andrews(x, trend)
+    found = {}
+    for lags in range(14):  # the number of lags is one of these
+        d = np.diff(x)
+        y, level = d[lags:], x[lags:-1]
+        time = np.arange(lags + 1, len(x))
+        before = [d[lags - k : len(d) - k] for k in range(1, lags + 1)]
+        for b in range(max(22, lags + 2), 127):
+            broken = {"c": [time > b], "t": [np.maximum(time - b, 0)], "ct": [time > b, np.maximum(time - b, 0)]}[trend]
+            z = np.column_stack([level, np.ones(len(y)), time, *broken, *before]).astype(float)
+            beta, rss = np.linalg.lstsq(z, y, rcond=None)[:2]
+            error = math.sqrt(rss[0] / (len(y) - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0])
+            found[lags, b] = beta[0] / error
+    least = [min(((t, b) for (k, b), t in found.items() if k == lags)) for lags in range(14)]
+    assert any(stat == pytest.approx(t, rel=1e-8) and place == b for t, b in least)
+    assert stationarity._quiet(stationarity.zivot_andrews, np.ones(60), trend) is None
+
+
 def test_published_critical_values():
     assert stationarity.mackinnon_p(-2.86) == pytest.approx(0.05, abs=0.002)
     assert stationarity.mackinnon_p(-3.43) == pytest.approx(0.01, abs=0.001)
@@ -412,6 +433,23 @@ def test_stl_separates_a_season(spark):
         seasonal.external_adjustment(panel_of(spark, a=[1.0]), "no-such-program")
 
 
+@pytest.mark.parametrize("n,span", [(40, 7), (40, 12), (9, 13), (5, 5), (1, 7)])
+@pytest.mark.parametrize("degree", [0, 1])
+def test_local_regression_agrees_with_one_over_all_places(n, span, degree):
+    rng = np.random.default_rng(n)
+    y, rho, x = rng.normal(size=n), rng.uniform(0.1, 1, size=n), np.arange(n)
+    at = np.arange(-1, n + 1, dtype=float)
+    for place, got in zip(at, seasonal.loess(y, span, at, rho, degree), strict=True):
+        far = np.abs(x - place)
+        reach = np.sort(far)[min(span, n) - 1] + max(span - n, 0) // 2
+        w = rho * np.clip(1 - (far / max(reach, 1e-12)) ** 3, 0, None) ** 3
+        if w.sum() > 1e-12 and (np.count_nonzero(w) > 1 or degree == 0):
+            w = w / w.sum()
+            mean = w @ x
+            slope = w @ ((x - mean) * y) / (w @ (x - mean) ** 2) if degree else 0.0
+            assert got == pytest.approx(w @ y + slope * (place - mean), abs=1e-9)
+
+
 def test_an_external_program_is_run_for_every_series(spark, tmp_path):
     program = tmp_path / "adjust"
     program.write_text("""#!/usr/bin/env python3
