@@ -196,3 +196,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelwright.llm.htmlcrf import extract_main_text
 
     return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=16)
