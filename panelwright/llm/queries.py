@@ -203,3 +203,31 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelwright.llm.whitening import whiten
 
     return whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+_OP13_SQL = r"""
+WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+turns AS (SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM turns),
+l AS (SELECT c, list({'k': k, 'n': n} ORDER BY p) AS own FROM o GROUP BY c),
+h AS (SELECT l.c, own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(l.c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) % 4 AS h FROM l, tbl),
+s AS (SELECT h.c, list_concat(CASE WHEN b.own IS NULL THEN h.own[1:0] ELSE b.own[1:h.h] END, h.own[h.h + 1:]) AS q FROM h LEFT JOIN l b ON b.c = h.c - h.c % 20),
+z AS (SELECT c, d, len(q) = d AS last, array_to_string(list_transform(q[1:d], lambda x: x.k), '') AS id,
+  CASE WHEN d > 0 THEN array_to_string(list_transform(q[1:d - 1], lambda x: x.k), '') END AS up, CASE WHEN d > 0 THEN q[d].n ELSE 0 END AS n FROM (SELECT c, q, unnest(range(0, len(q) + 1)) AS d FROM s)),
+g AS (SELECT id, up, d, min(c) AS conv_id, count(*) AS n_convs, min(n) AS n,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM z GROUP BY id, up, d),
+k AS (SELECT up AS id, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+w AS (SELECT a.id, count(*) FILTER (k.id IS NULL) AS n_leaves, sum((g.n_convs - 1) * g.n) AS saved_tokens
+  FROM (SELECT DISTINCT a.id, b.id AS below FROM z a JOIN z b ON a.c = b.c AND a.d <= b.d) a JOIN g ON g.id = a.below LEFT JOIN k ON k.id = a.below GROUP BY a.id)
+SELECT g.conv_id, g.d::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n_convs::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+  w.n_leaves::BIGINT AS n_leaves, w.saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+FROM g LEFT JOIN g u ON u.id = g.up LEFT JOIN k ON k.id = g.id JOIN w ON w.id = g.id
+"""
+
+
+@_query("op13_prefix_trie", _OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.prefixtrie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
