@@ -231,3 +231,10 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelwright.llm.prefixtrie import prefix_trie
 
     return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_near_vectors")
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelwright.llm.vectordedup import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"), limit=0.9)[0]
