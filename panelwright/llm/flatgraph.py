@@ -35,18 +35,20 @@ def _fresh(near: np.ndarray, seen: np.ndarray, stamp: np.ndarray) -> np.ndarray:
     return new
 
 
-def greedy(x: np.ndarray, adjacency: np.ndarray, start: np.ndarray, q: np.ndarray, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-first search of queries q with a beam of ``width``: (beam places, their cosines, cosines of all places seen, -2 elsewhere)."""
+def greedy(x: np.ndarray, adjacency: np.ndarray, start: np.ndarray, q: np.ndarray, width: int, own: np.ndarray | None = None, at_once: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-first search of queries q from ``start``, and from each one's own place if it has one (else -1), with a beam of ``width``: (beam places, their cosines, cosines of all places seen, -2 elsewhere)."""
     m, rows = len(q), np.arange(len(q))[:, None]
     seen, stamp = np.zeros((m, len(x)), dtype=bool), np.zeros((m, len(x)), dtype=np.int32)
     known = np.full((m, len(x)), -2.0, dtype=np.float32)
-    seen[:, start] = True
-    known[:, start] = q @ x[start].T
-    k = min(width, len(start))
-    beam = np.full((m, width), -1)
-    best = np.full((m, width), -2.0, dtype=np.float32)
-    order = np.argsort(-known[:, start], axis=1)[:, :k]
-    beam[:, :k], best[:, :k] = start[order], np.take_along_axis(known[:, start], order, 1)
+    near = np.hstack([np.broadcast_to(start, (m, len(start))), (np.full(m, -1) if own is None else own)[:, None]])
+    new = _fresh(near, seen, stamp)
+    r, c = np.nonzero(new)
+    known[r, near[r, c]] = np.einsum("ij,ij->i", q[r], x[near[r, c]])
+    cosine = np.where(new, known[rows, np.maximum(near, 0)], np.float32(-2))
+    order = np.argsort(-cosine, axis=1, kind="stable")[:, :width]
+    k = order.shape[1]
+    beam, best = np.full((m, width), -1), np.full((m, width), -2.0, dtype=np.float32)
+    beam[:, :k], best[:, :k] = np.where(new[rows, order], near[rows, order], -1), cosine[rows, order]
     done = beam < 0
     while not done.all():
         pick = np.argsort(np.where(done, 3.0, -best), axis=1, kind="stable")[:, :at_once]
@@ -161,20 +163,31 @@ def _reachable(adjacency: np.ndarray, start: np.ndarray) -> np.ndarray:
         adjacency, fresh = np.hstack([adjacency, more]), lost
 
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, start: np.ndarray, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of pairs of cosine ``least`` or more: a greedy search, then the neighbours of all in range, until none is new."""
-    known = greedy(x, adjacency, start, q, width)[2]
-    opened = np.zeros(known.shape, dtype=bool)
+def both_ways(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, places): the neighbours of each node over edges of either direction."""
+    node, k = np.nonzero(adjacency >= 0)
+    near, n = adjacency[node, k], len(adjacency)
+    edges = np.unique(np.r_[node * n + near, near * n + node])
+    return np.searchsorted(edges, np.arange(n + 1) * n), edges % n
+
+
+def range_search(x: np.ndarray, adjacency: np.ndarray, edges: tuple[np.ndarray, np.ndarray], start: np.ndarray, q: np.ndarray, least: float, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of pairs of cosine ``least`` or more: a greedy search along the graph, then, over its edges of either direction, the neighbours of all in range until none is new.
+
+    A node that many others crowd out of the lists of its neighbours is still found from them.
+    """
+    known, (offsets, flat) = greedy(x, adjacency, start, q, width, own)[2], edges
+    opened, count = np.zeros(known.shape, dtype=bool), np.diff(offsets)
     while True:
         r, c = np.nonzero((known >= least) & ~opened)
         if not len(r):
             return np.nonzero(known >= least)
         opened[r, c] = True
         for a in range(0, len(r), 20_000):
-            near = adjacency[c[a : a + 20_000]]
-            who = np.repeat(r[a : a + 20_000], near.shape[1])[near.ravel() >= 0]
-            flat = np.unique(who * np.int64(known.shape[1]) + near.ravel()[near.ravel() >= 0])
-            who, place = np.divmod(flat, known.shape[1])
-            new = known[who, place] == -2.0
-            who, place = who[new], place[new]
-            known[who, place] = np.einsum("ij,ij->i", q[who], x[place])
+            i, j = r[a : a + 20_000], c[a : a + 20_000]
+            many = count[j]
+            near = flat[np.arange(many.sum()) + np.repeat(offsets[j] - np.cumsum(many) + many, many)]
+            who = np.repeat(i, many)
+            new = known[who, near] == -2.0
+            who, near = np.divmod(np.unique(who[new] * np.int64(known.shape[1]) + near[new]), known.shape[1])
+            known[who, near] = np.einsum("ij,ij->i", q[who], x[near])

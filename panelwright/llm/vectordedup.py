@@ -10,8 +10,8 @@
    likewise. Each block of targets gets a graph; the adjacency lists that a class has in
    all shards are united.
 4. Each block of home classes searches each block of targets of its shard in the united
-   graph: greedily from medoids, then through all neighbours in a wider range than the
-   limit. A pair is counted where the class that asks is at home, so once. Every pair
+   graph: greedily from medoids, and from its own place where it is in the block, then
+   through all neighbours in a wider range than the limit. A pair is counted where the class that asks is at home, so once. Every pair
    found is verified by its cosine in doubles; only verified ones count.
 5. A task sends counts and one edge for a class that is linked (to the least class that
    links within the task reach), never pairs. Components come from those edges.
@@ -155,15 +155,17 @@ def _search(limit: float, slack: float, width: int, scan: bool):
         tn, qn = np.linalg.norm(tv, axis=1), np.linalg.norm(qv, axis=1)
         tx, qx = (tv / tn[:, None]).astype(np.float32), (qv / qn[:, None]).astype(np.float32)
         adjacency = _local(cid, targets.column("near").combine_chunks())
-        start = flatgraph.medoids(tx)
+        start, edges = flatgraph.medoids(tx), flatgraph.both_ways(adjacency)
         everyone = np.unique(np.r_[cid, own])
         label, t_at, q_at = np.arange(len(everyone)), np.searchsorted(everyone, cid), np.searchsorted(everyone, own)
         links = np.zeros(len(own), dtype=np.int64)
+        here = np.minimum(np.searchsorted(cid, own), len(cid) - 1)
+        here = np.where(cid[here] == own, here, -1)
         for a in range(0, len(own), 256):
             if scan:
                 q, t = np.nonzero(qx[a : a + 256] @ tx.T >= limit - 1e-3)
             else:
-                q, t = flatgraph.range_search(tx, adjacency, start, qx[a : a + 256], least, width)
+                q, t = flatgraph.range_search(tx, adjacency, edges, start, qx[a : a + 256], least, width, here[a : a + 256])
             q = q + a
             other = own[q] != cid[t]
             q, t = q[other], t[other]
@@ -230,7 +232,7 @@ def audited_recall(found: DataFrame, links: DataFrame, limit: float, most_audit:
 def _linked_classes(found: DataFrame, d: int, limit: float, shard_rows: int, most_sample: int, most_audit: int, least_recall: float) -> tuple[DataFrame, float]:
     """((cid, links, root) of the linked classes of one length, audited recall)."""
     n = found.count()
-    for reach, width, scan in ((2.0, 24, False), (3.0, 48, False), (4.0, 96, False), (math.sqrt(d), 24, True)):
+    for reach, width, scan in ((1.5, 24, False), (2.5, 48, False), (math.sqrt(d), 24, True)):
         told = _searched(found, n, d, limit, shard_rows, most_sample, reach, width, scan)
         links = told.groupBy(F.col("node").alias("cid")).agg(F.sum("links").alias("links"))
         recall = audited_recall(found, links, limit, most_audit)
