@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,15 +33,63 @@ def describe(panel: DataFrame) -> DataFrame:
     return out.select("series", "count", "nulls", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max")
 
 
-def correlations(panel: DataFrame) -> DataFrame:
-    """(a, b, n, corr) of every pair a <= b of series, over the dates that both have.
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_GRAM = "a string, b string, " + ", ".join(f"{c} double" for c in _SUMS)
 
-    The result has a row a pair of series, so its join has series squared rows a date;
-    rows of NULL go first, and the sums are combined before the shuffle.
+
+def _matrix(names: pa.Array, cells: pa.ListArray, dates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether there is one), a row a series and a column a date."""
+    at = np.repeat(np.arange(len(names)), cells.value_lengths().to_numpy())
+    flat = cells.flatten()
+    place = np.searchsorted(dates, flat.field("sasdate").to_numpy(zero_copy_only=False).astype("datetime64[D]").astype(np.int64))
+    values, some = np.zeros((len(names), len(dates))), np.zeros((len(names), len(dates)))
+    values[at, place], some[at, place] = flat.field("value").to_numpy(zero_copy_only=False), 1.0
+    return values, some
+
+
+def _gram(table: pa.Table) -> pa.Table:
+    """Sums over the dates that both have, of each pair of a series on the left and one on the right (left and right alike: a <= b)."""
+    cells = table.column("cells").combine_chunks()
+    dates = np.unique(cells.flatten().field("sasdate").to_numpy(zero_copy_only=False).astype("datetime64[D]").astype(np.int64))
+    left, right = (table.column(c).combine_chunks() for c in ("left", "right"))
+    names = table.column("series").combine_chunks()
+    (x, has_x), (y, has_y) = (_matrix(names.filter(side), cells.filter(side), dates) for side in (left, right))
+    a, b = names.filter(left), names.filter(right)
+    sums = (has_x @ has_y.T, x @ has_y.T, has_x @ y.T, (x * x) @ has_y.T, has_x @ (y * y).T, x @ y.T)
+    i, j = np.nonzero(sums[0] > 0)
+    one, two = a.take(pa.array(i)), b.take(pa.array(j))
+    out = pa.table({"a": one, "b": two} | {c: s[i, j] for c, s in zip(_SUMS, sums, strict=True)})
+    within = table.column("g")[0].as_py() == table.column("h")[0].as_py()
+    return out.filter(pc.less_equal(one, two)) if within else out
+
+
+def correlations(panel: DataFrame, series_block: int = 1000, date_block: int = 1000) -> DataFrame:
+    """(a, b, n, corr) of every pair a <= b of series, over the dates that both have. A series has one row a date.
+
+    Series are dealt to groups and dates to blocks, so many that a group has about
+    ``series_block`` series and a block ``date_block`` dates. A task takes two groups over
+    one block as matrices of values and of which are there; their products are the sums
+    of all pairs, and add up over the blocks. Rows are shuffled as arrays, one a series,
+    block and pair of groups. Values are taken from their series' mean first, as sums of
+    squares of what is far from zero lose digits.
     """
-    have = panel.where("value IS NOT NULL")
-    left = have.select("sasdate", F.col("series").alias("a"), F.col("value").alias("x"))
-    right = have.select("sasdate", F.col("series").alias("b"), F.col("value").alias("y"))
-    pairs = left.join(right, "sasdate").where("a <= b")
-    corr = F.when(F.count("*") >= 2, F.corr("x", "y"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.nanvl(corr, F.lit(None).cast("double")).alias("corr"))
+    have = panel.where("value IS NOT NULL AND series IS NOT NULL AND sasdate IS NOT NULL").select("series", "sasdate", "value")
+    size = have.agg(F.approx_count_distinct("series").alias("s"), F.approx_count_distinct("sasdate").alias("d")).first()
+    groups, blocks = -(-max(size.s, 1) // series_block), -(-max(size.d, 1) // date_block)
+    block = F.pmod(F.xxhash64("sasdate"), F.lit(blocks)).alias("block")
+    lists = have.groupBy("series", block).agg(F.collect_list(F.struct("sasdate", "value")).alias("cells"), F.sum("value").alias("total"), F.count("*").alias("n"))
+    by = Window.partitionBy("series")
+    mean = F.sum("total").over(by) / F.sum("n").over(by)
+    lists = lists.withColumn("mean", mean).select("series", "block", F.transform("cells", lambda c: F.struct(c["sasdate"].alias("sasdate"), (c["value"] - F.col("mean")).alias("value"))).alias("cells"), F.pmod(F.xxhash64("series"), F.lit(groups)).alias("own"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("other")
+    dealt = lists.select("series", "block", "cells", "own", other)
+    g, h = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select("block", g.alias("g"), h.alias("h"), "series", "cells", (F.col("own") == g).alias("left"), (F.col("own") == h).alias("right"))
+    sums = dealt.groupBy("block", "g", "h").applyInArrow(_gram, _GRAM)
+    pairs = sums.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    top = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    spread = lambda s, ss: F.col("n") * F.col(ss) - F.col(s) * F.col(s)
+    some = lambda s, ss: F.when(spread(s, ss) > 1e-12 * F.col("n") * F.col(ss), F.sqrt(spread(s, ss)))
+    corr = F.try_divide(top, some("sx", "sxx") * some("sy", "syy"))
+    within = F.when(corr > 1, 1.0).when(corr < -1, -1.0).otherwise(corr)
+    return pairs.select("a", "b", F.col("n").cast("long").alias("n"), F.when(F.col("n") >= 2, within).alias("corr"))

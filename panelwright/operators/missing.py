@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.calendar import between
-from panelwright.schema import in_order
+from panelwright.operators.chunks import chunk_of
 
 
 def _gone() -> Column:
@@ -58,65 +60,105 @@ def missing_summary(report: DataFrame) -> DataFrame:
     return report.agg(F.count("*").alias("n_series"), *counts, *names)
 
 
-def missing_cells(panel: DataFrame) -> DataFrame:
-    """(series, sasdate, run) of missing cells; run is equal in a run of neighbouring missing rows."""
-    order = F.row_number().over(in_order())
-    values_before = F.count_if(~F.col("gone")).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
-    return panel.withColumn("gone", _gone()).withColumn("place", order).withColumn("run", values_before).where("gone").select("series", "sasdate", "place", "run")
+_COUNTS = ("rows", "gone", "lead", "trail", "inner", "runs")
 
 
-def missing_runs(panel: DataFrame, start=None, end=None) -> DataFrame:
-    """(series, start, end, length) of every run of missing rows; a series without gaps has none."""
-    cells = missing_cells(between(panel, start, end))
-    return cells.groupBy("series", "run").agg(F.min("sasdate").alias("start"), F.max("sasdate").alias("end"), F.count("*").alias("length")).drop("run")
+def _counts(*values) -> Column:
+    return F.struct(*[(F.lit(v) if isinstance(v, int) else v).cast("long").alias(k) for k, v in zip(_COUNTS, values, strict=True)])
+
+
+def merged_runs(a: Column, b: Column) -> Column:
+    """The summary of the rows of a followed by those of b: rows, missing rows, the missing ones before the first value, after the last one, the longest run between two values, and runs. Associative; no row at all is its zero."""
+    a_gone, b_gone = a["gone"] == a["rows"], b["gone"] == b["rows"]
+    meeting = F.when(a_gone | b_gone, 0).otherwise(a["trail"] + b["lead"])
+    return _counts(
+        a["rows"] + b["rows"],
+        a["gone"] + b["gone"],
+        a["lead"] + F.when(a_gone, b["lead"]).otherwise(0),
+        b["trail"] + F.when(b_gone, a["trail"]).otherwise(0),
+        F.greatest(a["inner"], b["inner"], meeting),
+        a["runs"] + b["runs"] - F.when((a["trail"] > 0) & (b["lead"] > 0), 1).otherwise(0),
+    )
+
 
+def _chunks(panel: DataFrame, *more: Column) -> DataFrame:
+    """(series, chunk, cells, ...): the dates of a chunk's rows in order and whether they are missing, and aggregates of its rows."""
+    cell = F.struct("sasdate", _gone().alias("gone"))
+    return panel.groupBy("series", chunk_of().alias("chunk")).agg(F.array_sort(F.collect_list(cell)).alias("cells"), *more)
 
-def _stretches(panel: DataFrame, *more: Column) -> DataFrame:
-    """Of each series, the rows between one value and the next: how many are missing, their ends and dates, and where they stand.
 
-    One exchange on the series serves the window, this aggregation and any by series.
+def _run_summary(cells: Column) -> Column:
+    leaf = lambda c: F.when(c["gone"], _counts(1, 1, 1, 1, 0, 1)).otherwise(_counts(1, 0, 0, 0, 0, 0))
+    return F.aggregate(cells, _counts(0, 0, 0, 0, 0, 0), lambda a, c: merged_runs(a, leaf(c)))
+
+
+def run_summaries(panel: DataFrame, **more: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """Per series, the summary of merged_runs; and for each of ``more`` an aggregate of a chunk's rows, and the aggregate of these.
+
+    Rows are folded in chunks, and the chunks' summaries, a few numbers each, by series.
+    Nothing is sorted but the rows within a chunk; a panel that is dealt by series is not
+    dealt again.
     """
-    w = Window.partitionBy("series")
-    placed = panel.withColumns({"before": F.count("value").over(in_order().rowsBetween(Window.unboundedPreceding, 0)), "values": F.count("value").over(w)})
-    gone = F.when(_gone(), F.col("sasdate"))
-    return placed.groupBy("series", "values", "before").agg(F.count("*").alias("rows"), F.count_if(_gone()).alias("length"), F.min(gone).alias("start"), F.max(gone).alias("end"), F.collect_list(gone).alias("dates"), *more)
+    chunks = _chunks(panel, *[c.alias(name) for name, (c, _) in more.items()])
+    parts = chunks.select("series", F.struct("chunk", _run_summary(F.col("cells")).alias("part")).alias("part"), *more)
+    out = parts.groupBy("series").agg(F.array_sort(F.collect_list("part")).alias("parts"), *[f(name).alias(name) for name, (_, f) in more.items()])
+    whole = F.aggregate("parts", _counts(0, 0, 0, 0, 0, 0), lambda a, p: merged_runs(a, p["part"]))
+    return out.select("series", whole.alias("s"), *more).select("series", "s.*", *more)
+
+
+def _runs_of(cells: Column) -> Column:
+    """The runs of missing rows of a chunk: start, end, length, and the values before them."""
+
+    def step(a: Column, c: Column) -> Column:
+        last = F.try_element_at(a["runs"], F.lit(-1))
+        go_on = (F.size(a["runs"]) > 0) & (last["before"] == a["values"])
+        run = F.struct(F.when(go_on, last["start"]).otherwise(c["sasdate"]).alias("start"), c["sasdate"].alias("end"), (F.when(go_on, last["length"]).otherwise(0) + 1).cast("long").alias("length"), a["values"].alias("before"))
+        kept = F.when(go_on, F.slice(a["runs"], 1, F.size(a["runs"]) - 1)).otherwise(a["runs"])
+        return F.struct((a["values"] + F.when(c["gone"], 0).otherwise(1)).cast("long").alias("values"), F.when(c["gone"], F.concat(kept, F.array(run))).otherwise(a["runs"]).alias("runs"))
+
+    none = F.array().cast("array<struct<start:date,end:date,length:bigint,before:bigint>>")
+    return F.aggregate(cells, F.struct(F.lit(0).cast("long").alias("values"), none.alias("runs")), step)
+
+
+def missing_runs(panel: DataFrame, start=None, end=None) -> DataFrame:
+    """(series, start, end, length) of every run of missing rows; a series without gaps has none.
+
+    Runs of a chunk are named by the values of the series before them, so runs that meet
+    at the end of a chunk become one.
+    """
+    chunks = _chunks(between(panel, start, end)).select("series", "chunk", _runs_of(F.col("cells")).alias("found")).select("series", "chunk", "found.*")
+    counts = chunks.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("chunk", "values"))).alias("all"))
+    before = lambda all_, c: F.aggregate(F.filter(all_, lambda x: x["chunk"] < c["chunk"]), F.lit(0).cast("long"), lambda a, x: a + x["values"])
+    offsets = counts.select("series", F.explode(F.transform("all", lambda c: F.struct(c["chunk"].alias("chunk"), before(F.col("all"), c).alias("offset")))).alias("o")).select("series", "o.*")
+    runs = chunks.join(offsets, ["series", "chunk"]).select("series", "offset", F.explode("runs").alias("r"))
+    out = runs.groupBy("series", (F.col("offset") + F.col("r.before")).alias("run")).agg(F.min("r.start").alias("start"), F.max("r.end").alias("end"), F.sum("r.length").alias("length"))
+    return out.drop("run")
 
 
 def gap_measures(panel: DataFrame, *more: Column) -> DataFrame:
-    """Per series: n_rows, n_missing, lead_gap and gap as leading_gap and interior_gap have them, and sums of ``more`` aggregates, in one exchange."""
-    inside = (F.col("before") > 0) & (F.col("before") < F.col("values"))
-    zero = F.lit(0).cast("long")
-    out = _stretches(panel, *[c.alias(f"more_{i}") for i, c in enumerate(more)]).groupBy("series", "values").agg(
-        F.sum("rows").alias("n_rows"),
-        F.sum("length").alias("n_missing"),
-        F.coalesce(F.max(F.when(F.col("before") == 0, F.col("length"))), zero).alias("lead_gap"),
-        F.coalesce(F.max(F.when(inside, F.col("length"))), zero).alias("inside"),
-        *[F.sum(f"more_{i}").alias(f"more_{i}") for i in range(len(more))],
-    )
-    gap = F.when(F.col("values") == 0, F.col("n_rows")).otherwise(F.col("inside"))
-    return out.select("series", "n_rows", "n_missing", "lead_gap", gap.alias("gap"), *[f"more_{i}" for i in range(len(more))])
+    """Per series: n_rows, n_missing, lead_gap and gap as leading_gap and interior_gap have them, and sums of ``more`` aggregates."""
+    out = run_summaries(panel, **{f"more_{i}": (c, F.sum) for i, c in enumerate(more)})
+    gap = F.when(F.col("gone") == F.col("rows"), F.col("rows")).otherwise(F.col("inner"))
+    return out.select("series", F.col("rows").alias("n_rows"), F.col("gone").alias("n_missing"), F.col("lead").alias("lead_gap"), gap.alias("gap"), *[f"more_{i}" for i in range(len(more))])
 
 
 def missing_positions(panel: DataFrame, start=None, end=None, limit: int | None = None) -> DataFrame:
     """Per series: missing rows, first and last missing date, runs, the longest run, and the dates (at most ``limit``, if given)."""
-    out = _stretches(between(panel, start, end)).groupBy("series").agg(
-        F.sum("rows").alias("n_rows"),
-        F.sum("length").alias("n_missing"),
-        F.min("start").alias("first_missing"),
-        F.max("end").alias("last_missing"),
-        F.count_if(F.col("length") > 0).alias("n_runs"),
-        F.max("length").alias("longest_run"),
-        F.array_sort(F.flatten(F.collect_list("dates"))).alias("missing_dates"),
+    gone = F.when(_gone(), F.col("sasdate"))
+    out = run_summaries(
+        between(panel, start, end),
+        first_missing=(F.min(gone), F.min),
+        last_missing=(F.max(gone), F.max),
+        missing_dates=(F.collect_list(gone), lambda c: F.array_sort(F.flatten(F.collect_list(c)))),
     )
-    dates = F.col("missing_dates") if limit is None else F.slice("missing_dates", 1, limit)
-    return out.select("series", "n_rows", "n_missing", (F.col("n_missing") / F.col("n_rows") * 100).alias("pct_missing"), "first_missing", "last_missing", "n_runs", "longest_run", dates.alias("missing_dates"))
+    shown = F.col("missing_dates") if limit is None else F.slice("missing_dates", 1, limit)
+    return out.select("series", F.col("rows").alias("n_rows"), F.col("gone").alias("n_missing"), (F.col("gone") / F.col("rows") * 100).alias("pct_missing"), "first_missing", "last_missing", F.col("runs").alias("n_runs"), F.greatest("lead", "trail", "inner").alias("longest_run"), shown.alias("missing_dates"))
 
 
 def valid_places(panel: DataFrame) -> DataFrame:
     """Per series: rows, and the places (from 1) of the first and last value; NULL without values."""
-    placed = panel.withColumn("place", F.row_number().over(in_order()))
-    have = F.when(~_gone(), F.col("place"))
-    return placed.groupBy("series").agg(F.count("*").alias("n_rows"), F.min(have).cast("long").alias("first_valid"), F.max(have).cast("long").alias("last_valid"))
+    some = F.col("gone") < F.col("rows")
+    return run_summaries(panel).select("series", F.col("rows").alias("n_rows"), F.when(some, F.col("lead") + 1).alias("first_valid"), F.when(some, F.col("rows") - F.col("trail")).alias("last_valid"))
 
 
 def leading_gap(panel: DataFrame) -> DataFrame:

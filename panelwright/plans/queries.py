@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import calendar, describe, factors, missing, quality, seasonal, stationarity, transforms, variants
 from panelwright.functions import names, taxonomies
+from panelwright.plans import stationarity_sql
 from panelwright.schema import to_long, to_wide
 from panelwright.sources import observations
 
@@ -22,6 +23,8 @@ ORACLES: dict[str, str] = {}
 #: Rules that keep, and drop for each reason, some series of the sample panel.
 RULES = variants.Rules(coverage=0.70, train_years=3, holdout_months=12, min_run=6, missing_share=0.30, leading=1, interior=3, min_train=26)
 ANCHOR = "1996-01-01"
+#: Chunks of some seven months, so that lags of two and of twelve rows cross them.
+CHUNK_DAYS = 200
 
 
 def _query(name: str, sql: str | None = None):
@@ -116,7 +119,7 @@ def tcode_panel(spark, sf_dir):
 def _one_code(code: int):
     @_query(f"tcode_{code}", _X + f"SELECT series, sasdate, round({_CODE[code]}, 6) AS value FROM y")
     def one(spark, sf_dir):
-        return _rounded(transforms.apply_code(panel(spark, sf_dir), code))
+        return _rounded(transforms.apply_code(panel(spark, sf_dir), code, chunk_days=CHUNK_DAYS))
 
 
 for _k in _CODE:
@@ -125,17 +128,17 @@ for _k in _CODE:
 
 @_query("tcode_legacy7", _X + "SELECT series, sasdate, round(h - h1, 6) AS value FROM y")
 def tcode_legacy7(spark, sf_dir):
-    return _rounded(transforms.apply_code(panel(spark, sf_dir), 7, mode="legacy"))
+    return _rounded(transforms.apply_code(panel(spark, sf_dir), 7, mode="legacy", chunk_days=CHUNK_DAYS))
 
 
 @_query("extra_diff", _X + "SELECT series, sasdate, round(value - v1, 6) AS value FROM y")
 def extra_diff(spark, sf_dir):
-    return _rounded(transforms.extra_transform(panel(spark, sf_dir), "diff"))
+    return _rounded(transforms.extra_transform(panel(spark, sf_dir), "diff", chunk_days=CHUNK_DAYS))
 
 
 @_query("extra_yoy", _X + "SELECT series, sasdate, round(value - v12, 6) AS value FROM y")
 def extra_yoy(spark, sf_dir):
-    return _rounded(transforms.extra_transform(panel(spark, sf_dir), "yoy"))
+    return _rounded(transforms.extra_transform(panel(spark, sf_dir), "yoy", chunk_days=CHUNK_DAYS))
 
 
 @_query("extra_named", _X + "SELECT series, sasdate, round(CASE series WHEN 'NATION_6|BUILDING' THEN value - v1 WHEN 'NATION_18|MACHINERY' THEN value - v12 ELSE value END, 6) AS value FROM y")
@@ -559,12 +562,17 @@ def target_order(spark, sf_dir):
     return quality.target_checks(rows, "sasdate", place="place")
 
 
-@_query("stationarity_panel")
+_TESTS = stationarity_sql.oracle(_P, stationarity.published_values())
+_DIGITS = {"adf_stat": 6, "adf_pvalue": 7, "kpss_stat": 7, "kpss_pvalue": 7, "pp_pvalue": 7, "dfgls_pvalue": 7, "za_stat": 6, "za_pvalue": 7}
+
+
+@_query("stationarity_panel", _TESTS + "SELECT series, " + ", ".join(f"round({c}, {k}) AS {c}" for c, k in _DIGITS.items()) + ", za_break_index, kpss_reg, n_non_na, decision FROM tests")
 def stationarity_panel(spark, sf_dir):
-    return stationarity.test_panel(panel(spark, sf_dir), pp=True, dfgls=True, za=True)
+    out = stationarity.test_panel(panel(spark, sf_dir), pp=True, dfgls=True, za=True)
+    return out.withColumns({c: F.round(c, k) for c, k in _DIGITS.items()})
 
 
-@_query("stationarity_counts")
+@_query("stationarity_counts", stationarity_sql.oracle(_P, stationarity.published_values(), more=False) + "SELECT decision, count(*) AS n FROM tests GROUP BY decision")
 def stationarity_counts(spark, sf_dir):
     return describe.value_counts(stationarity.test_panel(panel(spark, sf_dir)), "decision")
 

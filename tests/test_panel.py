@@ -1,18 +1,21 @@
 """Panel operators against small tables with known results."""
 
+import itertools
 import json
 import math
+import re
 from datetime import date
 
 import numpy as np
 import pandas as pd
+import plain_stationarity
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelwright.functions import taxonomies
+from panelwright.functions import linear, taxonomies, text
 from panelwright.functions.names import clean_name, with_clean_names
-from panelwright.operators import calendar, describe, factors, missing, quality, seasonal, stationarity, transforms, variants
+from panelwright.operators import calendar, chunks, describe, factors, missing, quality, seasonal, stationarity, transforms, variants
 from panelwright.plans import pipelines
 from panelwright.schema import PANEL, as_panel
 from panelwright.sources import files, observations
@@ -171,7 +174,8 @@ def test_the_choice_of_series_takes_one_exchange_of_the_panel(spark, tmp_path):
     panel = spark.read.parquet(str(tmp_path / "p"))
     for df in (missing.gap_measures(panel), missing.missing_positions(panel), missing.interior_gap(panel)):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning(series") == 1 and plan.count("FileScan") == 1
+        by_series = re.findall(r"Exchange hashpartitioning\(series#\d+, (\w+)", plan)
+        assert sorted(by_series) == ["4", "_groupingexpression"] and plan.count("FileScan") == 1  # rows by series and chunk, then their summaries by series
 
 
 def test_factor_panel(spark):
@@ -379,14 +383,64 @@ def test_unit_root_tests_tell_noise_from_a_walk(spark):
     assert rows["flat"].adf_pvalue is None and rows["flat"].decision == "inconclusive"
     assert rows["noise"].za_break_index is not None and rows["noise"].za_pvalue < 0.01 and rows["noise"].dfgls_pvalue < 0.05
     assert rows["walk"].za_pvalue > 0.1 and rows["walk"].dfgls_pvalue > rows["noise"].dfgls_pvalue
-    tests = [stationarity.zivot_andrews(walk, t) for t in ("c", "t", "ct")]
-    assert len({p for _, p, _ in tests}) == 3 and rows["walk"].za_pvalue == max(p for _, p, _ in tests)
+    tests = [plain_stationarity.zivot_andrews(walk, t) for t in ("c", "t", "ct")]
+    assert len({p for _, p, _ in tests}) == 3 and rows["walk"].za_pvalue == pytest.approx(max(p for _, p, _ in tests), rel=1e-9)
+
+
+def _series_of_all_kinds():
+    rng = np.random.default_rng(1)
+    out = {}
+    for k, n in enumerate((5, 12, 20, 40, 81, 150, 300)):
+        out |= {f"noise{k}": 10 + 5 * rng.normal(size=n), f"walk{k}": np.cumsum(rng.normal(size=n)), f"trend{k}": np.arange(n) * 0.3 + rng.normal(size=n)}
+        out[f"mean{k}"] = np.convolve(rng.normal(size=n + 3), [1, 0.5, 0.3, 0.2], "valid")
+    return out | {"three": np.array([1.0, 2.0, 4.0]), "two": np.array([1.0, 2.0])}
+
+
+TESTS = {
+    "adf_stat": (lambda df: stationarity.adf(df), lambda x: plain_stationarity.adf(x)),
+    "adf_all_lags": (lambda df: stationarity.adf(df, None, "adf_all_lags"), lambda x: plain_stationarity.adf(x, None)),
+    "adf_bic": (lambda df: stationarity.adf(df, "BIC", "adf_bic"), lambda x: plain_stationarity.adf(x, "BIC")),
+    "kpss_stat": (lambda df: stationarity.kpss(df), lambda x: plain_stationarity.kpss(x)),
+    "kpss_line": (lambda df: stationarity.kpss(df, "ct", "legacy", "kpss_line"), lambda x: plain_stationarity.kpss(x, "ct", "legacy")),
+    "kpss_three": (lambda df: stationarity.kpss(df, "c", 3, "kpss_three"), lambda x: plain_stationarity.kpss(x, "c", 3)),
+    "pp_stat": (lambda df: stationarity.phillips_perron(df), lambda x: plain_stationarity.phillips_perron(x)),
+    "dfgls_stat": (lambda df: stationarity.df_gls(df), lambda x: plain_stationarity.df_gls(x)),
+    "dfgls_line": (lambda df: stationarity.df_gls(df, "ct", "dfgls_line"), lambda x: plain_stationarity.df_gls(x, "ct")),
+    "za": (lambda df: stationarity.zivot_andrews(df), None),
+}
+
+
+@pytest.mark.parametrize("name", TESTS)
+def test_tests_of_series_agree_with_numpy(spark, name):
+    table = _series_of_all_kinds()
+    frame = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in table.items()], "series string, x array<double>")
+    native, plain = TESTS[name]
+    rows = {r.series: r[name] for r in native(frame).select("series", name).collect()}
+    compared = 0
+    for k, x in table.items():
+        with np.errstate(all="ignore"):
+            for kind in ("c", "t", "ct") if name == "za" else ("",):
+                want = plain_stationarity.quiet(plain_stationarity.zivot_andrews, x, kind) if kind else plain_stationarity.quiet(plain, x)
+                got = rows[k][kind] if kind else rows[k]
+                if len(x) < 20 and (want is None or got is None or (kind and got.stat is None)):
+                    continue  # as many regressors as values: one of the two may find a column that depends on the others
+                assert (want is None) == (got is None), (k, kind, want, got)
+                if want is not None:
+                    compared += 1
+                    assert (got.stat if kind else got) == pytest.approx(want[0], rel=1e-8, abs=1e-8), (k, kind)
+                    assert not kind or got.place == want[2]
+    assert compared >= 20
+
+
+def test_tests_of_series_run_without_python_workers(spark):
+    plan = stationarity.test_panel(panel_of(spark, a=[1.0, 2.0, 3.0, 2.5]), pp=True, dfgls=True, za=True)._jdf.queryExecution().toString()
+    assert not [w for w in ("Python", "Pandas", "Arrow") if w in plan]
 
 
 @pytest.mark.parametrize("trend", ["c", "t", "ct"])
 def test_break_search_agrees_with_a_regression_a_place(trend):
     x = np.cumsum(np.random.default_rng(4).normal(size=150)) + np.where(np.arange(150) > 90, 6.0, 0.0)
-    stat, _, place = stationarity.zivot_andrews(x, trend)
+    stat, _, place = plain_stationarity.zivot_andrews(x, trend)
     found = {}
     for lags in range(14):  # the number of lags is one of these
         d = np.diff(x)
@@ -401,19 +455,36 @@ def test_break_search_agrees_with_a_regression_a_place(trend):
             found[lags, b] = beta[0] / error
     least = [min(((t, b) for (k, b), t in found.items() if k == lags)) for lags in range(14)]
     assert any(stat == pytest.approx(t, rel=1e-8) and place == b for t, b in least)
-    assert stationarity._quiet(stationarity.zivot_andrews, np.ones(60), trend) is None
+    assert plain_stationarity.quiet(plain_stationarity.zivot_andrews, np.ones(60), trend) is None
+
+
+def _of_numbers(spark, numbers, f):
+    frame = spark.createDataFrame([(i, float(t)) for i, t in enumerate(numbers)], "i int, t double")
+    return [r.p for r in frame.select("i", text.expr(f(text.col("t"))).alias("p")).orderBy("i").collect()]
 
 
-def test_published_critical_values():
-    assert stationarity.mackinnon_p(-2.86) == pytest.approx(0.05, abs=0.002)
-    assert stationarity.mackinnon_p(-3.43) == pytest.approx(0.01, abs=0.001)
-    assert stationarity.mackinnon_p(-20) == 0 and stationarity.mackinnon_p(3) == 1
+def test_published_critical_values(spark):
+    at_5, at_1, low, high = _of_numbers(spark, [-2.86, -3.43, -20, 3], stationarity.mackinnon_p)
+    assert at_5 == pytest.approx(0.05, abs=0.002) and at_1 == pytest.approx(0.01, abs=0.001) and (low, high) == (0, 1)
 
 
-def test_p_values_pass_through_the_critical_values():
+def test_p_values_pass_through_the_critical_values(spark):
     for critical, p in ((stationarity._ZA["c"], stationarity._ZA_P), (stationarity._DFGLS["ct"], stationarity._DFGLS_P)):
-        assert [stationarity.tail_p(c, critical, p) for c in critical] == pytest.approx(p)
-        assert stationarity.tail_p(critical[0] - 2, critical, p) < 0.01 and 0.1 < stationarity.tail_p(critical[-1] + 0.5, critical, p) < stationarity.tail_p(critical[-1] + 2, critical, p) < 1
+        points = [*critical, critical[0] - 2, critical[-1] + 0.5, critical[-1] + 2]
+        got = _of_numbers(spark, points, lambda t: stationarity.tail_p(t, critical, p))
+        assert got[:3] == pytest.approx(p) and got[3] < 0.01 and 0.1 < got[4] < got[5] < 1
+        assert got == pytest.approx([plain_stationarity.tail_p(t, critical, p) for t in points], rel=1e-12)
+
+
+def test_the_normal_distribution_and_the_triangle(spark):
+    z = [-9.5, -8, -5.5, -3, -1, -1e-9, 0, 0.3, 2, 6, 9.5]
+    got = _of_numbers(spark, z, linear.normal_cdf)
+    assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], rel=1e-12, abs=1e-15)
+    m = np.cov(np.random.default_rng(2).normal(size=(4, 40)))
+    frame = spark.createDataFrame([([[float(v) for v in r] for r in m],)], "m array<array<double>>")
+    rows = frame.select(text.expr(linear.cholesky(text.col("m"), text.array(2, 0, 3))).alias("l")).first().l
+    want = np.linalg.cholesky(m[np.ix_([2, 0, 3], [2, 0, 3])])
+    assert [len(r) for r in rows] == [1, 2, 3] and np.concatenate(rows) == pytest.approx(want[np.tril_indices(3)])
 
 
 def test_decision_rule(spark):
@@ -485,3 +556,91 @@ def test_window_plan_has_one_exchange(spark):
     panel = panel_of(spark, a=[1.0, 2.0], b=[3.0, 4.0])
     plan = transforms.standardise(transforms.apply_code(panel, 5))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(series") == 1
+
+
+# ------------------------------------------------------------ long series, runs and correlations
+
+
+def _long(spark, n, seed=3):
+    """Two series of n days, a third of the values missing, one series much shorter."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(n).select(F.lit("hot").alias("series"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("sasdate"), F.when(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(3)) > 0, F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000 + 0.5).alias("value"))
+    return rows.unionByName(rows.where("sasdate < DATE '1900-02-10'").withColumn("series", F.lit("short")))
+
+
+@pytest.mark.parametrize("days", [3, 50, 100_000])
+def test_chunks_change_no_transformation(spark, days):
+    panel = _long(spark, 400)
+    for code in range(1, 8):
+        for mode in transforms.MODES:
+            assert transforms.apply_code(panel, code, mode, chunk_days=days).exceptAll(transforms.apply_code(panel, code, mode)).count() == 0
+    for kind in ("diff", "yoy"):
+        got = transforms.extra_transform(panel, kind, chunk_days=days)
+        assert got.count() == panel.count() and got.exceptAll(transforms.extra_transform(panel, kind)).count() == 0
+    codes = taxonomies.codes(spark, {"hot": 7, "short": 6})
+    assert transforms.transform_by_codes(panel, codes, chunk_days=days).exceptAll(transforms.transform_by_codes(panel, codes)).count() == 0
+
+
+def test_one_long_series_is_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = transforms.apply_code(_long(spark, 300_000), 7, chunk_days=4096)
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) == 4 and max(tasks) < 0.5 * sum(tasks)
+
+
+@given(st.lists(st.booleans(), max_size=30), st.lists(st.integers(0, 30), max_size=4))
+@settings(max_examples=25, deadline=None)
+def test_run_summaries_of_parts_add_up(spark, gone, cuts):
+    from pyspark.sql import functions as F
+
+    bounds = sorted({0, len(gone), *[min(c, len(gone)) for c in cuts]})
+    parts = [[(months(1)[0], g) for g in gone[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)] or [[]]
+    frame = spark.createDataFrame([(parts,)], "parts array<array<struct<sasdate:date,gone:boolean>>>")
+    folded = F.aggregate("parts", missing._counts(0, 0, 0, 0, 0, 0), lambda a, p: missing.merged_runs(a, missing._run_summary(p)))
+    got = frame.select(folded.alias("s")).select("s.*").first()
+    runs = [(k, len(list(g))) for k, g in itertools.groupby(gone)]
+    lead = runs[0][1] if runs and runs[0][0] else 0
+    trail = runs[-1][1] if runs and runs[-1][0] else 0
+    inner = max([n for k, n in runs[1:-1] if k], default=0)
+    assert tuple(got) == (len(gone), sum(gone), lead, trail, inner, sum(k for k, _ in runs))
+
+
+def test_runs_over_chunks_and_without_a_sort(spark):
+    panel = _long(spark, 500)
+    rows = panel.where("series = 'hot'").orderBy("sasdate").collect()
+    want, before = [], None
+    for r in rows:
+        if r.value is None:
+            want = want[:-1] + [(want[-1][0], r.sasdate, want[-1][2] + 1)] if before else want + [(r.sasdate, r.sasdate, 1)]
+        before = r.value is None
+    for days in (2, 64, 100_000):
+        chunk = chunks.chunk_of
+        missing.chunk_of = lambda: chunk(days)  # noqa: B023
+        try:
+            got = sorted((r.start, r.end, r.length) for r in missing.missing_runs(panel).where("series = 'hot'").collect())
+            plan = missing.gap_measures(panel)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            missing.chunk_of = chunk
+        assert got == want and "Sort " not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize(("series", "dates"), [(1000, 1000), (2, 3), (1, 40)])
+def test_correlations_by_blocks(spark, series, dates):
+    rng = np.random.default_rng(6)
+    table = {f"s{i}": [None if rng.random() < 0.3 else float(1e6 + rng.normal() * (i + 1)) for _ in range(40)] for i in range(6)} | {"flat": [2.0] * 40, "once": [1.0] + [None] * 39}
+    got = {(r.a, r.b): (r.n, r["corr"]) for r in describe.correlations(panel_of(spark, **table), series, dates).collect()}
+    frame = pd.DataFrame(table, dtype=float)
+    for a in table:
+        for b in table:
+            both = frame[[a, b]].dropna() if a != b else frame[[a]].dropna()
+            if a <= b and len(both):
+                n, corr = got.pop((a, b))
+                want = np.nan if "flat" in (a, b) or len(both) < 2 else both.iloc[:, 0].corr(both.iloc[:, -1])
+                assert n == len(both) and ((corr is None and np.isnan(want)) or corr == pytest.approx(want, abs=1e-9))
+    assert not got
