@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.missing import valid_places
 from panelwright.operators.transforms import standard_deviation, standardise, transform_by_codes
+from panelwright.schema import by_series
 
 BALANCES = ("none", "initial", "all")
 #: Rows that each code loses at the start. Fixed values.
@@ -17,12 +18,12 @@ def balance_panel(panel: DataFrame, balance: str = "initial") -> DataFrame:
     """Drop series without values; then nothing (none), the rows before all series have begun (initial), or also rows with any gap (all)."""
     if balance not in BALANCES:
         raise ValueError(f"balance must be one of {BALANCES}")
-    have = panel.where("value IS NOT NULL").select("series").distinct()
-    full = panel.join(have, "series", "left_semi")
+    first = F.min(F.when(F.col("value").isNotNull(), F.col("sasdate"))).over(by_series())
+    full = panel.withColumn("first", first).where("first IS NOT NULL")
     if balance == "none":
-        return full
-    begun = full.where("value IS NOT NULL").groupBy("series").agg(F.min("sasdate").alias("d")).agg(F.max("d").alias("begin"))
-    full = full.join(F.broadcast(begun)).where("sasdate >= begin").drop("begin")  # one row
+        return full.drop("first")
+    begun = full.agg(F.max("first").alias("begin"))
+    full = full.join(F.broadcast(begun)).where("sasdate >= begin").drop("first", "begin")  # one row
     if balance == "initial":
         return full
     whole = full.groupBy("sasdate").agg(F.bool_and(F.col("value").isNotNull()).alias("whole")).where("whole").select("sasdate")

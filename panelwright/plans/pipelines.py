@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,22 +45,34 @@ def build_variants(panel: DataFrame, out: str, variants: dict[str, str] | list[s
     """Write every variant's panel, as Parquet and as CSV, and its catalog as JSON; returns the catalogs.
 
     variants: first dates by name, or texts NAME=MM/DD/YYYY. The panel is aligned to its
-    calendar first. Catalogs go to the local folder ``meta``, or where it is not given
-    beside the panels.
+    calendar first, once for all variants. Catalogs go to the folder ``meta``, or where it
+    is not given beside the panels. The two CSV files hold the same columns.
     """
-    aligned = monthly_grid(panel)
     chosen_variants = parse_variants(variants) if isinstance(variants, list) else variants or VARIANTS
     found = {}
-    for name, anchor in chosen_variants.items():
-        part, chosen = build_variant(aligned, anchor, rules)
-        paths = {"panel_parquet": f"{out}/{name}", "panel_csv_with_sasdate_col": f"{out}/{name}_sasdate_column", "catalog_json": f"{meta or out}/{name}_catalog.json"}
-        files.write_panel(part, paths["panel_parquet"], overwrite)
-        found[name] = catalog(name, anchor, part, chosen, rules, since(aligned, anchor), source, paths)
-        files.write_panel_csv(part.sparkSession.read.parquet(paths["panel_parquet"]), paths["panel_csv_with_sasdate_col"], found[name]["kept_series"], overwrite)
-        files.write_json(found[name], paths["catalog_json"], overwrite)
+    with _kept(monthly_grid(panel)) as aligned:
+        for name, anchor in chosen_variants.items():
+            part, chosen = build_variant(aligned, anchor, rules)
+            paths = {"panel_parquet": f"{out}/{name}", "panel_csv_index": f"{out}/{name}.csv", "panel_csv_with_sasdate_col": f"{out}/{name}_sasdate_column", "catalog_json": f"{meta or out}/{name}_catalog.json"}
+            files.write_panel(part, paths["panel_parquet"], overwrite)
+            found[name] = catalog(name, anchor, part, chosen, rules, since(aligned, anchor), source, paths)
+            written = part.sparkSession.read.parquet(paths["panel_parquet"])
+            for kind in ("panel_csv_index", "panel_csv_with_sasdate_col"):
+                files.write_panel_csv(written, paths[kind], found[name]["kept_series"], overwrite)
+            files.write_json(found[name], paths["catalog_json"], overwrite)
     return found
 
 
+@contextmanager
+def _kept(panel: DataFrame) -> Iterator[DataFrame]:
+    """The panel, kept on the executors while a job reads it several times; what is lost is computed again."""
+    kept = panel.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def extra_transforms(panel: DataFrame, config: dict, drop_first: bool = False) -> DataFrame:
     """The configuration's transforms of single series."""
     return extra_transform(panel, config.get("preprocessing", {}).get("extra_transforms", {}), drop_first)
@@ -65,8 +81,14 @@ def extra_transforms(panel: DataFrame, config: dict, drop_first: bool = False) -
 def report_missing(panel: DataFrame, out: str, overwrite: bool = False, source: str | None = None, meta: str | None = None) -> dict:
     """Write what is missing: by series, positions (with JSON lines) and runs, a summary and a catalog of all in JSON. Returns the catalog.
 
-    The two JSON files go to the local folder ``meta``, or where it is not given beside the tables.
+    The two JSON files go to the folder ``meta``, or where it is not given beside the tables.
+    The panel is evaluated once.
     """
+    with _kept(panel) as kept:
+        return _report_missing(kept, out, overwrite, source, meta)
+
+
+def _report_missing(panel: DataFrame, out: str, overwrite: bool, source: str | None, meta: str | None) -> dict:
     mode = "overwrite" if overwrite else "errorifexists"
     assert_dates(panel)
     paths = {"by_series_csv": f"{out}/by_series", "positions_summary_csv": f"{out}/positions_summary", "positions_jsonl": f"{out}/positions", "runs_csv": f"{out}/runs", "summary_json": f"{meta or out}/missing_summary.json"}

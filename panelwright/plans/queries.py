@@ -387,9 +387,10 @@ def corr_matrix(spark, sf_dir):
     return _rounded(describe.correlations(panel(spark, sf_dir)), "corr")
 
 
-@_query("grid_gaps", _P + "SELECT sasdate FROM cal WHERE sasdate NOT IN (SELECT sasdate FROM raw)")
+@_query("grid_gaps", _P + "SELECT sasdate FROM cal WHERE month(sasdate) % 5 = 0")
 def grid_gaps(spark, sf_dir):
-    return calendar.grid_gaps(order_months(spark, sf_dir))
+    """Of a panel that lacks every fifth and tenth month of a year. The sample begins in January and ends in August."""
+    return calendar.grid_gaps(order_months(spark, sf_dir).where(F.month("sasdate") % 5 != 0))
 
 
 @_query("series_gaps", _P + "SELECT series, sasdate FROM p WHERE value IS NULL")
@@ -446,22 +447,30 @@ def bad_numeric_tokens(spark, sf_dir):
 @_query(
     "structure_check",
     _P
-    + """, n AS (SELECT count(*) AS n FROM raw), g AS (SELECT count(*) AS n FROM cal WHERE sasdate NOT IN (SELECT sasdate FROM raw))
-SELECT 'not empty' AS "check", n > 0 AS passed, n::VARCHAR AS detail FROM n UNION ALL SELECT 'dates parse', true, '0' UNION ALL SELECT 'dates are unique', true, '0' UNION ALL SELECT 'no gap in the grid', n = 0, n::VARCHAR FROM g""",
+    + """, rough AS (SELECT series, CASE WHEN nation = 7 AND month(sasdate) = 2 THEN NULL ELSE sasdate END AS sasdate FROM raw WHERE month(sasdate) % 5 <> 0 UNION ALL SELECT series, sasdate FROM raw WHERE nation = 3 AND month(sasdate) % 5 <> 0),
+twice AS (SELECT count(*) AS n FROM (SELECT series, sasdate FROM rough WHERE sasdate IS NOT NULL GROUP BY ALL HAVING count(*) > 1)),
+g AS (SELECT count(*) AS n FROM cal WHERE sasdate NOT IN (SELECT sasdate FROM rough WHERE sasdate IS NOT NULL))
+SELECT 'not empty' AS "check", count(*) > 0 AS passed, count(*)::VARCHAR AS detail FROM rough UNION ALL SELECT 'dates parse', count(*) = 0, count(*)::VARCHAR FROM rough WHERE sasdate IS NULL
+UNION ALL SELECT 'dates are unique', n = 0, n::VARCHAR FROM twice UNION ALL SELECT 'no gap in the grid', n = 0, n::VARCHAR FROM g""",
 )
 def structure_check(spark, sf_dir):
-    return quality.structure_checks(order_months(spark, sf_dir).select("series", "sasdate", "value"))
+    """Of a panel with months that no series has, repeated months of one nation, and no dates in the Februaries of another."""
+    months = order_months(spark, sf_dir).where(F.month("sasdate") % 5 != 0)
+    day = F.when((F.col("nation") == 7) & (F.month("sasdate") == 2), F.lit(None)).otherwise(F.col("sasdate")).alias("sasdate")
+    return quality.structure_checks(months.select("series", day, "value").unionByName(months.where("nation = 3").select("series", "sasdate", "value")))
 
 
 @_query(
     "target_check",
-    """WITH t AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS d FROM orders)
-SELECT 'dates parse' AS "check", true AS passed, '0' AS detail UNION ALL SELECT 'dates are unique', true, '0' UNION ALL SELECT 'values are numbers', true, '0'
-UNION ALL SELECT 'months end quarters', count(*) FILTER (WHERE extract(month FROM d) % 3 <> 0) = 0, count(*) FILTER (WHERE extract(month FROM d) % 3 <> 0)::VARCHAR FROM t""",
+    """WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), x AS (SELECT CASE WHEN k % 50 = 7 THEN NULL ELSE d END AS d, k FROM t)
+SELECT 'dates parse' AS "check", count(*) FILTER (WHERE d IS NULL) = 0 AS passed, count(*) FILTER (WHERE d IS NULL)::VARCHAR AS detail FROM x UNION ALL SELECT 'dates are unique', count(d) = count(DISTINCT d), (count(d) - count(DISTINCT d))::VARCHAR FROM x
+UNION ALL SELECT 'values are numbers', count(*) FILTER (WHERE k % 40 = 1) = 0, count(*) FILTER (WHERE k % 40 = 1)::VARCHAR FROM x UNION ALL SELECT 'months end quarters', count(*) FILTER (WHERE month(d) % 3 <> 0) = 0, count(*) FILTER (WHERE month(d) % 3 <> 0)::VARCHAR FROM x""",
 )
 def target_check(spark, sf_dir):
-    quarters = table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "quarter").cast("string").alias("sasdate")).distinct()
-    return quality.target_checks(quarters.withColumn("gdp", F.lit("1.5")), "sasdate", "gdp", strict_quarter_end=True)
+    """Orders as a target of text: some dates do not parse, some values are no numbers."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date").cast("string")
+    rows = table(spark, sf_dir, "orders").select(F.when(k % 50 == 7, "soon").otherwise(day).alias("sasdate"), F.when(k % 40 == 1, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("gdp"))
+    return quality.target_checks(rows, "sasdate", "gdp", strict_quarter_end=True)
 
 
 @_query("wide_roundtrip", _P + "SELECT series, sasdate, value FROM p")
@@ -491,6 +500,20 @@ def nearest_date(spark, sf_dir):
     return calendar.nearest_date(panel(spark, sf_dir), "1999-05-17")
 
 
+@_query(
+    "nearest_dates",
+    _P + """, q AS (SELECT sasdate FROM cal WHERE month(sasdate) % 4 = 1 AND year(sasdate) <> 1995),
+a AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), n AS (SELECT a.d, arg_min(sasdate, (abs(date_diff('day', sasdate, a.d)), sasdate)) AS sasdate FROM a, q GROUP BY a.d)
+SELECT n.sasdate, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders JOIN n ON CAST(o_orderdate AS DATE) = n.d GROUP BY n.sasdate""",
+)
+def nearest_dates(spark, sf_dir):
+    """Orders by the date next to theirs, of a panel with every fourth month but those of one year."""
+    dates = order_months(spark, sf_dir).where((F.month("sasdate") % 4 == 1) & (F.year("sasdate") != 1995))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("asked"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    near = calendar.nearest_dates(orders, dates, days=300)
+    return orders.join(near, "asked").groupBy("sasdate").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("value"))
+
+
 @_query("target_summary", _P + "SELECT min(sasdate) AS first_date, max(sasdate) AS last_date, count(*) AS n FROM raw")
 def target_summary(spark, sf_dir):
     return order_months(spark, sf_dir).agg(F.min("sasdate").alias("first_date"), F.max("sasdate").alias("last_date"), F.count("*").alias("n"))
@@ -514,14 +537,14 @@ def observations_json(spark, sf_dir):
 
 @_query(
     "page_metadata",
-    """SELECT CAST(page_id AS VARCHAR) AS label, CASE page_id % 4 WHEN 0 THEN 'Monthly' WHEN 1 THEN 'Quarterly' WHEN 2 THEN 'Weekly, Ending Friday' END AS frequency,
-CASE page_id % 3 WHEN 0 THEN 'Seasonally Adjusted' WHEN 1 THEN 'Not Seasonally Adjusted' END AS seasonality, page_id % 4 < 3 AND page_id % 3 < 2 AS ok FROM pages""",
+    """WITH k AS (SELECT page_id, length(coalesce(html, '')) AS k FROM pages) SELECT CAST(page_id AS VARCHAR) AS label, CASE k % 4 WHEN 0 THEN 'Monthly' WHEN 1 THEN 'Quarterly' WHEN 2 THEN 'Weekly, Ending Friday' END AS frequency,
+CASE k % 3 WHEN 0 THEN 'Seasonally Adjusted' WHEN 1 THEN 'Not Seasonally Adjusted' END AS seasonality, k % 4 < 3 AND k % 3 < 2 AS ok FROM k""",
 )
 def page_metadata(spark, sf_dir):
-    """The pages with the two elements of a series' page put before them, where they have them."""
+    """The pages with the two elements of a series' page put before them; which ones goes by the length of the page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     element = lambda text: F.concat(F.lit('<p class="x mb-2"><b>k</b> <span class="series-meta-value"> '), text, F.lit("\n</span></p>"))
-    k = F.col("page_id")
+    k = F.length(F.coalesce("html", F.lit("")))
     frequency = F.when(k % 4 == 0, "Monthly").when(k % 4 == 1, "Quarterly").when(k % 4 == 2, "Weekly,  Ending Friday")
     season = F.when(k % 3 == 0, "Seasonally  Adjusted").when(k % 3 == 1, "Not Seasonally Adjusted")
     made = F.concat(*[F.coalesce(element(x), F.lit("")) for x in (frequency, season)], F.coalesce("html", F.lit("")))
@@ -590,9 +613,18 @@ def _values(rows) -> str:
 _GROUP8, _GROUP11 = (dict(taxonomies.flat(t)) for t in (taxonomies.EIGHT_GROUPS, taxonomies.ELEVEN_GROUPS))
 
 
-@_query("known_codes", _values([(k, c, _GROUP8.get(k), _GROUP11.get(k)) for k, c in taxonomies.code_map().items()]) + ' AS t(series, tcode, "group", group11)')
+@_query(
+    "known_codes",
+    "WITH k AS (" + _values([(i, k, c, _GROUP8.get(k), _GROUP11.get(k)) for i, (k, c) in enumerate(taxonomies.code_map().items())]) + """ AS t(place, series, tcode, "group", group11)), n AS (SELECT count(*) AS n FROM k)
+SELECT series, tcode, "group", group11, count(*) AS n, round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE), 2) AS balance FROM customer JOIN k ON k.place = c_custkey % (SELECT n + 4 FROM n) GROUP BY ALL""",
+)
 def known_codes(spark, sf_dir):
-    return taxonomies.codes(spark).join(taxonomies.groups(spark, "eight"), "series", "left").join(taxonomies.groups(spark, "eleven").withColumnRenamed("group", "group11"), "series", "left")
+    """Customers as rows of the known series, dealt by their keys; some have no series."""
+    places = {k: i for i, k in enumerate(taxonomies.code_map())}
+    series = F.create_map(*[F.lit(x) for k, i in places.items() for x in (i, k)])
+    rows = table(spark, sf_dir, "customer").select(F.try_element_at(series, (F.col("c_custkey") % (len(places) + 4)).cast("int")).alias("series"), F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal"))
+    known = taxonomies.codes(spark).join(taxonomies.groups(spark, "eight"), "series", "left").join(taxonomies.groups(spark, "eleven").withColumnRenamed("group", "group11"), "series", "left")
+    return rows.groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal").cast("double"), 2).alias("balance")).join(known, "series")
 
 
 @_query("daily_sums", "SELECT event_type AS series, CAST(ts AS DATE) AS sasdate, round(sum(value), 4) AS value, count(value) AS n FROM events GROUP BY 1, 2")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, datetime
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,11 +113,28 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("label")).where("label <> ''")
 
 
-def read_config(path: str) -> dict:
-    """A YAML file, in UTF-8 with or without its mark, or else in Windows-1252."""
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds a file or a folder at the path."""
+    try:
+        spark.read.text(path).isEmpty()
+        return True
+    except AnalysisException as found:
+        if found.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A JSON object as write_json writes it, or in a single file."""
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
+def read_config(path: str, spark: SparkSession | None = None) -> dict:
+    """A YAML file at any path that Spark reads, in UTF-8 with or without its mark, or else in Windows-1252."""
     import yaml
 
-    data = Path(path).read_bytes()
+    found = (spark or SparkSession.active()).read.format("binaryFile").load(path).first()  # none of an empty file
+    data = bytes(found.content) if found else b""
     for encoding in ("utf-8-sig", "cp1252"):
         try:
             return yaml.safe_load(data.decode(encoding)) or {}
@@ -154,11 +171,20 @@ def write_positions(positions: DataFrame, path: str, overwrite: bool = False) ->
     positions.select("series", "missing_dates").write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def write_text(text: str, path: str, overwrite: bool = False) -> None:
+    """One short text, as a folder with one file, at any path that Spark writes. FileExistsError if there is something and it may not be replaced."""
+    row = SparkSession.active().createDataFrame([(text,)], "value string").coalesce(1)
+    try:
+        row.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+    except AnalysisException as found:
+        if found.getCondition() == "PATH_ALREADY_EXISTS":
+            raise FileExistsError(path) from found
+        raise
+
+
 def write_json(value: dict, path: str, overwrite: bool = False) -> None:
-    """A small driver-side JSON file with sorted keys."""
-    if Path(path).exists() and not overwrite:
-        raise FileExistsError(path)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str))
+    """A small JSON object with sorted keys, written as write_text does."""
+    write_text(json.dumps(value, indent=2, sort_keys=True, default=str), path, overwrite)
 
 
 def write_labels(panel: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -10,13 +10,13 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.schema import clean
+from panelwright.sources import files
 
 _PAYLOAD = "struct<observations: array<struct<date: string, value: string>>>"
 
@@ -38,10 +38,10 @@ def fetch(url: str, timeout: float = 30) -> str:
 
 
 def download(url: str, path: str, overwrite: bool = False, timeout: float = 30) -> str:
-    """Store what is at an address, unless the file is there already."""
-    if overwrite or not Path(path).exists():
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(fetch(url, timeout))
+    """Store the text at an address at any path that Spark writes, unless something is there already."""
+    spark = SparkSession.active()
+    if overwrite or not files.is_there(spark, path):
+        files.write_text(fetch(url, timeout), path, overwrite)
     return path
 
 

@@ -162,7 +162,7 @@ def test_variants_of_the_known_panel(spark, anchor, rows, dropped):
 def test_variant_files(spark, tmp_path):
     panel = panel_of(spark, a=[float(i) for i in range(60)], b=[1.5] * 60, gap=[None] * 40 + [1.0] * 20)
     found = pipelines.build_variants(panel, str(tmp_path), ["late=01/01/2001"], variants.Rules(coverage=0.6, train_years=2, holdout_months=6, min_train=12), source="in.csv")
-    assert json.loads((tmp_path / "late_catalog.json").read_text()) == found["late"] and found["late"]["kept_series"] == ["a", "b"]
+    assert files.read_json(spark, str(tmp_path / "late_catalog.json")) == found["late"] and found["late"]["kept_series"] == ["a", "b"]
     assert found["late"]["input_csv"] == "in.csv" and found["late"]["n_rows"] == 48
     assert values(files.read_panel_csv(spark, found["late"]["artifacts"]["panel_csv_with_sasdate_col"], date_format="MM/dd/yyyy"), "a")[0] == 12.0
     with pytest.raises(ValueError):
@@ -305,7 +305,7 @@ def test_target_job(spark, tmp_path):
 
     info = pipelines.fetch_target(spark, "GDP1", "gdp", "key", "http://x", str(tmp_path / "gdp"), vintage="2020-01-01", fetcher=fetcher)
     assert (info["rows"], info["first_date"], info["vintage"]) == (80, "1980-01-01", "2020-01-01") and "realtime_end=2020-01-01" in asked[0]
-    assert json.loads((tmp_path / "gdp_meta.json").read_text()) == info
+    assert files.read_json(spark, str(tmp_path / "gdp_meta.json")) == info
     checks = {r.check: r.passed for r in quality.target_checks(files.read_target(spark, str(tmp_path / "gdp")), "sasdate", place="place").collect()}
     assert all(checks.values())
     assert pipelines.test_target(spark, str(tmp_path / "gdp"), str(tmp_path / "tests"), "gdp", pp=True) == "stationary"
@@ -333,7 +333,7 @@ def test_raw_file_with_embedded_codes(spark, tmp_path):
     out = pipelines.build_transformed_panel(spark, str(path), str(tmp_path / "panel"))
     assert values(out, "C&D")[1] == pytest.approx(math.log(2))
     info = files.extract_codes(spark, str(path), str(tmp_path / "codes.json"))
-    assert info["tcode_row"] == 1 and json.loads((tmp_path / "codes.json").read_text()) == {"A B": 2, "C&D": 5}
+    assert info["tcode_row"] == 1 and files.read_json(spark, str(tmp_path / "codes.json")) == {"A B": 2, "C&D": 5}
     assert {r.series: r.tcode for r in files.read_code_json(spark, str(tmp_path / "codes.json")).collect()} == {"A B": 2, "C&D": 5}
     with pytest.raises(FileExistsError):
         files.extract_codes(spark, str(path), str(tmp_path / "codes.json"))
@@ -349,8 +349,8 @@ def test_report_files(spark, tmp_path):
     panel = panel_of(spark, a=[None, 1.0], b=[1.0, 2.0])
     info = pipelines.report_missing(panel, str(tmp_path / "report"), source="x.csv")
     assert info["counts"]["n_series"] == 2 and info["shape"] == {"rows": 2, "cols": 2} and info["boundaries"]["last"] == "02/01/2000"
-    assert json.loads((tmp_path / "report" / "panel_missing_catalog.json").read_text()) == info
-    summary = json.loads((tmp_path / "report" / "missing_summary.json").read_text())
+    assert files.read_json(spark, str(tmp_path / "report" / "panel_missing_catalog.json")) == info
+    summary = files.read_json(spark, str(tmp_path / "report" / "missing_summary.json"))
     assert summary["lists"]["series_first"] == ["a"] and summary["lists"]["series_last"] == []
     with pytest.raises(TypeError):
         pipelines.report_missing(panel.withColumn("sasdate", panel.sasdate.cast("string")), str(tmp_path / "other"))
@@ -644,3 +644,78 @@ def test_correlations_by_blocks(spark, series, dates):
                 want = np.nan if "flat" in (a, b) or len(both) < 2 else both.iloc[:, 0].corr(both.iloc[:, -1])
                 assert n == len(both) and ((corr is None and np.isnan(want)) or corr == pytest.approx(want, abs=1e-9))
     assert not got
+
+
+def test_nearest_dates_of_a_table(spark):
+    days = [date(1990, 1, 1), date(1990, 3, 1), date(2005, 6, 15)]
+    panel = panel_of(spark, a=[1.0]).limit(0).unionByName(spark.createDataFrame([("a", d, 1.0) for d in days], PANEL))
+    asked = [date(1980, 1, 1), date(1990, 1, 30), date(1990, 1, 31), date(1990, 3, 1), date(1997, 10, 22), date(1997, 10, 23), date(2030, 1, 1)]
+    frame = spark.createDataFrame([(d,) for d in asked + asked[:2]] + [(None,)], "asked date")
+    want = {d: min(days, key=lambda p: (abs((p - d).days), p)) for d in asked}
+    for span in (5, 400, 100_000):
+        got = calendar.nearest_dates(frame, panel, days=span).collect()
+        assert {r.asked: r.sasdate for r in got} == want and len(got) == len(want)
+    assert [r.sasdate for r in calendar.nearest_dates(frame, panel.limit(0)).collect()] == [None] * len(want)
+
+
+# ------------------------------------------------------------ jobs on any path
+
+
+def test_jobs_write_to_paths_of_spark_alone(spark, tmp_path):
+    out = (tmp_path / "jobs").as_uri()
+    panel = panel_of(spark, a=[float(i) for i in range(60)], gap=[None] * 40 + [1.0] * 20)
+    found = pipelines.build_variants(panel, out, {"late": "2001-01-01"}, variants.Rules(coverage=0.5, train_years=2, holdout_months=6, min_train=12))["late"]
+    assert files.read_json(spark, f"{out}/late_catalog.json") == found
+    assert set(found["artifacts"]) == {"panel_parquet", "panel_csv_index", "panel_csv_with_sasdate_col", "catalog_json"}
+    one, two = (files.read_panel_csv(spark, found["artifacts"][k], date_format="MM/dd/yyyy") for k in ("panel_csv_index", "panel_csv_with_sasdate_col"))
+    assert one.count() == 48 and one.exceptAll(two).count() == 0
+    info = pipelines.report_missing(panel, f"{out}/report")
+    assert files.read_json(spark, f"{out}/report/panel_missing_catalog.json") == info
+    with pytest.raises(FileExistsError):
+        files.write_json({}, f"{out}/late_catalog.json")
+    files.write_json({"b": 1}, f"{out}/late_catalog.json", overwrite=True)
+    assert files.read_json(spark, f"{out}/late_catalog.json") == {"b": 1}
+    counts = pipelines.report_stationarity(panel, f"{out}/tests")
+    assert sum(counts.values()) == 2 and set(counts) <= {"stationary", "non-stationary", "inconclusive"}
+
+
+def test_a_report_reads_its_panel_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    panel = panel_of(spark, a=[1.0, None, 2.0], b=[1.0, 2.0, None]).mapInArrow(counted, PANEL)
+    pipelines.report_missing(panel, str(tmp_path / "report"))
+    assert read.value == 6
+
+
+def test_configurations_and_downloads(spark, tmp_path, monkeypatch):
+    for name, data in (("utf8", "a: ü".encode()), ("marked", "a: ü".encode("utf-8-sig")), ("windows", "a: ü".encode("cp1252"))):
+        (tmp_path / name).write_bytes(data)
+        assert files.read_config((tmp_path / name).as_uri()) == {"a": "ü"}
+    (tmp_path / "empty").write_bytes(b"")
+    assert files.read_config(str(tmp_path / "empty")) == {}
+    fetched = []
+    monkeypatch.setattr(observations, "fetch", lambda url, timeout: fetched.append(url) or "sasdate,x\n1/1/2000,1")
+    path = (tmp_path / "store" / "x.csv").as_uri()
+    assert observations.download("http://x", path) == path and observations.download("http://x", path) == path and fetched == ["http://x"]
+    assert files.read_panel_csv(spark, path).collect()[0].value == 1.0
+    observations.download("http://y", path, overwrite=True)
+    assert fetched == ["http://x", "http://y"]
+
+
+def test_a_dry_run_writes_nothing(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("sasdate,A\nTransform:,2\n1/1/2000,1\n2/1/2000,3\n")
+    out = pipelines.build_transformed_panel(spark, str(tmp_path / "raw.csv"), str(tmp_path / "panel"), dry_run=True)
+    assert values(out, "A") == [None, 2.0] and not (tmp_path / "panel").exists()
+
+
+@pytest.mark.parametrize(("balance", "scans"), [("none", 1), ("initial", 2)])
+def test_factor_panels_scan_their_panel_at_most_twice(spark, tmp_path, balance, scans):
+    panel_of(spark, a=[1.0, None, 2.0], b=[1.0, 2.0, 3.0]).write.parquet(str(tmp_path / "p"))
+    dense = calendar.densify(spark.read.parquet(str(tmp_path / "p")), date(2000, 1, 1), date(2000, 3, 1))
+    plan = factors.prepare_for_factors(dense, taxonomies.codes(spark, {"a": 1, "b": 2}), balance)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == scans
