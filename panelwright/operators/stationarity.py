@@ -9,9 +9,10 @@ cross-products a series: its first rows are sums over the series, the others fol
 the diagonals, one Cholesky triangle has the residuals of all lag orders, and the chosen
 order's own sample adds a few rows. The break search folds once over the series.
 
-The p-values of the first come from MacKinnon's response surface; the others go through
-published critical values: that of KPSS is bounded by the outermost of these, those of
-DF-GLS and Zivot-Andrews are carried on beyond them. What cannot be computed (too few
+The p-values of the first come from MacKinnon's response surface. That of KPSS goes through
+published critical values and is bounded by the outermost of these. Those of DF-GLS and
+Zivot-Andrews come from simulated tables (null_tables), that of DF-GLS by the number of
+values. What cannot be computed (too few
 values, a constant series, regressors that depend on each other) is NULL.
 
 The tests are written in stages, a column each, and every stage binds what it reads with
@@ -20,14 +21,13 @@ The tests are written in stages, a column each, and every stage binds what it re
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as SF
 
 from panelwright.functions import text as F
 from panelwright.functions.text import Text, expr
 from panelwright.functions.linear import at, cholesky, cut, dot, interpolated, least_place, let, let_all, normal_cdf, plus, solved_below, steps, total
+from panelwright.operators.null_tables import PROBABILITIES, gls_quantiles, normal_quantiles, za_quantiles
 
 #: Response surface of the Dickey-Fuller test with a constant: small p, large p, and their limits. Fixed values.
 _SMALL_P = (2.1659, 1.4412, 0.038269)
@@ -36,10 +36,6 @@ _STAR, _LOWEST, _HIGHEST = -1.61, -18.83, 2.74
 #: Critical values by regression and the p-values they belong to. Fixed values.
 _KPSS_P = (0.10, 0.05, 0.025, 0.01)
 _KPSS = {"c": (0.347, 0.463, 0.574, 0.739), "ct": (0.119, 0.146, 0.176, 0.216)}
-_DFGLS_P = (0.01, 0.05, 0.10)
-_DFGLS = {"c": (-2.58, -1.95, -1.62), "ct": (-3.48, -2.89, -2.57)}
-_ZA_P = (0.01, 0.05, 0.10)
-_ZA = {"c": (-5.34, -4.80, -4.58), "t": (-4.93, -4.42, -4.11), "ct": (-5.57, -5.08, -4.82)}
 
 #: Places in the matrix of cross-products: constant, trend, level before, difference, then the differences before.
 _CONST, _TREND, _LEVEL, _Y, _LAGS = 0, 1, 2, 3, 4
@@ -47,9 +43,8 @@ _DOUBLES = "array<double>"
 
 
 def published_values() -> dict:
-    """The constants of the p-values by name, with the normal quantiles of those that lines are drawn through."""
-    z = lambda p: [NormalDist().inv_cdf(x) for x in p]
-    return {"small": _SMALL_P, "large": _LARGE_P, "star": _STAR, "lowest": _LOWEST, "highest": _HIGHEST, "kpss": _KPSS, "kpss_p": _KPSS_P, "dfgls": _DFGLS, "dfgls_z": z(_DFGLS_P), "za": _ZA, "za_z": z(_ZA_P)}
+    """The constants of the p-values by name."""
+    return {"small": _SMALL_P, "large": _LARGE_P, "star": _STAR, "lowest": _LOWEST, "highest": _HIGHEST, "kpss": _KPSS, "kpss_p": _KPSS_P}
 
 
 def mackinnon_p(t: Text) -> Text:
@@ -64,9 +59,9 @@ def mackinnon_p(t: Text) -> Text:
     return let(t, lambda t: F.when(t > _HIGHEST, 1.0).when(t < _LOWEST, 0.0).when(t.isNotNull(), normal_cdf(F.when(t <= _STAR, surface(t, _SMALL_P)).otherwise(surface(t, _LARGE_P)))))
 
 
-def tail_p(stat: Text, critical: tuple[float, ...], p: tuple[float, ...]) -> Text:
-    """A p-value through critical values: straight lines between normal quantiles, the outer ones carried on, from 0.0001 to 0.9999."""
-    z = [NormalDist().inv_cdf(x) for x in p]
+def tail_p(stat: Text, critical: list, p: tuple[float, ...] = PROBABILITIES) -> Text:
+    """A p-value through the quantiles at p: straight lines between normal quantiles, the outer ones carried on, from 0.0001 to 0.9999."""
+    z = normal_quantiles(p)
     lines = [z[k] + (z[k + 1] - z[k]) / (critical[k + 1] - critical[k]) * (stat - critical[k]) for k in range(len(z) - 1)]
     through = F.when(stat <= critical[1], lines[0])
     for k in range(1, len(lines) - 1):
@@ -407,7 +402,7 @@ def test_panel(panel: DataFrame, alpha: float = 0.05, autolag: str | None = "AIC
     tests = phillips_perron(tests) if pp else tests.withColumn("pp_stat", none)
     tests = df_gls(tests) if dfgls else tests.withColumn("dfgls_stat", none)
     tests = zivot_andrews(tests) if za else tests.withColumn("za", SF.lit(None).cast("struct<" + ",".join(f"{k}:struct<stat:double,place:int>" for k in kinds) + ">"))
-    each = [SF.struct(expr(tail_p(F.col("za")[k]["stat"], _ZA[k], _ZA_P)).alias("p"), SF.lit(-i).alias("first"), SF.col(f"za.{k}.stat").alias("stat"), SF.col(f"za.{k}.place").alias("place")) for i, k in enumerate(kinds)]
+    each = [SF.struct(expr(tail_p(F.col("za")[k]["stat"], za_quantiles(k))).alias("p"), SF.lit(-i).alias("first"), SF.col(f"za.{k}.stat").alias("stat"), SF.col(f"za.{k}.place").alias("place")) for i, k in enumerate(kinds)]
     worst = SF.array_max(SF.filter(SF.array(*each), lambda z: z["p"].isNotNull()))
     out = tests.withColumn("worst", worst).select(
         "series",
@@ -416,7 +411,7 @@ def test_panel(panel: DataFrame, alpha: float = 0.05, autolag: str | None = "AIC
         "kpss_stat",
         expr(kpss_p(F.col("kpss_stat"), kpss_reg)).alias("kpss_pvalue"),
         expr(mackinnon_p(F.col("pp_stat"))).alias("pp_pvalue"),
-        expr(tail_p(F.col("dfgls_stat"), _DFGLS["c"], _DFGLS_P)).alias("dfgls_pvalue"),
+        expr(tail_p(F.col("dfgls_stat"), gls_quantiles(F.size(F.col("x"))))).alias("dfgls_pvalue"),
         SF.col("worst.stat").alias("za_stat"),
         SF.col("worst.p").alias("za_pvalue"),
         SF.get("dates", SF.col("worst.place")).alias("za_break_index"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from panelwright.operators.null_tables import gls_terms, normal_quantiles, za_quantiles
+
 
 def _eliminated(m: str, pivots: str) -> str:
     """The matrix m once its first ``pivots`` variables are taken out of the others."""
@@ -21,8 +23,8 @@ def _cdf(z: str) -> str:
     return f"CASE WHEN {z} > 9 THEN 1.0 WHEN {z} < -9 THEN 0.0 WHEN {z} IS NOT NULL THEN greatest(0.0, 0.5 + {z} * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(200), lambda k: exp(k * ln(greatest(({z}) * ({z}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2)))) END"
 
 
-def _through(t: str, critical: tuple[float, ...], z: list[float]) -> str:
-    cases, last = "", ""
+def _through(t: str, critical: list) -> str:
+    cases, last, z = "", "", normal_quantiles()
     for k in range(len(z) - 1):
         last = f"({z[k]} + ({z[k + 1]} - ({z[k]})) / ({critical[k + 1]} - ({critical[k]})) * ({t} - ({critical[k]})))"
         if k < len(z) - 2:
@@ -94,7 +96,7 @@ tests AS (SELECT s.series, adf_stat, adf_pvalue, kpss_stat, kpss_pvalue, {decide
 gls_q AS (SELECT *, 1 - 7.0 / n AS a FROM fit),
 gls_u AS (SELECT series, n, d, most, list_transform(v, lambda w: w - (v[1] + (1 - a) * list_sum(list_transform(range(1, n), lambda i: v[i + 1] - a * v[i]))) / (1 + (n - 1) * (1 - a) * (1 - a))) AS x FROM gls_q),
 {_choose("gls_l", "gls_u", level, 1, 1)},
-gls AS (SELECT series, {_t(_eliminated(_products(f"list_concat({_lag_columns('lags', 'lags')}, {own('lags')}, [d[lags + 1:]])"), "lags"), "lags + 1", "len(d) - lags - lags - 1")} AS t FROM gls_u JOIN gls_l USING (series)),
+gls AS (SELECT series, n, {_t(_eliminated(_products(f"list_concat({_lag_columns('lags', 'lags')}, {own('lags')}, [d[lags + 1:]])"), "lags"), "lags + 1", "len(d) - lags - lags - 1")} AS t FROM gls_u JOIN gls_l USING (series)),
 pa AS (SELECT series, {minus_mean("v[2:]")} AS y, {minus_mean("v[:n - 1]")} AS z, n - 1 AS m FROM b WHERE n >= 4),
 pb AS (SELECT *, list_dot_product(z, z) AS zz, list_dot_product(y, z) / list_dot_product(z, z) AS slope FROM pa),
 pc AS (SELECT *, list_transform(y, lambda w, i: w - slope * z[i]) AS e, ceil(12 * pow(m / 100, 0.25))::INTEGER AS lags FROM pb),
@@ -106,11 +108,11 @@ za_g AS (SELECT *, {_products("cols")} AS g FROM (SELECT series, d, lags, n, {ow
 za_b AS (SELECT series, d, lags, n, cols, g, unnest(range(greatest(floor(n * 0.15)::INTEGER, lags + 2), floor(n * 0.85)::INTEGER)) AS b FROM za_g),
 za_t AS ({za}),
 za_m AS (SELECT series, kind, rank, min(t) AS t, arg_min(b, t) AS place FROM (FROM za_t WHERE isfinite(t) ORDER BY series, rank, b) GROUP BY ALL),
-za_z AS (SELECT *, CASE kind {" ".join(f"WHEN '{k}' THEN {_through('t', fixed['za'][k], fixed['za_z'])}" for k in kinds)} END AS z FROM za_m),
+za_z AS (SELECT *, CASE kind {" ".join(f"WHEN '{k}' THEN {_through('t', za_quantiles(k))}" for k in kinds)} END AS z FROM za_m),
 za_p AS (SELECT *, {_bounded_cdf("z")} AS p FROM za_z),
 za AS (SELECT series, t, p, place FROM za_p QUALIFY row_number() OVER (PARTITION BY series ORDER BY p DESC, rank) = 1),
 rp AS (SELECT series, {mackinnon("pp.t")} AS pp_pvalue FROM (SELECT *, {z_of("t")} AS z FROM pp) pp),
-rg AS (SELECT series, {_bounded_cdf("z")} AS dfgls_pvalue FROM (SELECT series, {_through("t", fixed["dfgls"]["c"], fixed["dfgls_z"])} AS z FROM gls)),
+rg AS (SELECT series, {_bounded_cdf("z")} AS dfgls_pvalue FROM (SELECT series, {_through("t", [f"({a} + ({b}) / n + {c} / (n * n))" for a, b, c in gls_terms()])} AS z FROM gls)),
 a AS (SELECT s.series, adf_stat, adf_pvalue, kpss_stat, kpss_pvalue, pp_pvalue, dfgls_pvalue, za.t AS za_stat, za.p AS za_pvalue, v.dates[za.place + 1] AS za_break_index, 'ct' AS kpss_reg, coalesce(len(v.v), 0)::BIGINT AS n_non_na
   FROM (SELECT DISTINCT series FROM p) s LEFT JOIN v USING (series) LEFT JOIN r USING (series) LEFT JOIN rp USING (series) LEFT JOIN rg USING (series) LEFT JOIN rk USING (series) LEFT JOIN za USING (series)),
 tests AS (SELECT *, {decided} FROM a)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 
 from panelwright.functions import linear, taxonomies, text
 from panelwright.functions.names import clean_name, with_clean_names
-from panelwright.operators import calendar, chunks, describe, factors, missing, quality, seasonal, stationarity, transforms, variants
+from panelwright.operators import calendar, chunks, describe, factors, missing, null_tables, quality, seasonal, stationarity, transforms, variants
 from panelwright.plans import pipelines
 from panelwright.schema import PANEL, as_panel
 from panelwright.sources import files, observations
@@ -384,7 +384,7 @@ def test_unit_root_tests_tell_noise_from_a_walk(spark):
     assert rows["noise"].za_break_index is not None and rows["noise"].za_pvalue < 0.01 and rows["noise"].dfgls_pvalue < 0.05
     assert rows["walk"].za_pvalue > 0.1 and rows["walk"].dfgls_pvalue > rows["noise"].dfgls_pvalue
     tests = [plain_stationarity.zivot_andrews(walk, t) for t in ("c", "t", "ct")]
-    assert len({p for _, p, _ in tests}) == 3 and rows["walk"].za_pvalue == pytest.approx(max(p for _, p, _ in tests), rel=1e-9)
+    assert any(rows["walk"].za_stat == pytest.approx(t, rel=1e-9) for t, _, _ in tests)
 
 
 def _series_of_all_kinds():
@@ -469,11 +469,46 @@ def test_published_critical_values(spark):
 
 
 def test_p_values_pass_through_the_critical_values(spark):
-    for critical, p in ((stationarity._ZA["c"], stationarity._ZA_P), (stationarity._DFGLS["ct"], stationarity._DFGLS_P)):
-        points = [*critical, critical[0] - 2, critical[-1] + 0.5, critical[-1] + 2]
-        got = _of_numbers(spark, points, lambda t: stationarity.tail_p(t, critical, p))
-        assert got[:3] == pytest.approx(p) and got[3] < 0.01 and 0.1 < got[4] < got[5] < 1
-        assert got == pytest.approx([plain_stationarity.tail_p(t, critical, p) for t in points], rel=1e-12)
+    for kind, critical in null_tables.ZA_PUBLISHED.items():
+        table = null_tables.za_quantiles(kind)
+        points = [*critical, table[0] - 2, table[-1] + 0.5, 0.0]
+        got = _of_numbers(spark, points, lambda t: stationarity.tail_p(t, table))  # noqa: B023
+        assert got[:3] == pytest.approx(null_tables.PUBLISHED_P, abs=1e-9) and got[3] < 0.001 and 0.999 < got[4] <= got[5] < 1
+        assert got == pytest.approx([plain_stationarity.tail_p(t, table, null_tables.PROBABILITIES) for t in points], rel=1e-9)
+        assert table == sorted(table)
+    for n in (25, 50, 100, 200, 1e9):
+        table = null_tables.gls_quantiles(n)
+        assert table == sorted(table)
+    assert _of_numbers(spark, null_tables.GLS_PUBLISHED, lambda t: stationarity.tail_p(t, table)) == pytest.approx(null_tables.PUBLISHED_P, abs=1e-6)
+
+
+def test_tables_of_p_values_are_those_of_random_walks():
+    at = [null_tables.PROBABILITIES.index(p) for p in (0.05, 0.1, 0.5, 0.9)]
+    walks = null_tables.break_statistics(400, 6000, 5)
+    for kind, found in walks.items():
+        assert np.quantile(found, (0.05, 0.1, 0.5, 0.9)) == pytest.approx(np.array(null_tables.ZA_SIMULATED[kind])[at], abs=0.09)
+    for n in (50, 100, 200):
+        found = null_tables.gls_statistics(n, 60_000, n)
+        for p in null_tables.PUBLISHED_P:
+            k = null_tables.PROBABILITIES.index(p)
+            assert np.mean(found <= null_tables.gls_quantiles(n)[k]) == pytest.approx(p, abs=0.006)
+
+
+def test_simulated_breaks_are_the_statistic_without_lags():
+    n, seed = 60, 8
+    d = np.random.default_rng(seed).normal(size=(2000, n - 1))[:3]
+    got = null_tables.break_statistics(n, 3, seed)
+    time = np.arange(1, n, dtype=float)
+    for walk in range(3):
+        x = np.cumsum(d[walk]) - d[walk]
+        for kind in ("c", "t", "ct"):
+            found = []
+            for b in range(9, 51):
+                broken = {"c": [time > b], "t": [np.maximum(time - b, 0)], "ct": [time > b, np.maximum(time - b, 0)]}[kind]
+                z = np.column_stack([x, np.ones(n - 1), time, *broken]).astype(float)
+                beta, rss = np.linalg.lstsq(z, d[walk], rcond=None)[:2]
+                found.append(beta[0] / math.sqrt(rss[0] / (n - 1 - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0]))
+            assert got[kind][walk] == pytest.approx(min(found), rel=1e-8)
 
 
 def test_the_normal_distribution_and_the_triangle(spark):
