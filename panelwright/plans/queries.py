@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import calendar, describe, factors, missing, quality, seasonal, stationarity, transforms, variants
 from panelwright.functions import names, taxonomies
 from panelwright.plans import stationarity_sql
 from panelwright.schema import to_long, to_wide
-from panelwright.sources import observations
+from panelwright.sources import observations, vintages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -535,6 +535,24 @@ def observations_json(spark, sf_dir):
     return parsed.join(payloads.select("series", F.col("d").alias("sasdate"), "n_values"), ["series", "sasdate"])
 
 
+_VINTAGES = """
+WITH e AS (SELECT event_type AS series, CAST(date_trunc('week', ts) AS DATE) AS sasdate, CAST(ts AS DATE) AS day, CAST(round(value, 2) AS DECIMAL(18,2)) AS v FROM events WHERE value IS NOT NULL),
+d AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 2 DAY)) AS DATE) AS day FROM e)
+"""
+
+
+@_query("vintages_as_of", _VINTAGES + "SELECT d.day, series, sasdate, CAST(sum(v) AS DOUBLE) AS value FROM e JOIN d ON e.day <= d.day GROUP BY ALL")
+def vintages_as_of(spark, sf_dir):
+    """Weekly sums of events as they were known on every second day: each day's events revise their week."""
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    day = F.col("ts").cast("date")
+    daily = events.groupBy(F.col("event_type").alias("series"), F.trunc(day, "WEEK").alias("sasdate"), day.alias("known_from")).agg(F.sum(F.round("value", 2).cast("decimal(18,2)")).alias("v"))
+    so_far = Window.partitionBy("series", "sasdate").orderBy("known_from").rowsBetween(Window.unboundedPreceding, 0)
+    revised = daily.select("series", "sasdate", "known_from", F.sum("v").over(so_far).cast("double").alias("value"))
+    span = events.agg(F.min(day).alias("a"), F.max(day).alias("z"))
+    return vintages.as_of_each(revised, span.select(F.explode(F.sequence("a", "z", F.expr("interval 2 days"))).alias("day")))
+
+
 @_query(
     "page_metadata",
     """WITH k AS (SELECT page_id, length(coalesce(html, '')) AS k FROM pages) SELECT CAST(page_id AS VARCHAR) AS label, CASE k % 4 WHEN 0 THEN 'Monthly' WHEN 1 THEN 'Quarterly' WHEN 2 THEN 'Weekly, Ending Friday' END AS frequency,

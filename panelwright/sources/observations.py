@@ -1,7 +1,7 @@
 """Observation services: JSON payloads, and metadata on HTML pages.
 
-Fetching is done by the driver or by a job that stores payloads as text; parsing is a
-Spark expression over a table of payloads.
+Fetching is done by the driver (one series), by tasks (vintages.read_payloads) or by a job
+that stores payloads as text; parsing is a Spark expression over a table of payloads.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ from panelwright.functions.names import clean_name, with_clean_names
 from panelwright.operators import calendar, chunks, describe, factors, missing, null_tables, quality, seasonal, stationarity, transforms, variants
 from panelwright.plans import pipelines
 from panelwright.schema import PANEL, as_panel
-from panelwright.sources import files, observations
+from panelwright.sources import files, observations, vintages
 
 
 def months(n, year=2000):
@@ -693,6 +693,38 @@ def test_nearest_dates_of_a_table(spark):
     assert [r.sasdate for r in calendar.nearest_dates(frame, panel.limit(0)).collect()] == [None] * len(want)
 
 
+# ------------------------------------------------------------ vintages
+
+
+def test_payloads_are_read_by_tasks_one_a_series(spark, tmp_path):
+    for name, value in (("one", "1.5"), ("two", ".")):
+        (tmp_path / name).write_text(json.dumps({"observations": [{"date": "2000-01-01", "value": value}]}))
+    url = tmp_path.as_uri() + "/{series}"
+    read = vintages.read_payloads(spark, ["one", "two"], url)
+    assert read.rdd.getNumPartitions() == 2
+    got = observations.parse_observations(read)
+    assert values(got, "one") == [1.5] and values(got, "two") == [None]
+    with pytest.raises(Exception, match="no answer"):
+        vintages.read_payloads(spark, ["three"], url, pause=0.01, retries=1).collect()
+    with pytest.raises(Exception, match="must be given"):
+        spark.read.format("payloads").load().collect()
+
+
+def test_vintages_of_one_month_are_told_apart(spark):
+    jan, feb = months(2)
+    day = lambda m, d: date(2000, m, d)
+    rows = [("g", jan, 1.0, day(2, 1)), ("g", jan, 1.0, day(2, 20)), ("g", jan, 2.0, day(3, 1)), ("g", jan, None, day(5, 1)), ("g", feb, 5.0, day(3, 1)), ("g", feb, 4.0, day(3, 1)), ("g", feb, 9.0, None)]
+    frame = spark.createDataFrame(rows, "series string, sasdate date, value double, known_from date")
+    want = {day(1, 31): {}, day(2, 1): {jan: 1.0}, day(2, 29): {jan: 1.0}, day(3, 1): {jan: 2.0, feb: 5.0}, day(4, 30): {jan: 2.0, feb: 5.0}, date(2003, 1, 1): {jan: None, feb: 5.0}}
+    for d, panel in want.items():
+        assert {r.sasdate: r.value for r in vintages.as_of(frame, d).collect()} == panel
+    each = vintages.as_of_each(frame, spark.createDataFrame([(d,) for d in [*want, *want, None]], "day date")).collect()
+    assert sorted((r.day, r.sasdate) for r in each) == sorted((d, m) for d, panel in want.items() for m in panel)
+    assert all(r.value == want[r.day][r.sasdate] for r in each)
+    assert [(r.value, r.known_from, r.known_until) for r in vintages.changes(frame).where(f"sasdate = '{jan}'").orderBy("known_from").collect()] == [(1.0, day(2, 1), day(3, 1)), (2.0, day(3, 1), day(5, 1)), (None, day(5, 1), None)]
+    assert vintages.as_of_each(frame.limit(0), spark.createDataFrame([(jan,)], "day date")).collect() == []
+
+
 # ------------------------------------------------------------ jobs on any path
 
 
