@@ -31,13 +31,17 @@ def with_clean_names(panel: DataFrame) -> DataFrame:
 
 
 def significant(values: Column, digits: int) -> Column:
-    """Numbers with so many significant digits, without trailing zeros, and an empty text for NULL."""
-
-    @F.pandas_udf("string")
-    def written(numbers: pd.Series) -> pd.Series:
-        return numbers.map(lambda x: "" if pd.isna(x) else f"{x:.{digits}g}")
-
-    return written(values)
+    """Numbers with so many significant digits, without trailing zeros, and an empty text for NULL and NaN.
+
+    As a power of ten where the exponent is below -4 or has no fewer than ``digits`` places, else plain.
+    """
+    power = F.format_string(f"%.{digits - 1}e", values)
+    shown = F.regexp_extract(power, r"^(.*?)\.?0*(e.*)$", 1)
+    exponent = F.regexp_extract(power, r"e(.*)$", 1).try_cast("int")
+    places = digits + 3  # of the smallest plain number
+    plain = F.regexp_replace(power.try_cast(f"decimal({2 * digits + 4},{places})").cast("string"), r"\.?0+$", "")
+    text = F.when((exponent < -4) | (exponent >= digits), F.concat(shown, F.regexp_extract(power, r"(e.*)$", 1))).otherwise(plain)
+    return F.when(values.isNull() | F.isnan(values), "").otherwise(text)
 
 
 def ten_digits(values: Column) -> Column:

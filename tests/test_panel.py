@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from panelwright.functions import linear, taxonomies, text
-from panelwright.functions.names import clean_name, with_clean_names
+from panelwright.functions.names import clean_name, significant, with_clean_names
 from panelwright.operators import calendar, chunks, describe, factors, missing, null_tables, quality, seasonal, stationarity, transforms, variants
 from panelwright.plans import pipelines
 from panelwright.schema import PANEL, as_panel
@@ -786,3 +786,15 @@ def test_factor_panels_scan_their_panel_at_most_twice(spark, tmp_path, balance,
     dense = calendar.densify(spark.read.parquet(str(tmp_path / "p")), date(2000, 1, 1), date(2000, 3, 1))
     plan = factors.prepare_for_factors(dense, taxonomies.codes(spark, {"a": 1, "b": 2}), balance)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == scans
+
+
+@pytest.mark.parametrize("digits", [6, 10])
+def test_significant_digits_are_written_as_python_writes_them(spark, digits):
+    rng = np.random.default_rng(9)
+    numbers = [float(x) for x in rng.normal(size=1500) * 10.0 ** rng.integers(-12, 15, size=1500)]
+    numbers += [0.0, 1.0, -1.0, 100.0, 1e9, 1e10, 123456.0, 999999.96, 9999999999.7, 0.0001, 0.00001, 1e300, -2.5e-300, 0.1, 1234567.0]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)] + [(-1, None), (-2, float("nan"))], "i int, x double")
+    got = {r.i: r.t for r in frame.select("i", significant(frame.x, digits).alias("t")).collect()}
+    assert got.pop(-1) == "" and got.pop(-2) == ""
+    assert [got[i] for i in range(len(numbers))] == [f"{x:.{digits}g}" for x in numbers]
+    assert "Python" not in frame.select(significant(frame.x, digits))._jdf.queryExecution().toString()
