@@ -11,15 +11,26 @@ import random
 import re
 from dataclasses import dataclass
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+#: Comments, declarations and tags. Quotes count only after an equals sign, and only if they are closed; what no > ends goes on to the end of the page.
+_NOTE = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
+_NAME = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+_QUOTED = r"((?:[^>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)>"
+_BARE = r"([^>]*)(?:>|\Z)"
+_TAG = re.compile(f"{_NOTE}|{_NAME}{_QUOTED}|{_NAME}{_BARE}", re.S)
+_TAG_BARE = re.compile(f"{_NOTE}|(?!){_NAME}{_QUOTED}|{_NAME}{_BARE}", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements whose content is not text of the page. Fixed values.
 SKIPPED = frozenset("script style template noscript iframe object svg math".split())
 #: Those of them that can be closed by their own start tag; for all other elements a slash there means nothing. Fixed values.
-_SELF_CLOSED = frozenset("svg math".split())
-_END = {name: re.compile(f"</{name}", re.I | re.A) for name in SKIPPED}
+_FOREIGN = frozenset("svg math".split())
+#: Those of them that can hold another of their kind. In the others all is text up to the end tag. Fixed values.
+_NESTED = frozenset("svg math template object".split())
+_END = {name: re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I | re.A) for name in SKIPPED - _NESTED}
+#: Start tags that end an open svg or math, and elements in those which hold HTML again. Fixed values.
+_LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
+_HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: Elements without content. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block. Fixed values.
@@ -47,6 +58,42 @@ def _names(attributes: str) -> str:
     return " ".join(words)
 
 
+class _Scanner:
+    """Tags of a page from left to right. Where a quoted value leads a tag past the end of the page, quotes mean nothing from there on, so that time is linear in the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.tag = _TAG
+
+    def next(self, at: int) -> re.Match | None:
+        m = self.tag.search(self.page, at)
+        if m is not None and m[5]:
+            self.tag = _TAG_BARE
+        return m
+
+    def skipped(self, name: str, at: int, outside: dict[str, int]) -> int:
+        """Where the content of the skipped element ends that begins at ``at``: at its own end tag, for svg and math also before a tag that belongs outside of them (``outside``: the open elements there), or with the page."""
+        if name not in _NESTED:
+            end = _END[name].search(self.page, at)
+            return end.start() if end else len(self.page)
+        depth, html_again = 1, 0
+        while (m := self.next(at)) is not None:
+            at = m.end()
+            inner, closing = (m[2] or m[5] or "").lower(), m[1] or m[4]
+            closed = inner and not closing and name in _FOREIGN and (m[3] or m[6] or "").endswith("/")
+            if inner == name and not closed:
+                depth += -1 if closing else 1
+                if not depth:
+                    return m.start()
+            elif name in _FOREIGN and not html_again and (inner in ("p", "br") or outside.get(inner) if closing else inner in _LEAVES):
+                return m.start()
+            elif inner in _END and not closing and not closed:
+                at = self.skipped(inner, at, outside)
+            if name in _FOREIGN and inner in _HOLDS_HTML and not closed:
+                html_again = max(html_again + (-1 if closing else 1), 0)
+        return len(self.page)
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order, without empty ones. White space in them is single spaces."""
     out: list[Block] = []
@@ -62,9 +109,9 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def end_block() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                inside = len(" ".join(html.unescape("".join(linked)).split())) if linked else 0
+                inside = len(" ".join("".join(linked).split())) if linked else 0
                 out.append(Block((*distinct, *stack[-2:]) if len(stack) > 1 else tuple(stack), text, inside))
             parts.clear()
             linked.clear()
@@ -78,13 +125,15 @@ def blocks_of(page: str | None) -> list[Block]:
         return x[0]
 
     n = len(page)
+    scanner = _Scanner(page)
     while at < n:
-        m = _TAG.search(page, at)
+        m = scanner.next(at)
         stop = m.start() if m else n
         if stop > at:
-            parts.append(page[at:stop])
+            run = html.unescape(page[at:stop])  # alone: a reference does not go on behind a tag
+            parts.append(run)
             if links:
-                linked.append(page[at:stop])
+                linked.append(run)
         if m is None:
             break
         at = m.end()
@@ -93,9 +142,8 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in SKIPPED:
-            if not closing and not (name in _SELF_CLOSED and attributes.endswith("/")):
-                end = _END[name].search(page, at)
-                at = end.start() if end else n
+            if not closing and not (name in _FOREIGN and attributes.endswith("/")):
+                at = scanner.skipped(name, at, tags)
             end_block()
             continue
         if name in INLINE:
