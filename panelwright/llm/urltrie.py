@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +31,11 @@ _SEGMENT = re.compile(r"[^/]*/")
 
 
 class Trie:
-    """Nodes are dicts; "" of a host node starts its paths; None holds entries (remainder, rule, verdict)."""
+    """Nodes are dicts; "path" of a host node starts its paths; None holds the entries that end within a segment: their sorted remainders, for each the place of its longest proper beginning among them (or -1), and (rule, verdict)."""
 
     def __init__(self, entries: list[tuple[str, str, str]]):
         self.root: dict = {}
+        ends: dict[int, tuple[dict, dict]] = {}
         for host, path, verdict in entries:
             node = self.root
             for label in reversed(host.split(".")):
@@ -43,7 +45,17 @@ class Trie:
             for segment in segments:
                 node = node.setdefault(segment, {})
             rest = path[sum(map(len, segments)) :]
-            node.setdefault(None, []).append((rest, host + path, verdict))
+            at_node = ends.setdefault(id(node), (node, {}))[1]
+            at_node[rest] = max(at_node.get(rest, ()), (verdict == "block", host + path, verdict))
+        for node, found in ends.values():
+            rests = sorted(found)
+            up, chain = [], []
+            for i, rest in enumerate(rests):
+                while chain and not rest.startswith(rests[chain[-1]]):
+                    chain.pop()
+                up.append(chain[-1] if chain else -1)
+                chain.append(i)
+            node[None] = (rests, up, [found[r][1:] for r in rests])
 
     def match(self, host: str, path: str) -> tuple[str | None, str | None]:
         """(rule, verdict) of the longest entry: the most host labels, then the longest path. Block wins over an equal allow."""
@@ -58,15 +70,20 @@ class Trie:
             below = node.get("path")
             at = 0
             while below is not None:
-                for rest, rule, verdict in below.get(None, ()):
-                    if path.startswith(rest, at):
-                        best = max(best, (depth, at + len(rest), verdict == "block", rule, verdict))
                 step = _SEGMENT.match(path, at)
+                if None in below:
+                    rests, up, found = below[None]
+                    # All entries that begin the segment are the last one not above it, or beginnings of that one.
+                    i = bisect_right(rests, path[at : step.end() - 1] if step else path[at:]) - 1
+                    while i >= 0 and not path.startswith(rests[i], at):
+                        i = up[i]
+                    if i >= 0:
+                        best = found[i]  # hosts come by rising depth and paths by rising length
                 if step is None:
                     break
                 below = below.get(step.group())
                 at = step.end()
-        return (best[3], best[4]) if best else (None, None)
+        return best or (None, None)
 
 
 _TRIES: dict[str, Trie] = {}
@@ -128,9 +145,9 @@ def _by_join(frame: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     entries = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     known = entries.groupBy("rule_host", F.regexp_extract("rule_path", "(?s)^(?:.*/)?", 0).alias("folder")).agg(F.collect_set(F.length("rule_path")).alias("lengths"))
-    # Places of the slashes in the path, and 0: each begins with the folder up to there.
-    cuts = F.array_union(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.length("path")), lambda k: (k > 0) & (F.substring("path", k, F.lit(1)) == "/")))
-    cuts = F.when(F.col("path") == "", F.array(F.lit(0))).otherwise(cuts)
+    # Lengths of the beginnings of the path that end with a slash, and 0.
+    segments = F.split("path", "/")
+    cuts = F.aggregate(F.slice(segments, F.lit(1), F.size(segments) - 1), F.array(F.lit(0)), lambda had, s: F.concat(had, F.array(F.element_at(had, -1) + F.length(s) + 1)))
     wide = urls.withColumn("rule_host", F.explode(suffixes)).join(entries.select("rule_host").distinct(), "rule_host", "left_semi")
     wide = wide.withColumn("cut", F.explode(cuts)).withColumn("folder", F.substring("path", F.lit(1), F.col("cut"))).join(known, ["rule_host", "folder"])
     wide = wide.withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length("path")).withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
