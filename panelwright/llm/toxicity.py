@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: case, look-alike letters of other scripts and full-width forms,
-digits and signs that stand for letters, invisible characters; all that is no letter
-becomes a space. Lexicon entries are the beginnings of words. A hit inside an exception
+Texts are folded first: compatibility decomposition (styled, circled and full-width
+letters, ligatures), marks and invisible characters gone, case, look-alike letters of other
+scripts, digits and signs that stand for letters; all that is no letter becomes a space. Lexicon entries are the beginnings of words. A hit inside an exception
 phrase does not count. The weights of the hits are summed and put in relation to the
 number of words; a logistic curve over both gives the score.
 
@@ -15,6 +15,7 @@ number of candidates). The weight is the log odds.
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,24 +37,23 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "trash bag", "pathetic fal
 
 _SPACE = 32
 _GONE = 0
+#: No letter comes after it, but for planes without any. Fixed value.
+_LAST_LETTER = 0x33FFF
 
 
 def fold_table() -> np.ndarray:
-    """Code point to folded code point, for the first 0x20000 and by rule."""
-    table = np.full(0x20000, _SPACE, dtype=np.uint32)
-    for c in range(0x3000):
+    """Code point to folded code point, for every code point. Texts are decomposed before, so it need not know composed or styled letters."""
+    table = np.full(0x110000, _SPACE, dtype=np.uint32)
+    for c in range(_LAST_LETTER + 1):
+        kind = unicodedata.category(chr(c))
         lower = chr(c).lower()
-        if chr(c).isalpha() and len(lower) == 1:
-            table[c] = ord(lower)
-    for c in range(0x3000, 0x20000):
-        if chr(c).isalpha():
+        if kind in ("Mn", "Me", "Cf"):
+            table[c] = _GONE  # marks, joiners and other invisible characters
+        elif kind == "Mc":
             table[c] = c
-    for c in range(26):
-        table[0xFF21 + c] = table[0xFF41 + c] = 97 + c  # full-width letters
-        for k in range(13):
-            table[0x1D400 + 52 * k + c] = table[0x1D400 + 52 * k + 26 + c] = 97 + c  # mathematical letters
-    table[0x300:0x370] = _GONE  # combining marks
-    table[[0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]] = _GONE
+        elif kind[0] == "L":
+            table[c] = ord(lower) if len(lower) == 1 else c
+    table[0xE0001:0xE01F0] = _GONE  # tags and variation selectors
     for pairs in (LOOK_ALIKE, STANDS_FOR):
         for a, b in zip(pairs[::2], pairs[1::2], strict=True):
             table[ord(a)] = ord(b)
@@ -69,9 +69,11 @@ def fold(text: str) -> tuple[str, int]:
     """(folded text with a space at either end, number of words)."""
     if not _TABLE:
         _TABLE.append(fold_table())
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = np.full(len(codes) + 2, _SPACE, dtype=np.uint32)
-    out[1:-1] = _TABLE[0][np.minimum(codes, 0x1FFFF)]
+    out[1:-1] = _TABLE[0][codes]
     out = out[out != _GONE]
     n = int(np.count_nonzero((out[1:] != _SPACE) & (out[:-1] == _SPACE)))
     return out.tobytes().decode("utf-32-le", "surrogatepass"), n
