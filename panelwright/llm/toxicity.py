@@ -8,8 +8,8 @@ number of words; a logistic curve over both gives the score.
 
 The lexicon is learned from labelled rows: for every word beginning, the labelled
 documents of either kind that hold it are counted in Spark, and entries are those that
-toxic documents hold too often for chance (an exact binomial test, corrected for the
-number of candidates). The weight is the log odds.
+toxic documents hold too often for chance (an exact binomial test, with the rate of
+false discoveries among all candidates held at 1 %). The weight is the log odds.
 """
 
 from __future__ import annotations
@@ -131,8 +131,8 @@ def _tail(a: int, n: int, p: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
-def not_by_chance(tests: int, p: float):
-    """Column (of a and n): whether _tail(a, n, p) can be below log(0.01 / tests). It keeps every such entry, and few others.
+def not_by_chance(p: float):
+    """Column (of a and n): whether _tail(a, n, p) can be below log(0.01), which every entry is. It keeps every such entry, and few others.
 
     The tail of a out of n is at least exp(-n d) / sqrt(8 a (1 - a / n)), with d the
     divergence of a / n from p.
@@ -141,7 +141,7 @@ def not_by_chance(tests: int, p: float):
     b = n - a
     bits = a * F.log(a / (n * p)) + F.when(b > 0, b * F.log(b / (n * (1 - p)))).otherwise(0.0)
     least = -bits - F.when(b > 0, 0.5 * F.log(8 * a * b / n)).otherwise(0.0)
-    return (a > n * p) & (least <= math.log(0.01 / max(tests, 1)))
+    return (a > n * p) & (least <= math.log(0.01))
 
 
 def _beginnings(longest: int):
@@ -163,8 +163,10 @@ def _beginnings(longest: int):
 
 
 def choose_entries(counts: dict[str, tuple[int, int]], tests: int, toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the significant beginnings. Of nested ones the most significant is taken, in its longest form that is about as frequent."""
+    """Weights of the significant beginnings, of which about one in a hundred is so by chance (Benjamini and Hochberg's rule over all ``tests``). Of nested ones the most significant is taken, in its longest form that is about as frequent."""
     base = toxic / (toxic + clean)
+    tails = sorted((_tail(a, n, base), -len(stem), stem) for stem, (a, n) in counts.items())
+    limit = max((t for i, (t, _, _) in enumerate(tails, 1) if t <= math.log(0.01 * i / max(tests, 1))), default=-math.inf)
     longer: dict[str, list[str]] = {}
     for stem in counts:
         for k in range(3, len(stem)):
@@ -172,8 +174,8 @@ def choose_entries(counts: dict[str, tuple[int, int]], tests: int, toxic: int, c
                 longer.setdefault(stem[:k], []).append(stem)
     lexicon: dict[str, float] = {}
     taken: set[str] = set()
-    for tail, _, stem in sorted((_tail(a, n, base), -len(stem), stem) for stem, (a, n) in counts.items()):
-        if tail > math.log(0.01 / max(tests, 1)):
+    for tail, _, stem in tails:
+        if tail > limit:
             break
         if stem in taken or any(stem[:k] in lexicon for k in range(3, len(stem))):
             continue  # a longer or a shorter form of it is there
@@ -207,7 +209,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
     tested = written(counted.groupBy("stem").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("a >= 3"), "beginnings")
     base = toxic / (toxic + clean)
     tests = tested.count()
-    plausible = tested.where((F.col("a") > 0.7 * F.col("n")) & not_by_chance(tests, base))
+    plausible = tested.where((F.col("a") > 0.7 * F.col("n")) & not_by_chance(base))
     lexicon = choose_entries({r.stem: (r.a, r.n) for r in plausible.collect()}, tests, toxic, clean)
     model = Model(lexicon, exceptions)
     shared = docs.sparkSession.sparkContext.broadcast(model)

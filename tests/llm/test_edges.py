@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 import unicodedata
@@ -93,3 +94,25 @@ def test_toxicity_of_no_rows_and_of_clashing_columns(spark):
     rows = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
     assert rows[1].weight == 3.0 and rows[1].score > rows[2].score and rows[2].words == 0
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_entries_are_those_of_a_plain_choice():
+    """Every number of entries is tried for the rule of false discoveries, and nested beginnings are compared in pairs."""
+    rng = random.Random(4)
+    for _ in range(60):
+        toxic, clean, tests = 40, rng.choice((60, 300)), rng.choice((5, 60, 400))
+        counts = {}
+        for _ in range(rng.randint(1, 25)):
+            n = rng.randint(3, 20)
+            counts["".join(rng.choice("ab") for _ in range(rng.randint(3, 6)))] = (rng.randint(n // 2, n), n)
+        p = toxic / (toxic + clean)
+        chance = {s: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(a, n + 1)) for s, (a, n) in counts.items()}
+        most = max((i for i in range(1, len(counts) + 1) if sorted(chance.values())[i - 1] <= 0.01 * i / tests), default=0)
+        left = [s for s, _ in sorted(chance.items(), key=lambda x: (round(math.log(x[1]), 9), -len(x[0]), x[0]))[:most]]
+        want: list[str] = []
+        while left:
+            first = left[0]
+            entry = max((s for s in counts if s.startswith(first) and (s == first or counts[s][0] >= 0.95 * counts[first][0])), key=lambda s: (len(s), s))
+            want.append(entry)
+            left = [s for s in left if not s.startswith(entry) and not entry.startswith(s)]
+        assert sorted(toxicity.choose_entries(counts, tests, toxic, clean)) == sorted(want)
