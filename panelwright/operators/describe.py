@@ -25,12 +25,54 @@ def value_counts(df: DataFrame, column: str, with_null: bool = False) -> DataFra
     return part.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def _beside(values: DataFrame, of_series: DataFrame, spread: int) -> DataFrame:
+    """Every value with the one row of its series. Both are dealt to ``spread`` parts a series, so that a long series is many tasks."""
+    part = F.pmod(F.xxhash64("sasdate", "value"), F.lit(spread))
+    copies = of_series.withColumnRenamed("series", "of").withColumn("of_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    return values.withColumn("part", part).join(copies, F.col("series").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))).drop("of", "part", "of_part")
+
+
+def _near_ranks(panel: DataFrame, at: tuple[float, ...], margin: float, spread: int) -> DataFrame:
+    """(series, n, first, value, c): the distinct values of the bins that hold the ranks looked for, how often each occurs, and the rank from 0 of the first of a value."""
+    values = panel.where("value IS NOT NULL").select("series", "sasdate", "value")
+    cuts = sorted({min(max(a + d, 0.0), 1.0) for a in at for d in (-margin, margin)})
+    splits = values.groupBy("series").agg(F.percentile_approx("value", cuts, 10_000).alias("splits"), F.count("*").alias("n"))
+    bin_ = F.size(F.filter("splits", lambda s: s < F.col("value"))).alias("bin")
+    sizes = _beside(values, splits, spread).groupBy("series", "n", "splits", bin_).agg(F.count("*").alias("size"))
+    start = F.coalesce(F.sum("size").over(Window.partitionBy("series").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start")
+    ranks = F.array(*[f(a * (F.col("n") - 1)) for a in at for f in (F.floor, F.ceil)])
+    wanted = sizes.select("series", "n", "splits", "bin", "size", start).where(F.exists(ranks, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("size"))))
+    wanted = wanted.groupBy("series", "n", "splits").agg(F.map_from_entries(F.collect_list(F.struct("bin", "start"))).alias("starts"))
+    near = _beside(values, wanted, spread).withColumn("start", F.try_element_at("starts", bin_)).where("start IS NOT NULL")
+    counted = near.groupBy("series", "n", "start", "value").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("series", "start").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.select("series", "n", (F.col("start") + before).alias("first"), "value", "c")
+
+
+def quantiles(panel: DataFrame, at: tuple[float, ...] = (0.25, 0.5, 0.75), margin: float = 0.001, spread: int = 64) -> DataFrame:
+    """(series, q): exact quantiles of each series' values, interpolated between neighbours, in the order of ``at``.
+
+    Ranks are selected in two readings. A sketch of each series gives two cuts about every
+    quantile, ``margin`` of the values on either side; the values between cuts are
+    counted, which tells the bins that hold the ranks exactly, and only their values are
+    sorted: some 2 * margin of a long series. How good the sketch is decides the size of
+    the bins and nothing else. A series without a value has no row.
+    """
+    near = _near_ranks(panel, at, margin, spread)
+    value_at = lambda r: F.max(F.when((r >= F.col("first")) & (r < F.col("first") + F.col("c")), F.col("value")))
+    place = [a * (F.col("n") - 1) for a in at]
+    found = near.groupBy("series", "n").agg(*[value_at(f(h)).alias(f"{name}{i}") for i, h in enumerate(place) for name, f in (("low", F.floor), ("high", F.ceil))])
+    between = [F.col(f"low{i}") + (h - F.floor(h)) * (F.col(f"high{i}") - F.col(f"low{i}")) for i, h in enumerate(place)]
+    return found.select("series", F.array(*between).alias("q"))
+
+
 def describe(panel: DataFrame) -> DataFrame:
     """Per series: count, nulls, mean, standard deviation (of a sample), minimum, quartiles (interpolated) and maximum."""
     v = F.col("value")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = panel.groupBy("series").agg(F.count(v).alias("count"), F.count_if(v.isNull()).alias("nulls"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    return out.select("series", "count", "nulls", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max")
+    out = panel.groupBy("series").agg(F.count(v).alias("count"), F.count_if(v.isNull()).alias("nulls"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(panel).withColumnRenamed("series", "of")
+    out = out.join(q, F.col("series").eqNullSafe(F.col("of")), "left")
+    return out.select("series", "count", "nulls", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q25", "q50", "q75"))], "max")
 
 
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")

@@ -798,3 +798,22 @@ def test_significant_digits_are_written_as_python_writes_them(spark, digits):
     assert got.pop(-1) == "" and got.pop(-2) == ""
     assert [got[i] for i in range(len(numbers))] == [f"{x:.{digits}g}" for x in numbers]
     assert "Python" not in frame.select(significant(frame.x, digits))._jdf.queryExecution().toString()
+
+
+def test_quantiles_are_exact_and_sort_few_values_of_a_long_series(spark):
+    rng = np.random.default_rng(8)
+    data = {f"s{n}": [float(v) for v in rng.integers(-3, 4, n)] for n in range(1, 40)} | {"same": [2.5] * 90, "none": [None, None]}
+    panel = panel_of(spark, **data).union(spark.createDataFrame([(None, None, 7.0), (None, None, 9.0)], "series string, sasdate date, value double"))
+    got = {r.series: (r.q25, r.q50, r.q75) for r in describe.describe(panel).collect()}
+    assert got.pop(None) == (7.5, 8.0, 8.5) and got.pop("none") == (None, None, None)
+    assert set(got) == set(data) - {"none"}
+    for name, quartiles in got.items():
+        assert quartiles == pytest.approx(np.quantile(data[name], (0.25, 0.5, 0.75)), abs=1e-12)
+    assert describe.quantiles(panel.limit(0)).count() == 0
+
+    n = 300_000
+    hot = spark.range(n, numPartitions=8).selectExpr("'hot' AS series", "CAST(NULL AS DATE) AS sasdate", "CASE WHEN id % 3 = 0 THEN 0D ELSE hash(id) / 1000D END AS value")
+    values = np.array([r.value for r in hot.select("value").collect()])
+    at = (0.0, 0.1, 0.5, 0.999, 1.0)
+    assert describe.quantiles(hot, at).first().q == pytest.approx(np.quantile(values, at), rel=1e-12)
+    assert describe._near_ranks(hot, (0.25, 0.75), 0.001, 64).count() < 0.01 * n
