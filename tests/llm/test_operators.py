@@ -322,6 +322,49 @@ def test_encoder_agrees_on_all_usual_characters(name, monkeypatch):
         assert [list(x) for x in encoder.encode(part)] == wanted
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_splits_contractions_and_white_space(name):
+    """Strings of what the split patterns treat apart, many to a call, between texts that the tokenizer encodes itself."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    r = random.Random(12)
+    parts = [*"'" * 5, *"strevlmdSTab12½-.\u2019 \n\t\xa0", "  ", "'re", "'ll", "'ve", "\x00"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(30_000)]
+    texts = [x for t in texts for x in ((t,) if r.random() < 0.98 else (t, None, t + "日", "\x1c" + t, "<|endoftext|>" + t))]
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    for a in range(0, len(texts), 3000):
+        part = texts[a : a + 3000]
+        assert [list(x) for x in encoder.encode(part)] == [x.ids for x in whole.encode_batch([t or "" for t in part], add_special_tokens=False)]
+    only_far = ["日本", "\x1c"]
+    assert [list(x) for x in encoder.encode(only_far)] == [x.ids for x in whole.encode_batch(only_far, add_special_tokens=False)]
+    assert [list(x) for x in encoder.encode(["\n", None])] == [whole.encode("\n", add_special_tokens=False).ids, []]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_keeps_the_pieces_used_most(name, monkeypatch):
+    """A full memory does not forget frequent pieces: the model encodes each of them once."""
+    calls = []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            calls.append(piece)
+            return self.model.tokenize(piece)
+
+    monkeypatch.setattr(tokens, "MOST_PIECES", 100)
+    encoder = tokens.Encoder(public_tokenizers.path(name))
+    encoder.model = Counted(encoder.model)
+    rare = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) + "qz" for n in range(2000)]
+    got = [encoder.encode([" the" * 50 + "".join(f" {w}" for w in rare[a : a + 40])])[0] for a in range(0, 2000, 40)]
+    assert sum(c.lstrip("\u0120") == "the" for c in calls) == 1 and len(calls) == 2001
+    assert len(encoder.number) <= 140 and encoder.used <= len(encoder.pool)
+    for a, ids in zip(range(0, 2000, 40), got, strict=True):
+        assert list(ids) == encoder.tokenizer.encode(" the" * 50 + "".join(f" {w}" for w in rare[a : a + 40]), add_special_tokens=False).ids
+
+
 def test_packing_covers_every_id_once(spark):
     r = random.Random(4)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, " ".join(r.choice(("alpha", "beta", "gamma")) for _ in range(r.randint(0, 900)))) for i in range(60)]
@@ -384,6 +427,13 @@ def test_coder_round_trip(n):
     assert (rans.decode_block(n, states, words, table) == ids).all()
 
 
+def test_frequency_table_reads_ranks_off():
+    ids = np.array([70_000, 5, 9, 5])
+    table = rans.FrequencyTable.of_rows(rans.FrequencyTable(*np.unique(ids, return_counts=True)).rows())
+    assert table.rank(ids).tolist() == [2, 0, 1, 0] and table.place.tolist()[:10] == [0] * 9 + [1]
+    assert not len(rans.FrequencyTable.of_rows([]).rank(np.zeros(0, dtype=np.int64)))
+
+
 def test_token_files_round_trip(spark):
     rows = [(i * 3 % 23, t) for i, t in enumerate(TEXTS)] + [(None, "null id"), (5, "same id"), (5, "same id")]
     folder = rans.token_folder(spark)
