@@ -121,8 +121,11 @@ def _pieces(path: str, end_id: int, capacity: int, linear: float, quadratic: flo
                 if len(done) >= 4096:
                     yield batch_of(done)
                     done = []
+            del batch, docs, texts
         flush()
         yield batch_of(done)
+        done.clear()
+        encoder(path).rest()
 
     return rows
 

@@ -130,6 +130,8 @@ def _ids_of_texts(path: str, end_id: int, kind: str):
             for a, b in text_slices(texts):
                 raw = [np.append(x, np.int32(end_id)).astype(kind).tobytes() for x in encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
+            del batch, texts
+        encoder(path).rest()
 
     return rows
 

@@ -98,12 +98,18 @@ class Encoder:
         count = self.count[kept]
         ids = self.pool[ragged(self.at[kept], count)]
         self.known, self.used = len(kept), len(ids)
-        self.pool[: self.used] = ids
+        self.pool = np.append(ids, np.zeros(1 << 16, dtype=np.int32))
         self.count[: self.known] = count
         self.at[: self.known] = np.cumsum(count) - count
         self.uses[: self.known] = self.uses[kept] >> 1
         self.uses[self.known :] = 0
 
+    def rest(self) -> None:
+        """At a task's end: the worker stays and serves other steps, so it gives back what it can."""
+        if len(self.number) > MOST_PIECES // 2:
+            self._forget()
+        pa.default_memory_pool().release_unused()
+
     def _learn(self) -> None:
         """Encode the pieces that were numbered since the last call."""
         fresh = list(islice(self.number, self.known, None))

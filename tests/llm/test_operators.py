@@ -361,6 +361,8 @@ def test_encoder_keeps_the_pieces_used_most(name, monkeypatch):
     got = [encoder.encode([" the" * 50 + "".join(f" {w}" for w in rare[a : a + 40])])[0] for a in range(0, 2000, 40)]
     assert sum(c.lstrip("\u0120") == "the" for c in calls) == 1 and len(calls) == 2001
     assert len(encoder.number) <= 140 and encoder.used <= len(encoder.pool)
+    encoder.rest()
+    assert len(encoder.number) <= 50 and list(encoder.encode([" the"])[0]) == encoder.tokenizer.encode(" the", add_special_tokens=False).ids and len(calls) == 2001
     for a, ids in zip(range(0, 2000, 40), got, strict=True):
         assert list(ids) == encoder.tokenizer.encode(" the" * 50 + "".join(f" {w}" for w in rare[a : a + 40]), add_special_tokens=False).ids
 
